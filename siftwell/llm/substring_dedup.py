@@ -210,11 +210,12 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     size = text_bytes(docs, text_col)
     parts = max(shuffle_partitions(spark), size // (8 * group_bytes))
     groups = max(4 * parts, size // group_bytes)
+    buckets = max(64, 2 * size // group_bytes)
     dealt = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).withColumn("_g", F.pmod(F.xxhash64("_id", "_text"), F.lit(groups)).cast("int")).repartition(parts, "_g")
 
     sizes, answers = level_sizes(window), None
     for k, n in enumerate(sizes):
-        send = _sender(n, sizes[k - 1] if k else 0, groups, last=n == window)
+        send = _sender(n, sizes[k - 1] if k else 0, buckets, last=n == window)
         if answers is None:
             sent = dealt.groupBy("_g").applyInArrow(_alone(send), _BLOCK)
         else:
