@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ngram_jaccard import ngram_jaccard_components
 from .substring_dedup import substring_dedup
 
 
@@ -16,5 +17,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(docs, window=13, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup}
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_jaccard_components(docs, size=3, percent=90)
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op9_ngram_jaccard": op9_ngram_jaccard}
 ORACLE_SQL: dict[str, str] = {}
