@@ -256,7 +256,7 @@ def ngram_jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80,
     reps = materialize(reps.join(near.withColumnRenamed("id", "doc_id"), "doc_id").withColumnRenamed("component", "cc"), "neighbours")
     parts = F.ceil(F.col("k") / block).cast("int")
     sought = reps.join(reps.groupBy("cc").agg(F.count("*").alias("k")).where("k > 1"), "cc").select("doc_id", "d1", "cc", parts.alias("parts"), F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part"))
-    sets = plain.join(sought, "doc_id").select("d1", "text", "doc_id", "cc", "parts", "part").mapInArrow(_set_maker(size), "doc_id long, cc long, parts int, part int, shingles binary")
+    sets = plain.join(sought.hint("merge"), "doc_id").select("d1", "text", "doc_id", "cc", "parts", "part").mapInArrow(_set_maker(size), "doc_id long, cc long, parts int, part int, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     pairs = sets.select("*", other).select("doc_id", "cc", "part", "shingles", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     pairs = pairs.withColumn("bucket", F.pmod(F.xxhash64("cc", "i", "j"), F.lit(buckets)).cast("int"))
