@@ -36,6 +36,17 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> str:
+    """Write a small file to a folder that only Spark's file systems may reach; returns path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    return path
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Total bytes of a string column."""
     from pyspark.sql import functions as F
