@@ -1,21 +1,22 @@
 """Exact Jaccard join of shingle sets, by count vectors in R-trees.
 
-Shingles are hashed into groups twice over.
-
-1. Fine groups find who may be linked at all. Two sets with a Jaccard similarity
-   of p % differ in at most (100 - p) / (100 + p) of their summed sizes, so with
-   one group more than that, one group is the same in both. Each set sends one
-   digest a group to hash buckets; sets that share a digest belong to one
-   neighbourhood (the connected parts of these meetings).
-2. Coarse groups bound the overlap. Within a neighbourhood each set is the point
-   of its counts per group; an R-tree over these points bounds the overlap with a
-   whole node by the sum of coordinate minima, and what survives is verified on
+1. Who may be linked. Sets with a Jaccard similarity of p % share a shingle among the
+   (100 - p) % first of each, in any order that all sets agree on. The order puts
+   rare shingles first, by how many sets hold them, and those that only one
+   set holds are no meeting point. Sets that meet form a neighbourhood (a connected
+   part of these meetings); most sets meet nobody.
+2. Who is linked. Shingles are hashed into groups; within a neighbourhood each set is
+   the point of its counts per group. An R-tree over these points bounds the overlap
+   with a whole node by the sum of coordinate minima, and what survives is verified on
    the full sets. Pairs that are already connected need no verification.
 
-Equal sets are joined by digest beforehand. A meeting is recorded as a star to
-the smallest member, first within a task and then across tasks, so a digest that
-a third of all sets share costs a bucket one row per task. A neighbourhood with
-over `block` sets is cut into blocks, and pairs of blocks are compared apart.
+Texts are dealt once into groups of bounded size, and that shuffle serves both
+passes over them. How many sets hold a shingle is counted by hash buckets, to
+which a group sends four bytes for each distinct shingle. Equal sets are
+joined by digest. A meeting is recorded as a star to the smallest member,
+first within a group and then across groups, so a shingle that a third of all sets
+share costs a bucket one entry per group. A neighbourhood of over `block` sets
+is cut into blocks, and pairs of blocks are compared apart.
 
 Defined results: null or empty text has no shingles and no links; rows that share
 an id are one node of the link graph; a null id has no links and a null component.
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .store import materialize, shuffle_partitions, text_bytes
+from .substring_dedup import _BLOCK, _BLOCK_PA, _blocks, _short, _split
 from .textkernel import SPACED_LOWER, in_sorted, mix, window_hash, words
 
 _SENT = "kind int, bucket int, doc_id long, n long, d1 long, d2 long, lead boolean, keys binary, ids binary"
@@ -54,37 +56,43 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(x) for x in np.array([mix(s, 3).sum(dtype=np.uint64), mix(s, 4).sum(dtype=np.uint64)], dtype=np.uint64).view(np.int64))
 
 
-class SizeClasses:
-    """Set sizes in classes that grow by half; a pair is sought in the class of its larger set."""
+def _leads(table: pa.Table, size: int):
+    """(id, set, digest, whether it is the first of equal ones) of a group's documents, by id; null ids are never first."""
+    table, seen = table.sort_by("_id"), set()
+    for i, s in zip(table["_id"].to_pylist(), shingle_sets(table["_text"], size)):
+        d = _digest(s)
+        lead = i is not None and len(s) > 0 and d not in seen
+        if lead:
+            seen.add(d)
+        yield i, s, d, lead
 
-    def __init__(self, percent: int):
-        self.percent, self.low = percent, [1]
-        while self.low[-1] < 1 << 40:
-            self.low.append(max(self.low[-1] + 1, self.low[-1] * 3 // 2))
 
-    def of(self, n: int):
-        """(class, number of fine groups, empty groups that need no key) where a set of n is to be found."""
-        k = int(np.searchsorted(self.low, n, side="right")) - 1
-        while self.percent * self.low[k] <= 100 * n:
-            differ = (100 - self.percent) * 2 * (self.low[k + 1] - 1) // (100 + self.percent)
-            if differ:
-                spare = 2 if differ >= 7 else 0
-                yield k, differ + 1 + spare, spare
-            k += 1
+def _holders(size: int, buckets: int):
+    """A group's distinct shingles, and how many of its distinct sets hold each (255 at most), by bucket."""
 
+    def send(table: pa.Table) -> pa.Table:
+        sets = [s for _, s, _, lead in _leads(table, size) if lead]
+        if not sets:
+            return _BLOCK_PA.empty_table()
+        keys, n = np.unique(np.concatenate(sets), return_counts=True)
+        return _blocks(table["_g"][0].as_py(), _split(keys, buckets), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.minimum(n, 255).astype(np.uint8))
 
-def _keys(s: np.ndarray, classes: SizeClasses) -> np.ndarray:
-    """One key for each fine group of each class where the set is sought."""
-    salted, high, found = mix(s, 1), s >> np.uint64(32), []
-    for k, m, spare in classes.of(len(s)):
-        group = (high * np.uint64(m)) >> np.uint64(32)
-        lead = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        at, total = group[lead], np.add.reduceat(salted, lead)
-        if m - len(lead) > spare:
-            empty = np.setdiff1d(np.arange(m, dtype=np.uint64), at)
-            at, total = np.concatenate([at, empty]), np.concatenate([total, np.zeros(len(empty), np.uint64)])
-        found.append(mix(total + at * np.uint64(0x9E3779B97F4A7C15), 100 + k))
-    return np.concatenate(found) if found else s[:0]
+    return send
+
+
+def _commonness(table: pa.Table) -> pa.Table:
+    """A bucket: each group gets back its shingles that two sets hold, with the logarithm of how many do."""
+    rows = [np.frombuffer(k, dtype=np.uint32) for k in table["_keys"].to_pylist()]
+    held = [np.frombuffer(m, dtype=np.uint8) for m in table["_more"].to_pylist()]
+    keys, n = np.concatenate(rows), np.concatenate(held).astype(np.int64)
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    lead = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    keys, total = keys[lead], np.add.reduceat(n, lead)
+    level = np.log2(total).astype(np.uint8)
+    found = [level[np.searchsorted(keys, r)] for r in rows]
+    back = [(r[x > 0].tobytes(), x[x > 0].tobytes()) for r, x in zip(rows, found)]
+    return pa.table({"_bucket": table["_bucket"], "_g": table["_g"], "_keys": [k for k, _ in back], "_more": [m for _, m in back]}, schema=_BLOCK_PA).filter(pa.array([len(k) > 0 for k, _ in back], pa.bool_()))
 
 
 def _stars(keys: np.ndarray, ids: np.ndarray):
@@ -99,37 +107,37 @@ def _stars(keys: np.ndarray, ids: np.ndarray):
 
 
 def _sender(size: int, percent: int, buckets: int):
-    def send(batches):
-        classes, seen = SizeClasses(percent), set()
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            rows, keys, owners = [], [], []
-            for i, s in zip(ids, shingle_sets(batch.column(1), size)):
-                d = _digest(s)
-                first = i is not None and len(s) > 0 and d not in seen
-                rows.append((i, len(s), *d, first))
-                if first:
-                    seen.add(d)
-                    k = _keys(s, classes)
-                    keys.append(k)
-                    owners.append(np.full(len(k), i, np.int64))
-            n = len(rows)
-            doc, count, d1, d2, lead = zip(*rows) if rows else [()] * 5
-            none = pa.nulls(n, pa.binary())
-            yield pa.record_batch([pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int32()), pa.array(doc, pa.int64()), pa.array(count, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(lead, pa.bool_()), none, none], schema=_SENT_PA)
-            if not keys:
+    def send(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _SENT_PA.empty_table()
+        shared, level = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+        if answers.num_rows:
+            shared = np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(k, dtype=np.uint32).astype(np.uint64) for b, k in zip(answers["_bucket"].to_pylist(), answers["_keys"].to_pylist())])
+            level = np.concatenate([np.frombuffer(m, dtype=np.uint8) for m in answers["_more"].to_pylist()])
+            order = np.argsort(shared)
+            shared, level = shared[order], level[order]
+        rows, keys, owners = [], [], []
+        for i, s, d, lead in _leads(table, size):
+            rows.append((0, None, i, len(s), *d, lead, None, None))
+            if not lead or not len(shared):
                 continue
+            short = _short(s, buckets)
+            at = np.minimum(np.searchsorted(shared, short), len(shared) - 1)
+            common = np.where(shared[at] == short, level[at], 0)
+            first = np.lexsort((s, common))[: len(s) - -(-percent * len(s) // 100) + 1]
+            meeting = s[first[common[first] > 0]]
+            if len(meeting):
+                rows.append((3, None, i, len(s), *d, None, s.tobytes(), None))
+                keys.append(meeting)
+                owners.append(np.full(len(meeting), i, np.int64))
+        if keys:
             key, hub, edges = _stars(np.concatenate(keys), np.concatenate(owners))
-            bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            bucket = _split(key, buckets)
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-            spans = [(a, b) for a, b in zip(cuts[:-1], cuts[1:]) if b > a]
-            kind = [1] * len(spans) + [2] * (len(edges) > 0)
-            n, none = len(kind), pa.nulls(len(kind), pa.int64())
-            blobs = [key[a:b].tobytes() for a, b in spans], [hub[a:b].tobytes() for a, b in spans]
+            rows += [(1, int(bucket[a]), None, None, None, None, None, key[a:b].tobytes(), hub[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
             if len(edges):
-                blobs[0].append(edges[:, 0].tobytes())
-                blobs[1].append(edges[:, 1].tobytes())
-            yield pa.record_batch([pa.array(kind, pa.int32()), pa.array([int(bucket[a]) for a, _ in spans] + [None] * (n - len(spans)), pa.int32()), none, none, none, none, pa.nulls(n, pa.bool_()), pa.array(blobs[0], pa.binary()), pa.array(blobs[1], pa.binary())], schema=_SENT_PA)
+                rows.append((2, None, None, None, None, None, None, edges[:, 0].tobytes(), edges[:, 1].tobytes()))
+        return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows), _SENT_PA)], schema=_SENT_PA)
 
     return send
 
@@ -217,20 +225,6 @@ def _verifier(percent: int):
     return verify
 
 
-def _set_maker(size: int):
-    def make(batches):
-        for batch in batches:
-            keep, blobs = [], []
-            for r, (d1, s) in enumerate(zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), size))):
-                if _digest(s)[0] == d1:
-                    keep.append(r)
-                    blobs.append(s.tobytes())
-            kept = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns[2:], pa.array(blobs, pa.binary())], names=[*kept.schema.names[2:], "shingles"])
-
-    return make
-
-
 def ngram_jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 1024) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs.
 
@@ -239,9 +233,13 @@ def ngram_jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80,
     component_id is the smallest id reachable by links, the row's own included.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    buckets = max(4 * shuffle_partitions(spark), text_bytes(docs, text_col) // (8 << 20))
-    sent = materialize(plain.mapInArrow(_sender(size, percent, buckets), _SENT), "shingles")
+    plain = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    total = text_bytes(plain, "_text")
+    parts = max(shuffle_partitions(spark), total // (64 << 20))
+    groups, buckets = max(4 * parts, total // (8 << 20)), max(64, total // (4 << 20))
+    dealt = plain.withColumn("_g", F.pmod(F.xxhash64("_id", "_text"), F.lit(groups)).cast("int")).repartition(parts, "_g")
+    common = dealt.groupBy("_g").applyInArrow(_holders(size, buckets), _BLOCK).groupBy("_bucket").applyInArrow(_commonness, _BLOCK)
+    sent = materialize(dealt.groupBy("_g").cogroup(common.groupBy("_g")).applyInArrow(_sender(size, percent, buckets), _SENT), "shingles")
 
     members = sent.where("kind = 0").select("doc_id", "n", "d1", "d2", "lead")
     equal = members.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
@@ -256,7 +254,7 @@ def ngram_jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80,
     reps = materialize(reps.join(near.withColumnRenamed("id", "doc_id"), "doc_id").withColumnRenamed("component", "cc"), "neighbours")
     parts = F.ceil(F.col("k") / block).cast("int")
     sought = reps.join(reps.groupBy("cc").agg(F.count("*").alias("k")).where("k > 1"), "cc").select("doc_id", "d1", "cc", parts.alias("parts"), F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part"))
-    sets = plain.join(sought.hint("merge"), "doc_id").select("d1", "text", "doc_id", "cc", "parts", "part").mapInArrow(_set_maker(size), "doc_id long, cc long, parts int, part int, shingles binary")
+    sets = sent.where("kind = 3").select("doc_id", "d1", F.col("keys").alias("shingles")).join(sought, ["doc_id", "d1"])
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     pairs = sets.select("*", other).select("doc_id", "cc", "part", "shingles", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     pairs = pairs.withColumn("bucket", F.pmod(F.xxhash64("cc", "i", "j"), F.lit(buckets)).cast("int"))

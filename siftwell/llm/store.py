@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_DROP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
@@ -23,9 +25,14 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back."""
+    """Write df as Parquet in the shared folder and read it back; shuffle files of the job are dropped."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    was = spark.conf.get(_DROP, "false")
+    spark.conf.set(_DROP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_DROP, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
