@@ -36,7 +36,7 @@ def bm25(corpus: DataFrame, queries: DataFrame, top_k: int = 3, k1: float = 1.5,
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avg)))
     scored = posts.join(df, "term").join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * part).alias("score")).where("score > 0")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")  # sums differ in their last bits
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).select("query_id", "rank", "doc_id", "score")
 
 

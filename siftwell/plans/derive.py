@@ -32,10 +32,10 @@ def pick(values: list[str], at):
 def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per conversation with an assistant turn; its turns are gathered, as a record holds them."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    t = table(spark, sf_dir, "conversations").where("role <> 'system'").withColumns({"after": F.lead("role").over(w), "before": F.lag("role").over(w)})
+    t = table(spark, sf_dir, "conversations").where("role <> 'system'").withColumns({"after": F.lead("role").over(w), "before": F.lag("role").over(w), "heard": F.lag("text").over(w)})
     conv, turn, text = F.col("conv_id"), F.col("turn"), F.col("text")
     kind = F.when((F.col("role") == "assistant") & (F.col("after") == "user"), "search").when(F.col("role") == "assistant", "final").when(F.col("before") == "assistant", "tool")
-    query = F.when(conv % 6 == 0, F.concat(F.lit("same query director "), conv.cast("string"))).otherwise(F.concat(first_words(text, 4), F.lit(" "), pick(SUFFIXES, (turn % 4).cast("int"))))
+    query = F.when(conv % 6 == 0, F.concat(F.lit("same query director "), conv.cast("string"))).otherwise(F.concat(F.when(conv % 2 == 1, F.coalesce(first_words(F.col("heard"), 3), F.lit(""))).otherwise(first_words(text, 4)), F.lit(" "), pick(SUFFIXES, (turn % 4).cast("int"))))
     answer = F.when(conv % 8 == 0, "1912").when(conv % 8 == 1, "Dexter or Barry").when(conv % 8 == 2, "Dexter King").otherwise(first_words(text, 3))
     final = F.when(conv % 5 != 0, F.concat(F.lit("Reasoning.\n\nAnswer: "), answer)).otherwise(first_words(text, 8))
     item = F.struct(F.lit(None).cast("string").alias("id"), first_words(text, 2).alias("title"), first_words(text, 10).alias("content"), F.lit(None).cast("string").alias("url"), F.lit("src").alias("source"), F.lit(None).cast("double").alias("score"))
@@ -68,12 +68,12 @@ def _sql_pick(values: list[str], at: str) -> str:
 
 #: Common table expressions that end in tj, the same trajectories; a turn's query is a plain field there.
 TRAJ_SQL = f"""
-WITH tj0 AS (SELECT *, lead(role) OVER w AS after, lag(role) OVER w AS before FROM conversations WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+WITH tj0 AS (SELECT *, lead(role) OVER w AS after, lag(role) OVER w AS before, lag(text) OVER w AS heard FROM conversations WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 tj1 AS (SELECT *, CASE WHEN role = 'assistant' AND after = 'user' THEN 'search' WHEN role = 'assistant' THEN 'final' WHEN before = 'assistant' THEN 'tool' END AS kind FROM tj0),
 tj2 AS (SELECT conv_id, turn, role AS was, text AS said, kind,
   CASE WHEN kind = 'tool' THEN 'tool' ELSE 'assistant' END AS role,
   CASE WHEN kind = 'search' THEN 'tool' WHEN kind = 'final' THEN 'answer' END AS parsed_kind,
-  CASE WHEN kind = 'search' THEN CASE WHEN conv_id % 6 = 0 THEN 'same query director ' || conv_id ELSE {_sql_words('text', 4)} || ' ' || {_sql_pick(SUFFIXES, 'turn % 4')} END END AS query,
+  CASE WHEN kind = 'search' THEN CASE WHEN conv_id % 6 = 0 THEN 'same query director ' || conv_id ELSE CASE WHEN conv_id % 2 = 1 THEN coalesce({_sql_words('heard', 3)}, '') ELSE {_sql_words('text', 4)} END || ' ' || {_sql_pick(SUFFIXES, 'turn % 4')} END END AS query,
   CASE WHEN kind = 'final' THEN CASE WHEN conv_id % 5 <> 0 THEN 'Reasoning.' || chr(10) || chr(10) || 'Answer: ' || CASE WHEN conv_id % 8 = 0 THEN '1912' WHEN conv_id % 8 = 1 THEN 'Dexter or Barry' WHEN conv_id % 8 = 2 THEN 'Dexter King' ELSE {_sql_words('text', 3)} END ELSE {_sql_words('text', 8)} END WHEN kind <> 'tool' THEN text END AS text,
   CASE WHEN kind = 'tool' THEN turn % 5 <> 0 END AS ok,
   CASE WHEN kind = 'tool' AND turn % 9 <> 0 THEN CASE WHEN conv_id % 7 = 0 THEN [] ELSE [{{'title': {_sql_words('text', 2)}, 'source': 'src', 'content': {_sql_words('text', 10)}}}] END END AS items,

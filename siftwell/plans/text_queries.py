@@ -66,7 +66,7 @@ def p01(spark, d):
 
 @query("p02_extract_answer", TRAJ_SQL + f"SELECT id, {S.answer('turns[-1].text')} AS answer FROM tj WHERE turns[-1].text IS NOT NULL")
 def p02(spark, d):
-    last = F.element_at("turns", -1)["text"]
+    last = F.try_element_at("turns", F.lit(-1))["text"]
     return trajectories(spark, d).where(last.isNotNull()).select("id", X.extract_answer(last).alias("answer"))
 
 

@@ -76,7 +76,7 @@ _EXACT = f"len(list_filter(answers, lambda r: {S.norm('r')} = {S.norm('ans')}))
 
 @query("f03_score_answer", TRAJ_SQL + f", s AS ({_SCORED}) SELECT id, CASE WHEN ans IS NULL THEN -0.1 WHEN {_EXACT} THEN 1.0 ELSE 0.0 END::DOUBLE AS reward, ans IS NOT NULL AS valid_format, ans IS NOT NULL AND coalesce({_EXACT}, false) AS exact_match FROM s")
 def f03(spark, d):
-    s = R.score_answer(F.coalesce(F.element_at("turns", -1)["text"], F.lit("")), F.col("answers"))
+    s = R.score_answer(F.coalesce(F.try_element_at("turns", F.lit(-1))["text"], F.lit("")), F.col("answers"))
     return trajectories(spark, d).select("id", s.alias("s")).select("id", "s.reward", "s.valid_format", "s.exact_match")
 
 
@@ -93,13 +93,13 @@ _MULTI = f"(regexp_matches(ans, '{_MULTI_RE}') AND NOT {_EXACT})"
 
 @query("f05_granularity_miss", TRAJ_SQL + f", s AS ({_SCORED}) SELECT id, coalesce({_GRANULARITY}, false) AS miss FROM s")
 def f05(spark, d):
-    t = trajectories(spark, d).withColumn("a", X.extract_answer(F.element_at("turns", -1)["text"]))
+    t = trajectories(spark, d).withColumn("a", X.extract_answer(F.try_element_at("turns", F.lit(-1))["text"]))
     return t.select("id", D.granularity_miss(F.col("a"), F.col("answers")).alias("miss"))
 
 
 @query("f06_multi_candidate", TRAJ_SQL + f", s AS ({_SCORED}) SELECT id, coalesce({_MULTI}, false) AS multi FROM s")
 def f06(spark, d):
-    t = trajectories(spark, d).withColumn("a", X.extract_answer(F.element_at("turns", -1)["text"]))
+    t = trajectories(spark, d).withColumn("a", X.extract_answer(F.try_element_at("turns", F.lit(-1))["text"]))
     return t.select("id", D.multi_candidate(F.col("a"), F.col("answers")).alias("multi"))
 
 
@@ -261,13 +261,13 @@ _EARLY_TEXT = f"question || ' ' || array_to_string({_Q}, ' ') || ' ' || {S.event
 @query("d13_early_answer_risk", TRAJ_SQL + f", s AS (SELECT *, list_filter(turns, lambda t: t.role = 'tool')[1] AS ft, {S.answer('turns[-1].text')} AS ans FROM tj), x AS (SELECT *, {_EARLY_TEXT} AS everything FROM s) SELECT id, coalesce(search_calls <= 1 AND stop_reason = 'answer' AND {S.cue('question', C.EARLY_CUES)} AND {S.evidence('ft')} AND len({S.spans('everything')}) + len(list_distinct({S.matches('everything', X.NUMBER)})) >= 3, false) AS risky FROM x")
 def d13(spark, d):
     t = trajectories(spark, d).withColumn("queries", E.tool_queries(F.col("turns")))
-    return t.select("id", C.early_answer_risk(X.extract_answer(F.element_at("turns", -1)["text"])).alias("risky"))
+    return t.select("id", C.early_answer_risk(X.extract_answer(F.try_element_at("turns", F.lit(-1))["text"])).alias("risky"))
 
 
 @query("d14_missing_final_hop")
 def d14(spark, d):
     t = trajectories(spark, d).withColumn("queries", E.tool_queries(F.col("turns")))
-    return t.select("id", F.array_join(C.missing_attributes(X.extract_answer(F.element_at("turns", -1)["text"])), "|").alias("missing"))
+    return t.select("id", F.array_join(C.missing_attributes(X.extract_answer(F.try_element_at("turns", F.lit(-1))["text"])), "|").alias("missing"))
 
 
 @query("d15_answer_guard", TRAJ_SQL + "SELECT id, CASE WHEN NOT exact_match AND search_calls > 0 AND NOT valid_format THEN CASE WHEN stop_reason = 'max_search_calls' THEN 'max_search_no_answer_after_search' WHEN stop_reason IN ('answer', 'invalid_format') THEN 'invalid_final_answer_format_after_search' END END AS reason FROM tj")
