@@ -132,6 +132,7 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 5, tables: int = 16
 
     short = asked.join(found.groupBy("k1", "k2").count().where(F.col("count") > k), ["k1", "k2"], "left_anti")
     if short.limit(1).count():
+        short = materialize(short, "short")
         blocks = max(1, -(-entries.count() // cell_rows))
         block = F.pmod(F.col("k1"), F.lit(blocks)).cast("int")
         all_rows = entries.select(block.alias("cell"), F.lit(0).alias("part"), "*")
