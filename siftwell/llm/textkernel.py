@@ -51,13 +51,13 @@ ALNUM_LOWER = Alphabet(tuple(b for b in range(128) if not chr(b).isalnum()), low
 class Words:
     """The words of a slice of documents.
 
-    hash: one 64-bit value a word; stem: the same of its first bytes, if asked for; start, end: byte positions within data;
+    hash: one 64-bit value a word; stems: the same of its first bytes, for each length asked for; start, end: byte positions within data;
     bounds: for document i the words bounds[i]:bounds[i + 1]; offsets: its bytes.
     """
 
-    __slots__ = ("data", "offsets", "hash", "stem", "start", "end", "bounds")
+    __slots__ = ("data", "offsets", "hash", "stems", "start", "end", "bounds")
 
-    def __init__(self, data, offsets, value, is_word, powers, stem=0):
+    def __init__(self, data, offsets, value, is_word, powers, stems=()):
         self.data, self.offsets = data, offsets
         ns = is_word[data]
         first, last = ns.copy(), ns.copy()
@@ -71,7 +71,7 @@ class Words:
         self.end = np.flatnonzero(last) + 1
         self.bounds = np.searchsorted(self.start, offsets)
         self.hash = np.empty(len(self.start), dtype=np.uint64)
-        self.stem = np.empty(len(self.start) if stem else 0, dtype=np.uint64)
+        self.stems = [np.empty(len(self.start), dtype=np.uint64) for _ in stems]
         lo = 0
         while lo < len(self.start):
             hi = max(lo + 1, int(np.searchsorted(self.end, self.start[lo] + _CHUNK, side="right")))
@@ -81,8 +81,8 @@ class Words:
             np.cumsum(value[data[s0:e1]] * up[: e1 - s0], out=sums[1:])
             s, e = self.start[lo:hi] - s0, self.end[lo:hi] - s0
             self.hash[lo:hi] = mix((sums[e] - sums[s]) * down[s])
-            if stem:
-                self.stem[lo:hi] = mix((sums[np.minimum(e, s + stem)] - sums[s]) * down[s])
+            for size, out in zip(stems, self.stems):
+                out[lo:hi] = mix((sums[np.minimum(e, s + size)] - sums[s]) * down[s])
             lo = hi
 
     def __len__(self) -> int:
@@ -132,12 +132,12 @@ def slices(texts, limit: int = 1 << 21):
         lo = hi
 
 
-def words(texts, alphabet: Alphabet, limit: int = 1 << 21, stem: int = 0):
-    """(from, to, Words) for the slices of an Arrow string array; stem: bytes of a word's stem."""
+def words(texts, alphabet: Alphabet, limit: int = 1 << 21, stems: tuple[int, ...] = ()):
+    """(from, to, Words) for the slices of an Arrow string array; stems: bytes of a word's stems."""
     value, is_word = alphabet.luts()
     powers = _Powers()
     for lo, hi, data, offsets in slices(texts, limit):
-        yield lo, hi, Words(data, offsets, value, is_word, powers, stem)
+        yield lo, hi, Words(data, offsets, value, is_word, powers, stems)
 
 
 def window_hash(h: np.ndarray, size: int, salt: int = 0, mask: tuple[int, ...] | None = None) -> np.ndarray:

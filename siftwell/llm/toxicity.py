@@ -1,7 +1,7 @@
 """Toxicity scoring by FTRL-proximal logistic regression.
 
 Features are the presence of hashed word n-grams (one and two words) and
-skip-grams (two words around a gap); single words count by their stem (the first
+skip-grams (two words around a gap); single words count by their stems (first
 bytes) as well, which gathers inflected forms. Per-coordinate learning rates and the L1
 term leave few non-zero weights, which are broadcast: at most 2 ** bits of them,
 whatever the corpus. Scoring is one map over whole texts without a shuffle.
@@ -36,7 +36,7 @@ class FTRL:
     l1: float = 8.0
     l2: float = 0.01
     epochs: int = 10
-    stem: int = 6
+    stems: tuple[int, ...] = (4, 6)
     train_rows: int = 8192
     gaps: tuple[int, ...] = (2, 3)
 
@@ -48,14 +48,15 @@ def _features(w, bits: int, gaps: tuple[int, ...]):
         h = window_hash(w.hash, size, 40 + salt, mask)
         at = np.flatnonzero(left[: len(h)] >= size)
         yield doc[at], (h[at] >> shift).astype(np.int64)
-    yield doc, (mix(w.stem, 39) >> shift).astype(np.int64)
+    for size, stem in enumerate(w.stems):
+        yield doc, (mix(stem, 39 - size) >> shift).astype(np.int64)
 
 
 def _extractor(p: FTRL):
     def extract(batches):
         for batch in batches:
             blobs = []
-            for lo, hi, w in words(batch.column(2), ALNUM_LOWER, stem=p.stem):
+            for lo, hi, w in words(batch.column(2), ALNUM_LOWER, stems=p.stems):
                 doc, at = (np.concatenate(x) for x in zip(*_features(w, p.bits, p.gaps)))
                 both = np.unique((doc << p.bits) | at)
                 cut = np.searchsorted(both >> p.bits, np.arange(hi - lo + 1))
@@ -110,7 +111,7 @@ def _scorer(shared, p: FTRL):
         table[at] = values
         for batch in batches:
             total = np.full(batch.num_rows, bias)
-            for lo, hi, w in words(batch.column(1), ALNUM_LOWER, stem=p.stem):
+            for lo, hi, w in words(batch.column(1), ALNUM_LOWER, stems=p.stems):
                 found = []
                 for doc, k in _features(w, p.bits, p.gaps):
                     hit = np.flatnonzero(table[k])
