@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import text as X
 from ..functions import turns as E
@@ -75,7 +76,7 @@ def multi_candidate(answer: Column, answers: Column) -> Column:
     return E.is_true(answer.rlike(X.MULTI_CANDIDATE) & ~F.exists(answers, lambda r: X.normalize_answer(r) == X.normalize_answer(answer)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two strings by their matching blocks."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])

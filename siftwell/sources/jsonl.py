@@ -15,10 +15,14 @@ CORPUS = "id string, title string, content string, url string, source string"
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, value): non-blank lines with their number in the file, from 1; blank ones count.
 
-    Whole files are numbered in one task each, as a line number depends on all lines before it.
+    Files are read in parallel blocks: a line's number is its place in its block, after the lines of the
+    file's earlier blocks, of which there is one count each.
     """
-    raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "value"))
-    return raw.where(F.trim("value") != "").select("file", (F.col("pos") + 1).alias("line"), "value")
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("m"))
+    blocks = raw.groupBy("file", "block").agg(F.min("m").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = raw.join(blocks.select("file", "block", "first", before.alias("before")), ["file", "block"])
+    return placed.where(F.trim("value") != "").select("file", (F.col("before") + F.col("m") - F.col("first") + 1).cast("int").alias("line"), "value")
 
 
 def to_array(c: Column) -> Column:
