@@ -24,10 +24,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     state = _state(now)
     while state[0]:
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).union(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        # dealt anew, so that both sides of the join are plain shuffles and Spark can split a node with very many edges
+        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")).hint("rebalance")
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(root, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(root)
+        small = large.join(root.hint("rebalance"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(root)
         now = materialize(small.distinct(), "edges")
         was, state = state, _state(now)
         if was == state:

@@ -242,7 +242,7 @@ def ngram_jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80,
     sent = materialize(dealt.groupBy("_g").cogroup(common.groupBy("_g")).applyInArrow(_sender(size, percent, buckets), _SENT), "shingles")
 
     members = sent.where("kind = 0").select("doc_id", "n", "d1", "d2", "lead")
-    equal = members.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    equal = members.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies").hint("rebalance")
     mapped = members.join(equal, ["d1", "d2", "n"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     mapped = materialize(mapped, "members")
 
