@@ -69,7 +69,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), F.try_element_at("items", F.lit(1)).alias("first_item_id"))
+    return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), F.coalesce(F.try_element_at("items", F.lit(1)), F.lit(-1)).alias("first_item_id"))
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,4 +109,41 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/es/', 'example
 FROM r
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_warc": _OP2_SQL, "op5_url_filters": _OP5_SQL}
+_OP1_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS p FROM w WHERE len(ws) >= 13),
+win AS (SELECT doc_id, p, array_to_string(ws[p:p + 12], ' ') AS k FROM starts),
+f AS (SELECT k, min(doc_id) AS first FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, p + o AS q FROM (SELECT doc_id, p FROM win JOIN f USING (k) WHERE doc_id > first) CROSS JOIN range(13) t(o)),
+each AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS q FROM w),
+kept AS (SELECT each.doc_id, count(gone.q) AS n_removed, string_agg(word, ' ' ORDER BY each.q) FILTER (gone.q IS NULL) AS kept FROM each LEFT JOIN gone ON gone.doc_id = each.doc_id AND gone.q = each.q GROUP BY each.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Two substitutions in 13 words leave four words in a row unchanged, so four-word sequences find all diagonals. No item has under 13 words.
+_OP8_SQL = rf"""
+WITH d AS (SELECT doc_id AS id, regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS ws FROM documents),
+b AS (SELECT item_id AS id, regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS ws FROM benchmark),
+dg AS (SELECT id, p, array_to_string(ws[p:p + 3], ' ') AS k FROM (SELECT id, ws, unnest(range(1, len(ws) - 2)) AS p FROM d WHERE len(ws) >= 13)),
+bg AS (SELECT id, p, array_to_string(ws[p:p + 3], ' ') AS k FROM (SELECT id, ws, unnest(range(1, len(ws) - 2)) AS p FROM b WHERE len(ws) >= 13)),
+diag AS (SELECT DISTINCT dg.id AS doc_id, bg.id AS item_id, dg.p - bg.p AS shift FROM dg JOIN bg USING (k)),
+places AS (SELECT doc_id, item_id, shift, unnest(range(greatest(1, 1 - shift), 1 + least(len(b.ws), len(d.ws) - shift))) AS q, d.ws AS dw, b.ws AS bw FROM diag JOIN d ON d.id = doc_id JOIN b ON b.id = item_id),
+same AS (SELECT doc_id, item_id, shift, q, (dw[q + shift] = bw[q])::INT AS e FROM places),
+sums AS (SELECT doc_id, item_id, sum(e) OVER w AS agree, count(*) OVER w AS n FROM same WINDOW w AS (PARTITION BY doc_id, item_id, shift ORDER BY q ROWS BETWEEN 12 PRECEDING AND CURRENT ROW)),
+hit AS (SELECT DISTINCT doc_id, item_id FROM sums WHERE n = 13 AND agree >= 11)
+SELECT d.id AS doc_id, count(item_id) > 0 AS contaminated, count(item_id) AS n_items, coalesce(min(item_id), -1) AS first_item_id FROM d LEFT JOIN hit ON hit.doc_id = d.id GROUP BY d.id
+"""
+
+_OP9_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda p: array_to_string(ws[p:p + 2], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS k FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b USING (k) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 90 * (x.n + y.n - o)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(min(b), w.doc_id)) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reach ON a = w.doc_id GROUP BY w.doc_id, n.n
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1_SQL, "op2_warc": _OP2_SQL, "op5_url_filters": _OP5_SQL, "op8_decontamination": _OP8_SQL, "op9_ngram_jaccard": _OP9_SQL}
