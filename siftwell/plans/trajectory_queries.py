@@ -264,10 +264,24 @@ def d13(spark, d):
     return t.select("id", C.early_answer_risk(X.extract_answer(F.try_element_at("turns", F.lit(-1))["text"])).alias("risky"))
 
 
-@query("d14_missing_final_hop")
+_COVERS = {a: S.has_any("qterms", t) for a, t in C.ATTRIBUTE_TERMS.items()}
+_COVERS["date"] = f"({S.has_any('qterms', ['date', 'year'])} OR ({S.cue('question', ['birth', 'born', 'older', 'younger'])} AND {S.has_any('qterms', ['birth', 'birthdate', 'born'])}) OR ({S.cue('question', ['death', 'die', 'died', 'died earlier'])} AND {S.has_any('qterms', ['death', 'deathdate', 'die', 'died'])}))"
+_MISSING = "list_filter([" + ", ".join(f"CASE WHEN {S.cue('question', C.ATTRIBUTE_CUES[a])} AND NOT {_COVERS[a]} THEN '{a}' END" for a in C.ATTRIBUTE_TERMS) + "], lambda x: x IS NOT NULL)"
+_SAYS = "(" + " OR ".join(f"({S.cue('question', C.ATTRIBUTE_CUES[a])} AND ({S.has_any('ev.own', t)}" + (f" OR regexp_matches(ev.body, '{X.NUMBER}')" if a == "date" else "") + "))" for a, t in C.ATTRIBUTE_TERMS.items()) + ")"
+
+#: fz holds the trajectories with what their final answers risk.
+FINAL_SQL = f""", fa AS (SELECT *, list_filter(turns, lambda t: t.role = 'assistant') AS assist, list_filter(turns, lambda t: t.role = 'tool') AS tools FROM tj),
+fb AS (SELECT *, coalesce(list_max(list_filter(range(len(assist)), lambda n: assist[n + 1].query IS NULL)), len(assist) - 1) AS final_index, tools[1] AS ft, {S.answer('assist[-1].text')} AS ans, {S.terms(f"array_to_string({_Q}, ' ')")} AS qterms FROM fa),
+fc AS (SELECT *, list_transform(tools, lambda tt: {{'body': {S.event_text('tt')}, 'own': {S.terms(S.event_text('tt'))}}}) AS events, {S.answer_terms('ans')} AS own, {_EARLY_TEXT} AS everything FROM fb),
+fz AS (SELECT *, coalesce(search_calls <= 1 AND stop_reason = 'answer' AND {S.cue('question', C.EARLY_CUES)} AND {S.evidence('ft')} AND len({S.spans('everything')}) + len(list_distinct({S.matches('everything', X.NUMBER)})) >= 3, false) AS early,
+  CASE WHEN search_calls > 0 AND stop_reason = 'answer' AND len(list_filter(turns, lambda tt: {S.evidence('tt')})) > 0 AND NOT (len(own) > 0 AND len(list_filter(events, lambda ev: {_SUBSET('own', 'ev.own')} AND {_SAYS})) > 0) THEN {_MISSING} ELSE [] END AS missing FROM fc)
+"""
+
+
+@query("d14_missing_final_hop", TRAJ_SQL + FINAL_SQL + "SELECT id, array_to_string(missing, '|') AS missing FROM fz")
 def d14(spark, d):
     t = trajectories(spark, d).withColumn("queries", E.tool_queries(F.col("turns")))
-    return t.select("id", F.array_join(C.missing_attributes(X.extract_answer(F.try_element_at("turns", F.lit(-1))["text"])), "|").alias("missing"))
+    return t.select("id", F.array_join(C.missing_attributes(X.extract_answer(E.final_text(F.col("turns"), any_kind=True))), "|").alias("missing"))
 
 
 @query("d15_answer_guard", TRAJ_SQL + "SELECT id, CASE WHEN NOT exact_match AND search_calls > 0 AND NOT valid_format THEN CASE WHEN stop_reason = 'max_search_calls' THEN 'max_search_no_answer_after_search' WHEN stop_reason IN ('answer', 'invalid_format') THEN 'invalid_final_answer_format_after_search' END END AS reason FROM tj")
@@ -278,10 +292,21 @@ def d15(spark, d):
 CREDIT = C.Credit("final_hop_bridge", evidence_bonus=0.05, final_hop_bonus=0.08, early_penalty=0.05, missing_penalty=0.08, guard_penalty=0.06)
 
 
-@query("d16_credit_labels")
+#: cl holds the labels of CREDIT.
+CREDIT_SQL = EVIDENCE_SQL + FINAL_SQL + f""", ga AS (SELECT id, CASE WHEN min(reward) OVER g = max(reward) OVER g THEN 0 ELSE reward - avg(reward) OVER g END AS adv FROM tj WINDOW g AS (PARTITION BY question_index)),
+al AS (SELECT id, final_index AS turn_index, 'final_answer_guard' AS label, NULL AS query, -0.06 AS bonus, 1 AS prio FROM fz WHERE NOT exact_match AND search_calls > 0 AND NOT valid_format AND stop_reason IN ('max_search_calls', 'answer', 'invalid_format')
+  UNION ALL SELECT id, turn_index, 'evidence_bridge_search', query, 0.05, 2 FROM sy WHERE valid_format AND NOT exact_match AND bridge AND adds AND evidence
+  UNION ALL SELECT id, turn_index, 'final_hop_attribute_search', query, 0.08, 3 FROM sy WHERE valid_format AND NOT exact_match AND bridge AND evidence AND len({_HOP}) > 0
+  UNION ALL SELECT id, final_index, 'early_answer_missing_followup', NULL, -0.05, 4 FROM fz WHERE valid_format AND NOT exact_match AND early
+  UNION ALL SELECT id, final_index, 'missing_final_hop_attribute', NULL, -0.08, 5 FROM fz WHERE valid_format AND NOT exact_match AND len(missing) > 0),
+cl AS (SELECT al.id, CAST(turn_index AS BIGINT) AS turn_index, label, query, CAST(bonus AS DOUBLE) AS bonus, round(CASE WHEN bonus >= 0 THEN greatest(adv, 0) + bonus ELSE least(adv, 0) + bonus END, 6)::DOUBLE AS effective_advantage FROM al JOIN ga USING (id) QUALIFY row_number() OVER (PARTITION BY al.id, turn_index ORDER BY prio DESC) = 1)
+"""
+
+
+@query("d16_credit_labels", CREDIT_SQL + "SELECT * FROM cl")
 def d16(spark, d):
     t = M.group_advantages(trajectories(spark, d))
-    return C.credit_labels(t, CREDIT).join(t.select("id", "advantage"), "id").select("id", "turn_index", "label", "query", "bonus", F.round(C.effective_advantage(F.col("advantage"), F.col("bonus")), 6).alias("effective_advantage"))
+    return C.credit_labels(t, CREDIT).join(t.select("id", "advantage"), "id").select("id", F.col("turn_index").cast("long").alias("turn_index"), "label", "query", "bonus", F.round(C.effective_advantage(F.col("advantage"), F.col("bonus")), 6).alias("effective_advantage"))
 
 
 @query("d16_helpful_credit", SEARCH_SQL + f", ga AS (SELECT id, CASE WHEN min(reward) OVER g = max(reward) OVER g THEN 0 ELSE reward - avg(reward) OVER g END AS adv FROM tj WINDOW g AS (PARTITION BY question_index)) SELECT id, CAST(turn_index AS BIGINT) AS turn_index, query, round(greatest(adv, 0) + 0.1, 6) AS effective_advantage FROM su JOIN ga USING (id) WHERE valid_format AND NOT exact_match AND later AND len(new) >= 2 AND ({S.has_any('terms', X.FOLLOWUP_CUES)} OR len(list_filter(new, lambda t: NOT list_contains(qt, t))) > 0) AND {S.evidence('seen_before')}")
@@ -296,7 +321,10 @@ def d17(spark, d):
     return trajectories(spark, d).select("id", C.final_turn_index().cast("long").alias("turn_index"))
 
 
-@query("d18_credit_analysis")
+_SHAPED = f"later AND len(new) >= 2 AND ({S.has_any('terms', X.FOLLOWUP_CUES)} OR len(list_filter(new, lambda t: NOT list_contains(qt, t))) > 0) AND {S.evidence('seen_before')}"
+
+
+@query("d18_credit_analysis", EVIDENCE_SQL + f"SELECT su.id, count(*) FILTER ({_SHAPED}) AS helpful_turns, coalesce(any_value(ev), 0)::BIGINT AS evidence_turns, coalesce(any_value(hop), 0)::BIGINT AS final_hop_turns FROM su LEFT JOIN (SELECT id, count(*) FILTER (bridge AND adds AND evidence) AS ev, count(*) FILTER (bridge AND evidence AND len({_HOP}) > 0) AS hop FROM sy GROUP BY id) y ON y.id = su.id GROUP BY su.id")
 def d18(spark, d):
     t = trajectories(spark, d)
     s = C.search_turns(t)
@@ -304,7 +332,7 @@ def d18(spark, d):
     return s.select("id", C.helpful_bridge(s).alias("helpful"), C.evidence_bridge(s).alias("evidence"), hit.alias("hop")).groupBy("id").agg(F.count_if("helpful").alias("helpful_turns"), F.count_if("evidence").alias("evidence_turns"), F.count_if("hop").alias("final_hop_turns"))
 
 
-@query("a10_credit_metrics")
+@query("a10_credit_metrics", CREDIT_SQL + "SELECT label, count(*) AS turns, count(DISTINCT id) AS trajectories FROM cl GROUP BY label")
 def a10(spark, d):
     got = C.credit_labels(M.group_advantages(trajectories(spark, d)), CREDIT)
     return got.groupBy("label").agg(F.count("*").alias("turns"), F.count_distinct("id").alias("trajectories"))
@@ -340,10 +368,10 @@ def a13(spark, d):
     return rounded(s.select("config_name", "total", "mean_base_reward", "mean_final_reward", "penalized_count", "correct_penalized_count", "wrong_valid_penalized_count", "helpful_followup_penalized_count", "boosted_count"))
 
 
-@query("w08_top_penalties")
+@query("w08_top_penalties", RESCORE_SQL + "SELECT config_name, row_number() OVER (PARTITION BY config_name ORDER BY round(delta, 9), id) AS rank, id, round(delta::DOUBLE, 6) AS reward_delta FROM rs WHERE delta < -1e-9 QUALIFY rank <= 5")
 def w08(spark, d):
     r = R.rescore(trajectories(spark, d), R.default_configs()).where("reward_delta < 0")
-    return rounded(M.first_of_each(r, ["config_name"], 5, "reward_delta", "id").select("config_name", "rank", "id", "reward_delta"))
+    return rounded(M.first_of_each(r, ["config_name"], 5, F.round("reward_delta", 9), "id").select("config_name", F.col("rank").cast("long").alias("rank"), "id", "reward_delta"))
 
 
 @query("d03_default_configs", f"WITH {_CONF} SELECT config_name, dup::DOUBLE AS duplicate_query_penalty, bon::DOUBLE AS helpful_followup_bonus, nos::DOUBLE AS no_search_penalty FROM cf")
