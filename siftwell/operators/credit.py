@@ -237,3 +237,32 @@ def mark_turns(turns: Column, credits: Column) -> Column:
         return F.when(t["role"] == "assistant", F.try_element_at(F.filter(credits, lambda c: c["turn_index"] == n), F.lit(1))["label"])
 
     return F.transform(turns, label)
+
+
+def analyze(df: DataFrame, key: str = "id") -> DataFrame:
+    """Per trajectory, how many turns each detector finds and which risks its answer has; credit and penalties are for wrong answers only."""
+    s = search_turns(df, key)
+    found = s.select(key, helpful_bridge(s).alias("h"), evidence_bridge(s).alias("e"), final_hop(s)[0].alias("f")).groupBy(key).agg(F.count_if("h").alias("helpful_turns"), F.count_if("e").alias("evidence_turns"), F.count_if("f").alias("final_hop_turns"))
+    d = df.withColumn("queries", E.tool_queries(F.col("turns"))).withColumn("final_answer", X.extract_answer(E.final_text(F.col("turns"))))
+    wrong = E.is_true(F.col("valid_format")) & ~E.is_true(F.col("exact_match"))
+    d = d.select(key, "data_source", E.is_true(F.col("exact_match")).alias("exact_match"), E.is_true(F.col("valid_format")).alias("valid_format"), "search_calls", wrong.alias("wrong_valid"), (wrong & early_answer_risk(F.col("final_answer"))).alias("early_penalty"), (wrong & (F.size(missing_attributes(F.col("final_answer"))) > 0)).alias("missing_penalty"), guard_reason().isNotNull().alias("guard_penalty"))
+    n = ["helpful_turns", "evidence_turns", "final_hop_turns"]
+    d = d.join(found, key, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in n})
+    return d.withColumns({f"credited_{c}": F.when(F.col("wrong_valid"), F.col(c)).otherwise(0) for c in n})
+
+
+def summarize_analysis(analyzed: DataFrame) -> DataFrame:
+    """Totals of analyze(), as one row."""
+    sums = ["helpful_turns", "credited_helpful_turns", "evidence_turns", "credited_evidence_turns", "final_hop_turns", "credited_final_hop_turns"]
+    return analyzed.agg(
+        F.count("*").alias("total"), F.count_if("wrong_valid").alias("wrong_valid"), *(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in sums),
+        F.count_if(F.col("evidence_turns") > 0).alias("evidence_records"), F.count_if(F.col("final_hop_turns") > 0).alias("final_hop_records"), F.count_if(F.col("wrong_valid") & ((F.col("evidence_turns") > 0) | (F.col("final_hop_turns") > 0))).alias("credited_records"),
+        *(F.count_if(c).alias(f"{c}_records") for c in ("early_penalty", "missing_penalty", "guard_penalty")),
+    )
+
+
+def outcome_buckets(analyzed: DataFrame) -> DataFrame:
+    """Trajectories by source, outcome and number of searches."""
+    flag = lambda c: F.when(F.col(c), "True").otherwise("False")
+    bucket = F.concat_ws("|", F.coalesce("data_source", F.lit("unknown")), F.concat(F.lit("exact="), flag("exact_match")), F.concat(F.lit("format="), flag("valid_format")), F.concat(F.lit("search_calls="), F.col("search_calls").cast("string")))
+    return analyzed.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))

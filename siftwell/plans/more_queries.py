@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import prompts
 from ..functions import protocol as P
 from ..functions import text as X
+from ..operators import backends, credit
 from ..operators import diagnostics as D
 from ..operators import metrics as M
 from ..operators import prep, replay
@@ -14,6 +16,7 @@ from ..sources import jsonl
 from ..streaming import windows
 from . import reports
 from . import sqltext as S
+from . import trajectory_queries as Q
 from .derive import EXAMPLES_SQL, TRAJ_SQL, examples, first_words, table, trajectories
 from .registry import query, scratch
 from .trajectory_queries import rounded
@@ -129,3 +132,51 @@ def stream(spark, d):
     path = scratch(spark, "windows")
     windows.run_once(windows.windowed_stats(windows.read_events(spark, d)), path, scratch(spark, "stream"))
     return windows.latest(spark, path).withColumn("total", F.round("total", 4))
+
+
+_A14 = f""", ax AS (SELECT id, CASE WHEN valid_format AND NOT exact_match THEN 1 ELSE 0 END AS w, early, len(missing) > 0 AS mis, NOT exact_match AND search_calls > 0 AND NOT valid_format AND stop_reason IN ('max_search_calls', 'answer', 'invalid_format') AS guard FROM fz),
+ay AS (SELECT ax.*, coalesce(h, 0) AS h, coalesce(e, 0) AS e, coalesce(f, 0) AS f FROM ax LEFT JOIN (SELECT id, count(*) FILTER ({Q._SHAPED}) AS h FROM su GROUP BY id) USING (id) LEFT JOIN (SELECT id, count(*) FILTER (bridge AND adds AND evidence) AS e, count(*) FILTER (bridge AND evidence AND len({Q._HOP}) > 0) AS f FROM sy GROUP BY id) USING (id))
+SELECT count(*) AS total, sum(w)::BIGINT AS wrong_valid, sum(h)::BIGINT AS helpful_turns, sum(h * w)::BIGINT AS credited_helpful_turns, sum(e)::BIGINT AS evidence_turns, sum(e * w)::BIGINT AS credited_evidence_turns, sum(f)::BIGINT AS final_hop_turns, sum(f * w)::BIGINT AS credited_final_hop_turns,
+ count(*) FILTER (e > 0) AS evidence_records, count(*) FILTER (f > 0) AS final_hop_records, count(*) FILTER (w = 1 AND (e > 0 OR f > 0)) AS credited_records, count(*) FILTER (w = 1 AND early) AS early_penalty_records, count(*) FILTER (w = 1 AND mis) AS missing_penalty_records, count(*) FILTER (guard) AS guard_penalty_records FROM ay"""
+
+
+@query("a14_credit_summary", Q.EVIDENCE_SQL + Q.FINAL_SQL + _A14)
+def a14s(spark, d):
+    return credit.summarize_analysis(credit.analyze(trajectories(spark, d)))
+
+
+@query("a14_outcome_buckets", TRAJ_SQL + "SELECT data_source || '|exact=' || CASE WHEN exact_match THEN 'True' ELSE 'False' END || '|format=' || CASE WHEN valid_format THEN 'True' ELSE 'False' END || '|search_calls=' || search_calls AS bucket, count(*) AS n FROM tj GROUP BY 1")
+def a14b(spark, d):
+    return credit.outcome_buckets(credit.analyze(trajectories(spark, d)))
+
+
+@query("p29_next_prompt", "SELECT item_id, CAST(length('<|user|>' || chr(10) || text || '<|end|>' || chr(10) || '<|assistant|>' || chr(10) || 'Look' || '<|end|>' || chr(10) || '<|tool|>' || chr(10) || 'seen' || '<|end|>' || chr(10) || '<|assistant|>' || chr(10)) AS BIGINT) AS n, true AS ends_open FROM benchmark")
+def p29(spark, d):
+    encode = prompts.encoder(prompts.code_points)
+    message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    user, said, seen = message("user", F.col("text")), message("assistant", F.lit("Look")), message("tool", F.lit("seen"))
+    t = table(spark, d, "benchmark").select("item_id", encode(prompts.render(F.array(user), True)).alias("prompt"), encode(F.lit("Look")).alias("action"), encode(prompts.render(F.array(user, said), False)).alias("ended"), encode(prompts.render(F.array(user, said, seen), True)).alias("after"), encode(F.lit("Look<|e")).alias("completion"))
+    got = t.select("item_id", prompts.next_prompt(F.col("prompt"), F.col("action"), F.col("ended"), F.col("after"), F.col("prompt"), F.col("completion")).alias("p"))
+    return got.select("item_id", F.size("p.tokens").cast("long").alias("n"), (F.element_at("p.tokens", -1) == 10).alias("ends_open"))
+
+
+@query("x03_backend_results", f"SELECT doc_id AS query_id, lang NOT IN ('en', 'de') AS empty FROM documents WHERE CAST('0x' || substr(md5('5:' || doc_id), 1, 8) AS BIGINT) / 4294967296.0 >= 0.3")
+def x03(spark, d):
+    asked = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("lang").alias("query"))
+    pairs = spark.createDataFrame([("EN", 2), ("De ", 5)], "query string, n_items int")
+    got = backends.build("mock", {"timeout": 0.1, "rate_limited": 0.2}, 5, pairs=pairs).search(asked)
+    return got.where("ok").select("query_id", (F.col("n_items") == 0).alias("empty"))
+
+
+@query("k04_credit_report")
+def k04c(spark, d):
+    return spark.createDataFrame([(k, x) for k, x in enumerate(reports.credit_report(trajectories(spark, d)).split("\n"))], "line int, text string")
+
+
+@query("k04_targeted_report")
+def k04t(spark, d):
+    e = examples(spark, d)
+    pick = lambda score: prep.select_candidates(e.withColumn("score", score["score"]), 60)
+    bridge = pick(prep.bridge_score(F.col("question"), F.col("data_source")))
+    alias = pick(prep.alias_score(F.col("question"), F.col("answers"))).join(bridge.select("data_source", "id"), ["data_source", "id"], "left_anti")
+    return spark.createDataFrame([(k, x) for k, x in enumerate(reports.targeted_report(bridge, alias).split("\n"))], "line int, text string")
