@@ -88,7 +88,8 @@ def metric_series(spark: SparkSession, labelled: list[tuple[str, str]]) -> DataF
 def with_origin(df: DataFrame) -> DataFrame:
     """Origin, the file's name without its ending, and file_rank by name."""
     stem = F.regexp_extract("file", r"([^/]+?)(\.[^./]*)?$", 1)
-    return df.withColumn("origin", stem).withColumn("file_rank", F.dense_rank().over(Window.orderBy("file")))
+    ranks = df.select("file").distinct().withColumn("file_rank", F.row_number().over(Window.orderBy("file")))  # one row per file
+    return df.withColumn("origin", stem).join(ranks, "file")
 
 
 def parse_spec(spec: str) -> tuple[str, str]:

@@ -230,3 +230,35 @@ def test_selection_is_capped_then_filled(spark):
     df = spark.createDataFrame(rows, "id string, data_source string, score int, origin string")
     got = prep.select_candidates(df, 7, per_source=2).collect()
     assert [r.id for r in got][:5] == ["a0", "a1", "b0", "b1", "z"] and len(got) == 7
+
+
+def test_next_prompt_keeps_sampled_tokens(spark):
+    from siftwell.functions import prompts
+
+    arr = lambda *x: F.array(*map(F.lit, x))
+    got = one(spark, prompts.next_prompt(arr(1, 2), arr(5), arr(1, 2, 5, 8, 9), arr(1, 2, 5, 8, 9, 4, 7), arr(1, 2), arr(6, 8)))
+    assert got.tokens == [1, 2, 6, 8, 9, 4, 7] and got.status is None
+    assert one(spark, prompts.next_prompt(arr(1, 2), arr(5), arr(1, 2, 6), arr(1, 2, 6), arr(1), arr(2))).status == "no_boundary"
+    assert one(spark, prompts.next_prompt(arr(1), arr(5), arr(1, 5, 8), arr(1, 9), arr(1), arr(2))).status == "history_rewritten"
+
+
+def test_backends(spark):
+    from siftwell.operators import backends
+
+    docs = spark.createDataFrame([(1, "french novella"), (2, "german opera")], "doc_id int, text string")
+    asked = spark.createDataFrame([(k, q) for k, q in enumerate(["opera", "??", "zzz"])], "query_id int, query string")
+    got = {r.query_id: (r.ok, r.error_type, r.n_items) for r in backends.build("local_bm25", documents=docs).search(asked).collect()}
+    assert got == {0: (True, None, 1), 1: (False, "empty_query", 0), 2: (True, None, 0)}
+    broken = backends.build("local_bm25", {"timeout": 1.0}, documents=docs)
+    assert broken.name == "local_bm25" and {(r.ok, r.error_type, r.n_items) for r in broken.search(asked).collect()} == {(False, "timeout", 0)}
+    assert backends.tool_records(asked, broken).agg(F.sum("tool_failures")).first()[0] == 3
+    with pytest.raises(ValueError):
+        backends.build("other")
+
+
+def test_shuffle_and_cyclic_batch(spark):
+    df = spark.range(300).withColumn("id", F.col("id"))
+    a = [r.ord for r in prep.shuffled(df, 1).orderBy("id").collect()]
+    assert sorted(a) == list(range(300)) and a != [r.ord for r in prep.shuffled(df, 2).orderBy("id").collect()]
+    got = prep.take_batch(prep.shuffled(df.limit(5), 1), 3, 12, 5).orderBy("batch_pos").collect()
+    assert [r.ord for r in got] == [(3 + k) % 5 for k in range(12)]
