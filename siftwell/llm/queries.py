@@ -11,7 +11,7 @@ from .decontaminate import decontaminate
 from .ngram_jaccard import ngram_jaccard_components
 from .packing import best_fit_pack
 from .quality import fit_quality, score_quality
-from .store import fresh_path
+from .store import drop_at_exit, fresh_path
 from .substring_dedup import substring_dedup
 from .token_counts import count_tokens
 from .toxicity import fit_toxicity, held_out, score_toxicity
@@ -31,6 +31,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path, min_bytes=0)
+    drop_at_exit(spark, path)
     found = assemble(read_warc(spark, path))
     return found.select(F.col("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("refers_to_page").alias("refers_to"))
 

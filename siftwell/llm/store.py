@@ -33,14 +33,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_DROP, was)
+    drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a folder that fresh_path() named."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver delete a written folder when it ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> str:
