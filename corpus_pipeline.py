@@ -1,11 +1,12 @@
 """From documents to packed training bins: toxicity, near duplicates, substring dedup, decontamination, packing.
 
-Each stage takes (spark, docs, sf_dir) and works on all that the one before kept.
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. Null and empty texts pass all
+stages: they are not toxic, near-duplicate or contaminated, lose nothing, and get a piece of no words and no bin.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.decontaminate import decontaminate
@@ -25,10 +26,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by five-word shingle sets of a Jaccard similarity of 0.8 or more, that of the smallest id."""
+    """Of documents connected by five-word shingle sets of a Jaccard similarity of 0.8 or more, that of the smallest id.
+
+    Of rows that repeat an id and its text one stays, whatever their other columns hold; rows without an id all stay.
+    """
     found = ngram_jaccard_components(docs, size=5, percent=80)
     others = found.where("component_id <> doc_id").select("doc_id")
-    return docs.join(others.hint("merge"), "doc_id", "left_anti").select(COLUMNS)
+    # the window follows the join's own partitioning and order, so it shuffles nothing
+    kept = docs.select(COLUMNS).join(others.hint("merge"), "doc_id", "left_anti").withColumn("_text", F.xxhash64("text"))
+    copy = F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy("doc_id"))
+    return kept.withColumn("_copy", copy).where("_copy = 1 or doc_id is null").select(COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

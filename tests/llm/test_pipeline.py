@@ -129,3 +129,20 @@ def test_query_against_its_oracle(spark, name):
             c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
         want = c.execute(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
         assert Counter(map(tuple, rows)) == Counter(want)
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls in any column, empty texts, repeated rows, a clashing extra column, and no rows at all."""
+    long = " ".join(f"w{k}" for k in range(30000))
+    rows = [(1, None, None, None, None, 1), (2, "", "en", "s", 0, 1), (3, long, None, "s", 9, 1), (3, long, None, "s", 9, 1), (4, long + " end", "en", None, 9, 1), (None, "some words here", "en", "s", 3, 1), (None, "some words here", "en", "s", 3, 1), (6, "one two", "en", "s", 7, 1), (7, "one two", "en", "s", 7, 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _g int"
+    want = [9, 6, 6, 6]
+    for given, counts in ((rows, want), ([], [0] * 4)):
+        docs = spark.createDataFrame(given, schema)
+        for (_, stage), n in zip(corpus_pipeline.STAGES, counts):
+            docs = stage(spark, docs, SF)
+            docs = spark.createDataFrame(docs.collect(), docs.schema)
+            assert docs.columns == corpus_pipeline.COLUMNS and docs.count() == n
+        out = corpus_pipeline.pack(spark, docs, SF).collect()
+        assert {r.doc_id for r in out} == {r.doc_id for r in docs.collect()}
+        assert sum(r.n_words for r in out) == (30000 + 3 + 3 + 2 if given else 0)
