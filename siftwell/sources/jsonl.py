@@ -36,10 +36,10 @@ def check(df: DataFrame, bad: Column, what: str) -> DataFrame:
     return df.where(F.when(bad, said).otherwise(1) == 1)
 
 
-def read_examples(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
+def read_examples(spark: SparkSession, path: str, limit: int = 0, default_source: str = "unknown") -> DataFrame:
     """Id (example-<line> by default), question, answers and data_source, in file order as ord."""
     rows = check(lines(spark, path).withColumn("r", F.from_json("value", EXAMPLE + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})), F.col("r._corrupt_record").isNotNull(), "invalid JSON")
-    found = rows.select("file", "line", F.coalesce(F.nullif("r.id", F.lit("")), F.concat(F.lit("example-"), F.col("line").cast("string"))).alias("id"), F.col("r.question").alias("question"), to_array(F.col("r.answers")).alias("answers"), F.coalesce(F.nullif("r.data_source", F.lit("")), F.lit("minilab")).alias("data_source"))
+    found = rows.select("file", "line", F.coalesce(F.nullif("r.id", F.lit("")), F.concat(F.lit("example-"), F.col("line").cast("string"))).alias("id"), F.col("r.question").alias("question"), to_array(F.col("r.answers")).alias("answers"), F.coalesce(F.nullif("r.data_source", F.lit("")), F.lit(default_source)).alias("data_source"))
     return found.orderBy("file", "line").limit(limit) if limit else found
 
 

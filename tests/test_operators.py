@@ -67,7 +67,7 @@ def test_terms_and_spans(spark):
 def test_examples_and_records_round_trip(spark, tmp_path):
     (tmp_path / "e.jsonl").write_text('{"id":"x","question":"q","answers":"one","data_source":"s"}\n\n{"question":"r","answers":["a","b"]}\n')
     rows = jsonl.read_examples(spark, str(tmp_path / "e.jsonl")).orderBy("line").collect()
-    assert [(r.id, r.answers, r.data_source) for r in rows] == [("x", ["one"], "s"), ("example-3", ["a", "b"], "minilab")]
+    assert [(r.id, r.answers, r.data_source) for r in rows] == [("x", ["one"], "s"), ("example-3", ["a", "b"], "unknown")]
     (tmp_path / "bad.jsonl").write_text('{"id":\n')
     with pytest.raises(Exception, match="invalid"):
         jsonl.read_records(spark, str(tmp_path / "bad.jsonl")).collect()
