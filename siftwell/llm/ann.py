@@ -39,37 +39,56 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(n)
 
 
-def axes(vectors: np.ndarray, table: int, probes: int, seed: int) -> np.ndarray:
-    """The nearest signed axes of each row, nearest first, after the table's pseudo-rotation."""
+def _rotated(vectors: np.ndarray, seed: list[int]) -> np.ndarray:
+    """Similarities of each row to all signed axes after a pseudo-rotation."""
     size = 1 << max(1, (vectors.shape[1] - 1).bit_length())
     y = np.zeros((len(vectors), size))
     y[:, : vectors.shape[1]] = vectors
-    flips = np.random.default_rng([seed, table]).choice([-1.0, 1.0], size=(3, size))
-    for f in flips:
-        y = hadamard(y * f)
-    both = np.concatenate([y, -y], axis=1)
-    if probes == 1:
-        return both.argmax(axis=1)[:, None]
-    best = np.argpartition(-both, probes - 1, axis=1)[:, :probes]
-    return np.take_along_axis(best, np.argsort(-np.take_along_axis(both, best, axis=1), axis=1), axis=1)
+    for flips in np.random.default_rng(seed).choice([-1.0, 1.0], size=(3, size)):
+        y = hadamard(y * flips)
+    return np.concatenate([y, -y], axis=1)
+
+
+def _top(scores: np.ndarray, n: int) -> np.ndarray:
+    """Columns of the n largest scores of each row, largest first."""
+    n = min(n, scores.shape[1])
+    best = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+    return np.take_along_axis(best, np.argsort(-np.take_along_axis(scores, best, axis=1), axis=1), axis=1)
+
+
+def cells(vectors: np.ndarray, table: int, probes: int, seed: int, hashes: int = 1) -> np.ndarray:
+    """The nearest cells of each row in a table: a cell is a signed axis of each of the table's rotations."""
+    found = score = None
+    for h in range(hashes):
+        near = _rotated(vectors, [seed, table, h])
+        axis = _top(near, probes)
+        gain = np.take_along_axis(near, axis, axis=1)
+        if found is None:
+            found, score = axis, gain
+            continue
+        found = (found[:, :, None] * near.shape[1] + axis[:, None, :]).reshape(len(vectors), -1)
+        score = (score[:, :, None] + gain[:, None, :]).reshape(len(vectors), -1)
+        keep = _top(score, probes)
+        found, score = np.take_along_axis(found, keep, axis=1), np.take_along_axis(score, keep, axis=1)
+    return found
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _coder(tables: int, probes: int, seed: int, width: int):
-    """Rows once for each cell of theirs; a row that has cells already (block search) is not used here."""
+def _coder(tables: int, probes: int, seed: int, width: int, hashes: int):
+    """Rows once for each cell of theirs."""
 
     def code(batches):
         for batch in batches:
             v = _vectors(batch.column(3))
             u = v / np.linalg.norm(v, axis=1, keepdims=True)
             for t in range(tables):
-                cells = axes(u, t, probes, seed) + t * width
-                rows = pa.array(np.repeat(np.arange(len(v)), probes))
+                own = cells(u, t, probes, seed, hashes) + t * width**hashes
+                rows = pa.array(np.repeat(np.arange(len(v)), own.shape[1]))
                 took = batch.take(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel().astype(np.int32)), pa.array(np.zeros(len(rows), np.int32)), *took.columns], names=["cell", "part", "k1", "k2", "ids", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(own.ravel().astype(np.int32)), pa.array(np.zeros(len(rows), np.int32)), *took.columns], names=["cell", "part", "k1", "k2", "ids", "vector"])
 
     return code
 
@@ -100,10 +119,10 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.distinct().withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
 
 
-def nearest(vectors: DataFrame, is_query: F.Column, k: int = 5, tables: int = 16, probes: int = 6, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 7, cell_rows: int = 8192) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: F.Column, k: int = 5, tables: int = 16, probes: int = 6, hashes: int = 1, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 7, cell_rows: int = 8192) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each row where is_query holds, itself left out.
 
-    is_query is an expression over the column vec_id.
+    is_query is an expression over the column vec_id. More hashes make smaller cells, which large tables need; they want more probes.
     """
     plain = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     sound = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
@@ -118,9 +137,9 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 5, tables: int = 16
     asking = plain.where(is_query).select("k1", "k2", F.col("vec_id").alias("query_id"))
     asked = entries.join(asking.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
 
-    index = entries.mapInArrow(_coder(tables, 1, seed, width), _ENTRY)
-    probe = asked.mapInArrow(_coder(tables, probes, seed, width), _ENTRY)
-    # one row per cell at most, whatever the input: tables * width
+    index = entries.mapInArrow(_coder(tables, 1, seed, width, hashes), _ENTRY)
+    probe = asked.mapInArrow(_coder(tables, probes, seed, width, hashes), _ENTRY)
+    # one row per cell at most, whatever the input: tables * width ** hashes
     parts = {r["cell"]: -(-r["count"] // cell_rows) for r in index.groupBy("cell").count().where(F.col("count") > cell_rows).collect()}
     if parts:
         known = F.create_map(*(F.lit(x) for pair in parts.items() for x in pair))

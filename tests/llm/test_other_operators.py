@@ -163,7 +163,8 @@ def test_best_fit_takes_the_tightest_compatible_bin(monkeypatch, bits):
             plain.append((size, set(keys)))
 
 
-def test_neighbours(spark):
+@pytest.mark.parametrize(("hashes", "probes"), [(1, 4), (2, 24)])
+def test_neighbours(spark, hashes, probes):
     rng = np.random.default_rng(8)
     v = rng.normal(size=(400, 10))
     v[50:150] = v[50]
@@ -172,7 +173,7 @@ def test_neighbours(spark):
     rows += [(400, None, "q"), (401, [0.0] * 10, "q"), (402, [float("nan")] + [1.0] * 9, "q"), (403, [None] + [1.0] * 9, "q"), (404, [float("inf")] + [1.0] * 9, "q"), (405, [1.0, 2.0], "q"), (406, [], "q")]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")
     got = defaultdict(list)
-    for r in ann.nearest(frame, F.col("vec_id") % 10 == 0, tables=8, probes=4, cell_rows=16).collect():
+    for r in ann.nearest(frame, F.col("vec_id") % 10 == 0, tables=8, probes=probes, hashes=hashes, cell_rows=16).collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     hit = 0
