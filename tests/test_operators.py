@@ -58,8 +58,9 @@ def test_parse_assistant(spark):
 
 
 def test_terms_and_spans(spark):
-    assert set(one(spark, text.query_terms(F.lit("Who is İstanbul's FATHER of it?")))) == {"i̇stanbul", "father"} or set(one(spark, text.query_terms(F.lit("father of Rome")))) == {"father", "rome"}
-    assert one(spark, text.entity_spans(F.lit("Barry Cook met The who and Liu"))) == ["Barry Cook", "Liu"] or len(one(spark, text.entity_spans(F.lit("Barry Cook met Liu")))) == 2
+    assert set(one(spark, text.query_terms(F.lit("Who is the FATHER of Rome's king, at 1912?")))) == {"father", "rome", "king", "1912"}
+    assert "i̇stanbul" in one(spark, text.query_terms(F.lit("İstanbul")))
+    assert set(one(spark, text.entity_spans(F.lit("Barry Cook met Liu and The")))) == {"Barry Cook", "Liu"}
     assert one(spark, text.suffix_prefix_overlap(F.array(*map(F.lit, (1, 2, 3))), F.array(*map(F.lit, (2, 3, 4))))) == 2
     assert one(spark, text.clean_answers(F.array(*map(F.lit, (" A ", "B", "A", "", " B "))))) == ["A", "B"]
 
@@ -205,8 +206,6 @@ def test_failure_draws(spark):
 
 def test_observations_within_a_budget(spark):
     blocks = F.array(*map(F.lit, ("a b", "c d e", "f")))
-    own = 30 + len(protocol.REMINDER.split())
-    del own
     base = len(protocol.REMINDER.split())
     fit = lambda n: one(spark, protocol.fit_blocks(blocks, text.word_count, n))
     assert (fit(base + 6), fit(base + 5), fit(base + 4), fit(base + 1)) == ("a b\n\nc d e\n\nf", "a b\n\nc d e", "a b", None)
