@@ -130,5 +130,6 @@ def assemble(records: DataFrame) -> DataFrame:
     main = F.col("type").isin("response", "revisit")
     met = records.groupBy(F.coalesce("concurrent_to", "record_id").alias("capture_id")).agg(F.any_value(part("request"), True).alias("request"), F.any_value(part("response", "revisit"), True).alias("response"), F.any_value(part("metadata"), True).alias("metadata"), F.count_if(main).alias("n"))
     each = met.where("response is not null").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n", "copy")
-    target = met.where("response.type = 'response'").select(F.col("capture_id").alias("_to"), F.col("metadata.page_id").alias("refers_to_page"))
-    return each.withColumn("_to", F.col("response.refers_to")).join(target, "_to", "left").drop("_to")
+    # dealt anew, so that Spark can split a response that very many revisit; who refers to nothing gets a key that nothing has
+    target = met.where("response.type = 'response'").select(F.col("capture_id").alias("_to"), F.col("metadata.page_id").alias("refers_to_page")).hint("rebalance")
+    return each.withColumn("_to", F.coalesce("response.refers_to", F.concat(F.lit("none "), "capture_id"))).join(target, "_to", "left").drop("_to")
