@@ -65,7 +65,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "202
     response = _record([("WARC-Type", F.when(F.col("ref").isNull(), "response").otherwise("revisit")), ("WARC-Record-ID", F.col("rid")), stamp, uri, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")), ("WARC-Refers-To", F.col("ref")), ("WARC-Profile", F.when(F.col("ref").isNotNull(), "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("Content-Type", F.lit("application/http; msgtype=response"))], F.when(F.col("ref").isNull(), F.concat(head, "html")).otherwise(head))
     metadata = _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _urn("metadata", "page_id", "digest")), ("WARC-Concurrent-To", F.col("rid")), stamp, uri, ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(_EOL)), tail="\r\n\r")
     # the writer ends each row with a line feed, which is the last byte of a record
-    row.select(F.concat(request, response, metadata).alias("value")).write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", captures_per_file).text(path)
+    row.select(F.concat(request, response, metadata).alias("value")).write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\n").option("maxRecordsPerFile", captures_per_file).text(path)
 
 
 def parse_records(data: bytes):
