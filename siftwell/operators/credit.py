@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -32,7 +33,8 @@ PRECEDENCE = ["helpful_bridge_search", "final_answer_guard", "evidence_bridge_se
 
 
 def has_cue(c: Column, cues: list[str]) -> Column:
-    return F.exists(X.strings(cues), lambda cue: F.contains(F.lower(F.coalesce(c, F.lit(""))), cue))
+    """Whether the lower-cased text holds a cue; one pattern, as a loop over cues would lower the text for each."""
+    return F.lower(F.coalesce(c, F.lit(""))).rlike("|".join(map(re.escape, cues)))
 
 
 def required_attributes(question: Column) -> Column:

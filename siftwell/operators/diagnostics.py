@@ -95,7 +95,7 @@ def alias_matches(df: DataFrame, key: str) -> DataFrame:
 def missing_followup(df_question: Column, queries: Column, turns: Column, answer: Column, calls: Column) -> Column:
     """one search for a question with a relation cue whose texts name three entities."""
     seen = E.observation_text(turns)
-    cue = F.exists(X.strings(RELATION_CUES), lambda c: F.contains(F.lower(F.coalesce(df_question, F.lit(""))), c))
+    cue = F.lower(F.coalesce(df_question, F.lit(""))).rlike("|".join(RELATION_CUES))
     everything = F.concat_ws(" ", F.coalesce(df_question, F.lit("")), F.array_join(queries, " "), seen, answer)
     return E.is_true((calls == 1) & cue & (seen != "") & (X.named_entity_count(everything) >= 3))
 

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
-def postings(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(term, doc_id, tf, dl), and a row without a term for a document without any."""
+def postings(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: DataFrame | None = None) -> DataFrame:
+    """(term, doc_id, tf, dl), and a row without a term for a document without any; only of the terms given, if any are."""
     words = corpus.select(F.col(id_col).alias("doc_id"), X.tokenize(F.coalesce(text_col, F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens"))
-    return words.select("doc_id", "dl", F.explode_outer("tokens").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    each = words.select("doc_id", "dl", F.explode_outer("tokens").alias("term"))
+    if terms is not None:
+        each = each.join(terms, "term", "left_semi")
+    return each.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -31,7 +34,7 @@ def bm25(corpus: DataFrame, queries: DataFrame, top_k: int = 3, k1: float = 1.5,
     stats = corpus_stats(corpus, id_col, text_col).first()
     n, avg = stats["n_docs"], stats["avg_len"] or 1.0
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(X.tokenize(F.coalesce(query_text, F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    posts = postings(corpus, id_col, text_col).join(asked.select("term").distinct(), "term", "left_semi")
+    posts = postings(corpus, id_col, text_col, asked.select("term").distinct())
     df = document_frequency(posts)
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avg)))

@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def first_words(c, n: int):
-    return F.array_join(F.slice(F.split(c, " "), 1, n), " ")
+    return F.substring_index(c, " ", n)
 
 
 def pick(values: list[str], at):
