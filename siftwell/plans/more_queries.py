@@ -17,7 +17,7 @@ from ..streaming import windows
 from . import reports
 from . import sqltext as S
 from . import trajectory_queries as Q
-from .derive import EXAMPLES_SQL, TRAJ_SQL, examples, first_words, table, trajectories
+from .derive import EXAMPLES_SQL, TRAJ_SQL, examples, opening, table, trajectories, whole
 from .registry import query, scratch
 from .trajectory_queries import rounded
 
@@ -61,7 +61,7 @@ _BLOCK = "'[' || {i} || '] Title: ' || lang || chr(10) || '    Content: ' || coa
 
 
 def _items(n: int):
-    one = F.struct(F.lit(None).cast("string").alias("id"), F.col("lang").alias("title"), first_words(F.coalesce("text", F.lit("")), 5).alias("content"), F.lit("").alias("url"), F.col("source").alias("source"), F.lit(None).cast("double").alias("score"))
+    one = F.struct(F.lit(None).cast("string").alias("id"), F.col("lang").alias("title"), opening(F.coalesce("text", F.lit("")), 5).alias("content"), F.lit("").alias("url"), F.col("source").alias("source"), F.lit(None).cast("double").alias("score"))
     return F.array(*(one for _ in range(n)))
 
 
@@ -96,11 +96,12 @@ def d30(spark, d):
 
 @query("p26_sequence_ratio")
 def p26(spark, d):
-    a, b = first_words(F.col("text"), 3), first_words(F.col("text"), 4)
+    a, b = F.col("text"), F.regexp_replace("text", r"^\S+\s*", "")  # all of a text, and all but its first word
     return table(spark, d, "documents").select("doc_id", F.round(D.sequence_ratio(a, b), 6).alias("ratio"))
 
 
 @query("f08_alias_matches")
+@whole
 def f08(spark, d):
     t = trajectories(spark, d).withColumn("final_answer", X.extract_answer(F.try_element_at("turns", F.lit(-1))["text"]))
     return D.alias_matches(t, "id")
@@ -117,12 +118,14 @@ def x11(spark, d):
 
 
 @query("k04_trajectory_report")
+@whole
 def k04(spark, d):
     t = M.group_advantages(trajectories(spark, d)).withColumn("ord", F.col("id"))
     return spark.createDataFrame([(k, x) for k, x in enumerate(reports.trajectory_report(t).split("\n"))], "line int, text string")
 
 
 @query("k04_sensitivity_report")
+@whole
 def k04s(spark, d):
     return spark.createDataFrame([(k, x) for k, x in enumerate(reports.sensitivity_report(trajectories(spark, d), R.default_configs()).split("\n"))], "line int, text string")
 
@@ -169,11 +172,13 @@ def x03(spark, d):
 
 
 @query("k04_credit_report")
+@whole
 def k04c(spark, d):
     return spark.createDataFrame([(k, x) for k, x in enumerate(reports.credit_report(trajectories(spark, d)).split("\n"))], "line int, text string")
 
 
 @query("k04_targeted_report")
+@whole
 def k04t(spark, d):
     e = examples(spark, d)
     pick = lambda score: prep.select_candidates(e.withColumn("score", score["score"]), 60)

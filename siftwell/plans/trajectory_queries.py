@@ -11,7 +11,7 @@ from ..operators import diagnostics as D
 from ..operators import metrics as M
 from ..operators import rewards as R
 from . import sqltext as S
-from .derive import TRAJ_SQL, table, trajectories
+from .derive import TRAJ_SQL, table, trajectories, whole
 from .registry import query
 
 _Q = S.queries()
@@ -119,6 +119,7 @@ def f07(spark, d):
 
 
 @query("f12_offline_diagnostics")
+@whole
 def f12(spark, d):
     return D.offline(trajectories(spark, d)).select("id", "final_answer", *D.OFFLINE, F.array_join("reasons", "|").alias("reasons"))
 
@@ -157,6 +158,7 @@ def a02(spark, d):
 
 
 @query("a03_summarize_offline")
+@whole
 def a03(spark, d):
     return rounded(D.summarize_offline(D.offline(trajectories(spark, d))))
 
@@ -339,6 +341,7 @@ def a10(spark, d):
 
 
 @query("d05_rescore")
+@whole
 def d05(spark, d):
     return rounded(R.rescore(trajectories(spark, d), R.default_configs()))
 
@@ -380,6 +383,7 @@ def d03(spark, d):
 
 
 @query("d06_score_online")
+@whole
 def d06(spark, d):
     return rounded(R.score_trajectories(trajectories(spark, d), R.default_configs()["reward_v4_followup_bonus"]).select("id", "base_reward", "final_reward"))
 

@@ -1,0 +1,35 @@
+"""Queries over whole texts, beside those whose SQL takes the first words of them.
+
+NAME_whole is the query NAME with observations, item contents, final texts and questions as they are.
+Titles, known answers and search queries keep their lengths.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from . import more_queries, text_queries, tool_queries, trajectory_queries  # noqa: F401
+from .derive import EXAMPLES_SQL, EXAMPLES_WHOLE_SQL, TRAJ_SQL, TRAJ_WHOLE_SQL, _swap, whole
+from .registry import ORACLE_SQL, QUERIES, query
+
+#: Queries whose results depend on no text that is cut.
+SAME = {
+    "p17_tool_queries", "a06_evaluation_metrics", "a07_source_em", "a08_rollout_metrics", "a17_smoke_metrics", "a19_tool_failures", "d15_answer_guard", "d17_final_turn_index",
+    "j10_patched_runs", "s10_metrics_file", "s03_drop_summaries", "k01_record_roundtrip", "f17_source_priority", "x11_prepared_splits",
+}
+
+for name, sql in list(ORACLE_SQL.items()):
+    if name not in SAME and (TRAJ_SQL in sql or EXAMPLES_SQL in sql):
+        query(f"{name}_whole", sql.replace(TRAJ_SQL, TRAJ_WHOLE_SQL).replace(EXAMPLES_SQL, EXAMPLES_WHOLE_SQL))(whole(QUERIES[name]))
+
+for name in ("p06_format_items", "d29_fit_observation"):
+    query(f"{name}_whole", _swap(ORACLE_SQL[name], ("array_to_string(string_split(text, ' ')[1:5], ' ')", "text")))(whole(QUERIES[name]))
+
+
+@query("p25_token_subset_whole", """
+WITH t AS (SELECT doc_id, list_distinct(list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split(coalesce(text, ''), ' ')[1 + doc_id % 3:], lambda x: x <> '')) AS b FROM documents)
+SELECT doc_id, CASE WHEN least(len(a), len(b)) = 0 THEN false WHEN least(len(a), len(b)) = 1 THEN len(list_intersect(a, b)) = 1 ELSE len(list_intersect(a, b)) / least(len(a), len(b)) >= 0.8 END AS hit FROM t""")
+def p25(spark, d):
+    w = F.split("text", " ")
+    return text_queries.docs(spark, d).select("doc_id", X.token_subset(F.col("text"), F.array_join(F.slice(w, (F.col("doc_id") % 3 + 1).cast("int"), F.size(w)), " ")).alias("hit"))
