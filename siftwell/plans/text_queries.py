@@ -151,6 +151,16 @@ def p22(spark, d):
     return docs(spark, d).where("lang = 'en'").select("doc_id", X.named_entity_count(F.col("text")).cast("long").alias("n"))
 
 
+@query("p21_entity_spans_all", f"SELECT doc_id, CAST(len({S.spans(_DOC)}) AS BIGINT) AS n FROM documents")
+def p21_all(spark, d):
+    return docs(spark, d).select("doc_id", F.size(X.entity_spans(F.col("text"))).cast("long").alias("n"))
+
+
+@query("p22_named_entities_all", f"SELECT doc_id, CAST(len(list_distinct({S.matches(_DOC, X.NAMED_ENTITY)})) AS BIGINT) AS n FROM documents")
+def p22_all(spark, d):
+    return docs(spark, d).select("doc_id", X.named_entity_count(F.col("text")).cast("long").alias("n"))
+
+
 @query("p23_answer_terms", f"SELECT doc_id, CAST(len({S.answer_terms(_DOC)}) AS BIGINT) AS n FROM documents")
 def p23(spark, d):
     return docs(spark, d).select("doc_id", F.size(X.answer_terms(F.col("text"))).cast("long").alias("n"))
