@@ -89,3 +89,20 @@ def search_stats(results: DataFrame, by: list[str]) -> DataFrame:
     bad = ~F.col("ok")
     kind = F.coalesce("error_type", F.lit(""))
     return results.groupBy(*by).agg(F.count("*").alias("count"), rate(F.col("ok"), "success_rate"), rate(F.col("ok") & (F.col("n_items") == 0), "empty_rate"), rate(F.col("ok") & F.col("noisy"), "noisy_rate"), rate(bad & (kind == "timeout"), "timeout_rate"), rate(bad & (kind == "rate_limited"), "rate_limited_rate"), rate(bad & ~kind.isin("timeout", "rate_limited"), "error_rate"), (F.sum("latency") / n).alias("mean_latency"))
+
+
+#: Names of metrics, and the columns of search_stats that hold them.
+METRICS = {"requests": "count", "success_rate": "success_rate", "empty_rate": "empty_rate", "timeout_rate": "timeout_rate", "rate_limit_rate": "rate_limited_rate", "noise_rate": "noisy_rate", "error_rate": "error_rate", "latency": "mean_latency"}
+
+
+def merged_metrics(registered: DataFrame, results: DataFrame) -> DataFrame:
+    """(key, value): the metrics of all registered backends and of those they wrap, each level with another wrapped/ before it.
+
+    registered: position, depth (0, 1 for the backend it wraps, ...), backend; results: position, depth and the columns
+    of search_stats. Backends without results count 0; of equal keys the one of the last position stays.
+    """
+    at = ["position", "depth"]
+    stats = search_stats(results, at).select(*at, *(F.col(c).cast("double").alias(k) for k, c in METRICS.items()))
+    each = registered.select(*at, "backend").join(stats, at, "left").fillna(0.0, list(METRICS)).unpivot([*at, "backend"], list(METRICS), "name", "value")
+    key = F.concat(F.repeat(F.lit("wrapped/"), F.col("depth")), F.lit("tool/"), "backend", F.lit("/"), "name")
+    return each.groupBy(key.alias("key")).agg(F.max_by("value", "position").alias("value"))

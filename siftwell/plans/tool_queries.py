@@ -178,6 +178,27 @@ def a12(spark, d):
     return one.unpivot([], ["n", "latency"], "key", "value").select(F.concat(F.lit("click/"), "key").alias("key"), "value")
 
 
+_WRAPPED = ["click", "view", "error"]
+
+
+@query("a12_backend_metrics", f"""WITH f AS (SELECT *, event_type IN ({S.quoted(_WRAPPED)}) AS w, {_DRAW} AS failure FROM events WHERE event_type IS NOT NULL),
+r AS (SELECT event_type, 0 AS depth, CASE WHEN w THEN failure END AS failure, value FROM f UNION ALL SELECT event_type, 1, NULL, value FROM f WHERE w AND failure IS NULL),
+g AS (SELECT DISTINCT event_type, 0 AS depth FROM f UNION ALL SELECT DISTINCT event_type, 1 FROM f WHERE w),
+s AS (SELECT event_type, depth, count(*)::DOUBLE AS requests, avg((failure IS NULL OR failure IN ('empty', 'noise'))::INT) AS success_rate, avg(coalesce(failure = 'empty', false)::INT) AS empty_rate, avg(coalesce(failure = 'timeout', false)::INT) AS timeout_rate, avg(coalesce(failure = 'rate_limited', false)::INT) AS rate_limit_rate, avg(coalesce(failure = 'noise', false)::INT) AS noise_rate, 0.0::DOUBLE AS error_rate, sum(value) / count(*) AS latency FROM r GROUP BY ALL),
+j AS (SELECT event_type, depth, {", ".join(f"coalesce({k}, 0)::DOUBLE AS {k}" for k in V.METRICS)} FROM g LEFT JOIN s USING (event_type, depth))
+SELECT repeat('wrapped/', depth) || 'tool/' || event_type || '/' || k AS key, round(v, 6) AS value FROM j UNPIVOT (v FOR k IN ({", ".join(V.METRICS)}))""")
+def a12b(spark, d):
+    """All event types as backends; three of them are wrapped by injected failures, and get the calls that none hits."""
+    wrapped = F.col("event_type").isin(_WRAPPED)
+    events = table(spark, d, "events").where("event_type is not null")
+    f = V.draw_failures(events, FAILURES, 13, "event_id").withColumn("failure", F.when(wrapped, F.col("failure"))).select("event_type", "failure", F.col("value").alias("latency"))
+    calls = f.withColumn("depth", F.explode(F.when(wrapped & F.col("failure").isNull(), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    r, hit = V.failure_result(F.col("failure")), lambda kind: F.coalesce(F.col("failure") == kind, F.lit(False))
+    results = calls.withColumn("r", r).select(F.col("event_type").alias("position"), "depth", "r.ok", "r.error_type", F.when(hit("empty"), 0).when(hit("noise"), 1).otherwise(3).alias("n_items"), hit("noise").alias("noisy"), "latency")
+    registered = events.select("event_type").distinct().select(F.col("event_type").alias("position"), F.explode(F.when(wrapped, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("depth"), F.col("event_type").alias("backend"))
+    return rounded(V.merged_metrics(registered, results))
+
+
 @query("a17_smoke_metrics", TRAJ_SQL + "SELECT round(avg(exact_match::INT), 6) AS em, round(avg(valid_format::INT), 6) AS format_rate, round(avg(search_calls), 6) AS search_calls, round(avg((len(list_filter(turns, lambda t: t.role = 'tool' AND NOT t.ok)) > 0)::INT), 6) AS failure_rate FROM tj")
 def a17(spark, d):
     t = trajectories(spark, d)
