@@ -53,20 +53,20 @@ class PrefixCounter:
         ends[0] = self.space
         return ends
 
-    def totals(self, texts: pa.Array) -> np.ndarray:
-        """Tokens of each whole text."""
+    def chunk_ends(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, counts): counts[offsets[k]:offsets[k + 1]] are the tokens of text k up to the end of each of its chunks."""
         texts = pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), _MARK, " ")
         spaced = pc.or_(pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")), pc.match_substring(texts, "  ")).to_numpy(zero_copy_only=False)
         split = pc.split_pattern(texts, " ")
         coded = split.flatten().dictionary_encode()
         count = self.of_chunks(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        ends = np.concatenate([[0], np.cumsum(count)])
-        at = split.offsets.to_numpy()
-        total = ends[at[1:]] - ends[at[:-1]]
+        each = np.split(count, split.offsets.to_numpy()[1:-1])
         for k in np.flatnonzero(spaced):
             chunks = _CHUNK.findall(" " + texts[int(k)].as_py())
-            total[k] = self.of_chunks([c[1:] for c in chunks]).sum() + self.space * chunks.count(" ")
-        return total
+            each[k] = self.of_chunks([c[1:] for c in chunks]) + self.space * np.array([c == " " for c in chunks])
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in each])])
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(each))])
+        return offsets, ends[1:] - np.repeat(ends[offsets[:-1]], np.diff(offsets))
 
     def prefixes(self, text: str | None) -> np.ndarray:
         """Tokens of the first k characters, for every k from 0 to the text's length."""
@@ -85,28 +85,30 @@ def longest_within(counts: np.ndarray, budget: int) -> int:
     return int(np.flatnonzero(counts <= budget)[-1])
 
 
-def _counter(shared):
+def _counter(shared, limit: int):
     def count(batches):
         counter = PrefixCounter(shared.value)
         for batch in batches:
             step = 1024
             for lo in range(0, batch.num_rows, step):
                 part = batch.slice(lo, step)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counter.totals(part.column(1)))], names=["_row", "n_tokens"])
+                offsets, counts = counter.chunk_ends(part.column(1))
+                over = np.logical_or.reduceat(counts > limit, offsets[:-1])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts[offsets[1:] - 1]), pa.array(over)], names=["_row", "n_tokens", "over_limit"])
 
     return count
 
 
 def count_tokens(docs: DataFrame, model_path: str, text_col: str = "text", limit: int = 4096) -> DataFrame:
-    """docs, less its text, with n_bytes, n_tokens and over_limit."""
+    """docs, less its text, with n_bytes, n_tokens and over_limit: the last of the counts at chunk ends, and whether one passes the limit."""
     with open(model_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     text = F.col(text_col).cast("string")
     kept = [c for c in docs.columns if c not in (text_col, "n_bytes", "n_tokens", "over_limit")]
     row = F.struct(*(F.col(f"`{c}`").alias(f"c_{c}") for c in kept), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
     packed = docs.select(row.alias("_row"), text.alias("_text"))
-    done = packed.mapInArrow(_counter(shared), packed.select("_row").schema.add("n_tokens", "long"))
-    return done.select(*(F.col("_row").getField(f"c_{c}").alias(c) for c in kept), F.col("_row.n_bytes").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    done = packed.mapInArrow(_counter(shared, limit), packed.select("_row").schema.add("n_tokens", "long").add("over_limit", "boolean"))
+    return done.select(*(F.col("_row").getField(f"c_{c}").alias(c) for c in kept), F.col("_row.n_bytes").alias("n_bytes"), "n_tokens", "over_limit")
 
 
 def _prefixer(shared):
