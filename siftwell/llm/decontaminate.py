@@ -15,8 +15,9 @@ Documents are never shuffled; contaminated ones meet only their own hits.
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased.
 Defined results: null or empty texts are clean; an item of fewer than `window`
 words counts only where all of it occurs unchanged, and one of fewer than
-`min_item_words` words never, as it is no evidence; an empty benchmark leaves all
-clean; repeated items are reported under each of their ids.
+`min_item_words` words never, as it is no evidence; with `short_items` the first may
+differ in its share of `max_substitutions`, rounded down, and the second counts where
+all of it occurs unchanged; an empty benchmark leaves all clean; repeated items are reported under each of their ids.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ def masks_cover(masks=MASKS, window: int = 13, substitutions: int = 2) -> bool:
 class SeedTable:
     """Hashes of the benchmark items' seeds, with the items' words."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], window: int, min_item_words: int):
+    def __init__(self, ids: list[int], texts: list[str | None], window: int, min_item_words: int, max_substitutions: int = 2, short_items: bool = False):
         self.window, self.hash, bounds, self.ids = window, [], [0], np.array(ids, dtype=np.int64)
         for _, _, w in words(pa.array(texts, pa.large_string()), ALNUM_LOWER):
             self.hash.append(w.hash)
@@ -65,10 +66,14 @@ class SeedTable:
             at = np.arange(len(key))
             ok = (at + span <= end[: len(key)]) & long[: len(key)]
             seeds.append((key[ok], at[ok]))
-        for size in range(min_item_words, window):
+        self.lost = [max_substitutions if size >= window else max_substitutions * size // window if short_items and size >= min_item_words else 0 for size in range(window + 1)]
+        self.short = set()
+        for size in range(1 if short_items else min_item_words, window):
             at = self.bounds[:-1][count == size]
-            seeds.append((window_hash(self.hash, size, 60 + len(MASKS) + size)[at], at) if len(at) else (at.astype(np.uint64), at))
-        self.short = [(size, seeds[len(MASKS) + k]) for k, size in enumerate(range(min_item_words, window)) if len(seeds[len(MASKS) + k][0])]
+            # of one part more than words may differ, one is unchanged
+            for part in np.array_split(np.arange(size), self.lost[size] + 1) if len(at) else []:
+                seeds.append((window_hash(self.hash, len(part), 60 + len(MASKS) + len(part))[at + part[0]], at + part[0]))
+                self.short.add(len(part))
         key, at = (np.concatenate(x) for x in zip(*seeds))
         order = np.argsort(key, kind="stable")
         self.key, self.at = key[order], at[order]
@@ -78,7 +83,7 @@ class SeedTable:
     def hits(self, w):
         """Distinct (document, item, offset of the item's first word) of a slice's words."""
         left, found = w.left, []
-        for span, salt, mask in [*((mask_span(m), 60 + k, m) for k, m in enumerate(MASKS)), *((size, 60 + len(MASKS) + size, None) for size, _ in self.short)]:
+        for span, salt, mask in [*((mask_span(m), 60 + k, m) for k, m in enumerate(MASKS)), *((size, 60 + len(MASKS) + size, None) for size in sorted(self.short))]:
             h = window_hash(w.hash, span, salt, mask)
             at = np.flatnonzero(self.maybe[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
             at = at[left[at] >= span]
@@ -103,7 +108,7 @@ class SeedTable:
         return int((total[window:] - total[:-window]).max()), window
 
 
-def _matcher(shared, max_substitutions: int):
+def _matcher(shared):
     def match(batches):
         seeds = shared.value
         for batch in batches:
@@ -111,14 +116,14 @@ def _matcher(shared, max_substitutions: int):
             for lo, _, w in words(batch.column(1), ALNUM_LOWER):
                 for doc, item, start in seeds.hits(w).tolist():
                     best, window = seeds.overlap(w, doc, item, start)
-                    if window - best <= (max_substitutions if window == seeds.window else 0):
+                    if window - best <= seeds.lost[window]:
                         items[lo + doc] = (items[lo + doc] or set()) | {int(seeds.ids[item])}
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(x) if x else [] for x in items], pa.list_(pa.int64()))], names=["_row", "items"])
 
     return match
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_substitutions: int = 2, min_item_words: int = 8, slice_bytes: int = 16 << 20, text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_substitutions: int = 2, min_item_words: int = 8, slice_bytes: int = 16 << 20, text_col: str = "text", short_items: bool = False) -> DataFrame:
     """docs with a column items: the sorted ids of the benchmark items that each document repeats."""
     spark = docs.sparkSession
     wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
@@ -127,12 +132,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_s
     found = None
     for k in range(slices):
         part = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k).orderBy("item_id").toArrow()
-        shared = spark.sparkContext.broadcast(SeedTable(part["item_id"].to_pylist(), part["text"].to_pylist(), window, min_item_words))
+        shared = spark.sparkContext.broadcast(SeedTable(part["item_id"].to_pylist(), part["text"].to_pylist(), window, min_item_words, max_substitutions, short_items))
         if found is None:
             schema = packed.select("_row").schema.add("items", T.ArrayType(T.LongType()))
-            found = packed.mapInArrow(_matcher(shared, max_substitutions), schema)
+            found = packed.mapInArrow(_matcher(shared), schema)
         else:
             both = found.select(F.struct(*(F.col("_row").getField(c).alias(c) for c in docs.columns), F.col("items").alias("_items")).alias("_row"), F.col("_row").getField(text_col).cast("string").alias("_text"))
-            more = both.mapInArrow(_matcher(shared, max_substitutions), both.select("_row").schema.add("items", T.ArrayType(T.LongType())))
+            more = both.mapInArrow(_matcher(shared), both.select("_row").schema.add("items", T.ArrayType(T.LongType())))
             found = more.select(F.struct(*(F.col("_row").getField(c).alias(c) for c in docs.columns)).alias("_row"), F.array_sort(F.array_union(F.col("_row._items"), "items")).alias("items"))
     return found.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns), "items")
