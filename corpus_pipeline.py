@@ -28,13 +28,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by five-word shingle sets of a Jaccard similarity of 0.8 or more, that of the smallest id.
 
-    Of rows that repeat an id and its text one stays, whatever their other columns hold; rows without an id all stay.
+    Of rows that repeat an id and its text one stays, whatever their other columns hold; different texts of one id
+    count as documents of their own; rows without an id all stay.
     """
-    found = ngram_jaccard_components(docs, size=5, percent=80)
-    others = found.where("component_id <> doc_id").select("doc_id")
+    docs = docs.select(COLUMNS).withColumn("_text", F.xxhash64("text"))
+    # a further text of an id gets a key of its own, behind all ids
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("_text").alias("_first"), F.max("_text").alias("_last")).where("_first <> _last").drop("_last")
+    own = F.xxhash64("doc_id", "_text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    docs = docs.join(several, "doc_id", "left").withColumn("_key", F.when(F.col("_text") != F.col("_first"), own).otherwise(F.col("doc_id")))
+    further = docs.where("_key <> doc_id").select("_key", "doc_id").distinct()
+    found = ngram_jaccard_components(docs, size=5, percent=80, id_col="_key").withColumnRenamed("doc_id", "_key")
+    stays = found.join(further, "_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("_least")).where("_least.doc_id < component_id")
+    others = found.join(stays, "component_id", "left").where("_key <> coalesce(_least._key, component_id)").select("_key")
     # the window follows the join's own partitioning and order, so it shuffles nothing
-    kept = docs.select(COLUMNS).join(others.hint("merge"), "doc_id", "left_anti").withColumn("_text", F.xxhash64("text"))
-    copy = F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy("doc_id"))
+    kept = docs.join(others.hint("merge"), "_key", "left_anti")
+    copy = F.row_number().over(Window.partitionBy("_key", "_text").orderBy("_key"))
     return kept.withColumn("_copy", copy).where("_copy = 1 or doc_id is null").select(COLUMNS)
 
 
