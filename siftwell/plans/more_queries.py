@@ -17,7 +17,7 @@ from ..streaming import windows
 from . import reports
 from . import sqltext as S
 from . import trajectory_queries as Q
-from .derive import EXAMPLES_SQL, TRAJ_SQL, examples, opening, table, trajectories, whole
+from .derive import EXAMPLES_SQL, TRAJ_SQL, examples, table, trajectories
 from .registry import query, scratch
 from .trajectory_queries import rounded
 
@@ -57,11 +57,11 @@ def p05(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.size(m).cast("long").alias("n"), m[0]["role"].alias("first_role"), F.md5(m[1]["content"]).alias("asked"))
 
 
-_BLOCK = "'[' || {i} || '] Title: ' || lang || chr(10) || '    Content: ' || coalesce(array_to_string(string_split(text, ' ')[1:5], ' '), '') || chr(10) || '    Source: ' || source || chr(10) || '    URL: '"
+_BLOCK = "'[' || {i} || '] Title: ' || lang || chr(10) || '    Content: ' || coalesce(text, '') || chr(10) || '    Source: ' || source || chr(10) || '    URL: '"
 
 
 def _items(n: int):
-    one = F.struct(F.lit(None).cast("string").alias("id"), F.col("lang").alias("title"), opening(F.coalesce("text", F.lit("")), 5).alias("content"), F.lit("").alias("url"), F.col("source").alias("source"), F.lit(None).cast("double").alias("score"))
+    one = F.struct(F.lit(None).cast("string").alias("id"), F.col("lang").alias("title"), F.coalesce("text", F.lit("")).alias("content"), F.lit("").alias("url"), F.col("source").alias("source"), F.lit(None).cast("double").alias("score"))
     return F.array(*(one for _ in range(n)))
 
 
@@ -101,7 +101,6 @@ def p26(spark, d):
 
 
 @query("f08_alias_matches")
-@whole
 def f08(spark, d):
     t = trajectories(spark, d).withColumn("final_answer", X.extract_answer(F.try_element_at("turns", F.lit(-1))["text"]))
     return D.alias_matches(t, "id")
@@ -118,14 +117,12 @@ def x11(spark, d):
 
 
 @query("k04_trajectory_report")
-@whole
 def k04(spark, d):
     t = M.group_advantages(trajectories(spark, d)).withColumn("ord", F.col("id"))
     return spark.createDataFrame([(k, x) for k, x in enumerate(reports.trajectory_report(t).split("\n"))], "line int, text string")
 
 
 @query("k04_sensitivity_report")
-@whole
 def k04s(spark, d):
     return spark.createDataFrame([(k, x) for k, x in enumerate(reports.sensitivity_report(trajectories(spark, d), R.default_configs()).split("\n"))], "line int, text string")
 
@@ -172,13 +169,11 @@ def x03(spark, d):
 
 
 @query("k04_credit_report")
-@whole
 def k04c(spark, d):
     return spark.createDataFrame([(k, x) for k, x in enumerate(reports.credit_report(trajectories(spark, d)).split("\n"))], "line int, text string")
 
 
 @query("k04_targeted_report")
-@whole
 def k04t(spark, d):
     e = examples(spark, d)
     pick = lambda score: prep.select_candidates(e.withColumn("score", score["score"]), 60)

@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import prep
 from ..sources import jsonl
 from . import sqltext as S
-from .derive import EXAMPLES_SQL, TRAJ_SQL, examples, first_words, table, trajectories
+from .derive import EXAMPLES_SQL, TRAJ_SQL, examples, table, trajectories
 from .registry import query, scratch
 
 _DOC = "coalesce(text, '')"
@@ -74,12 +74,12 @@ _CALL = "'<tool_call> <function=search> <parameter=query> ' || {q} || ' </parame
 
 
 @query("p03_parse_assistant", f"""
-WITH t AS (SELECT doc_id, doc_id % 5 AS k, array_to_string(string_split({_DOC}, ' ')[1:3], ' ') AS q FROM documents),
+WITH t AS (SELECT doc_id, doc_id % 5 AS k, {_DOC} AS q FROM documents),
 m AS (SELECT doc_id, k, q, regexp_replace(q, '^\\s+|\\s+$', '', 'g') AS tq FROM t)
 SELECT doc_id, CASE WHEN k = 0 THEN CASE WHEN tq = '' OR regexp_matches(tq, '[<>]') THEN 'invalid' ELSE 'tool' END WHEN k IN (1, 3, 4) THEN 'invalid' ELSE 'answer' END AS kind,
        CASE WHEN k = 0 AND tq <> '' AND NOT regexp_matches(tq, '[<>]') THEN tq END AS query FROM m""")
 def p03(spark, d):
-    q = first_words(F.col("text"), 3)
+    q = F.col("text")
     call = F.concat(F.lit("<tool_call> <function=search> <parameter=query> "), q, F.lit(" </parameter></function></tool_call>"))
     k = F.col("doc_id") % 5
     text = F.when(k == 0, F.concat(F.lit("Let me look. "), call)).when(k == 1, F.concat(call, call)).when(k == 2, F.lit("Answer: x")).when(k == 3, F.lit("<tool_call> broken")).otherwise(F.concat(call, F.lit(" and more")))
@@ -141,23 +141,13 @@ def p16(spark, d):
     return docs(spark, d).select("doc_id", X.word_count(F.col("text")).cast("long").alias("n"))
 
 
-@query("p21_entity_spans", f"SELECT doc_id, CAST(len({S.spans(_DOC)}) AS BIGINT) AS n FROM documents WHERE lang = 'en'")
+@query("p21_entity_spans", f"SELECT doc_id, CAST(len({S.spans(_DOC)}) AS BIGINT) AS n FROM documents")
 def p21(spark, d):
-    return docs(spark, d).where("lang = 'en'").select("doc_id", F.size(X.entity_spans(F.col("text"))).cast("long").alias("n"))
-
-
-@query("p22_named_entities", f"SELECT doc_id, CAST(len(list_distinct({S.matches(_DOC, X.NAMED_ENTITY)})) AS BIGINT) AS n FROM documents WHERE lang = 'en'")
-def p22(spark, d):
-    return docs(spark, d).where("lang = 'en'").select("doc_id", X.named_entity_count(F.col("text")).cast("long").alias("n"))
-
-
-@query("p21_entity_spans_all", f"SELECT doc_id, CAST(len({S.spans(_DOC)}) AS BIGINT) AS n FROM documents")
-def p21_all(spark, d):
     return docs(spark, d).select("doc_id", F.size(X.entity_spans(F.col("text"))).cast("long").alias("n"))
 
 
-@query("p22_named_entities_all", f"SELECT doc_id, CAST(len(list_distinct({S.matches(_DOC, X.NAMED_ENTITY)})) AS BIGINT) AS n FROM documents")
-def p22_all(spark, d):
+@query("p22_named_entities", f"SELECT doc_id, CAST(len(list_distinct({S.matches(_DOC, X.NAMED_ENTITY)})) AS BIGINT) AS n FROM documents")
+def p22(spark, d):
     return docs(spark, d).select("doc_id", X.named_entity_count(F.col("text")).cast("long").alias("n"))
 
 
@@ -167,11 +157,11 @@ def p23(spark, d):
 
 
 @query("p25_token_subset", """
-WITH t AS (SELECT doc_id, list_distinct(list_filter(string_split(coalesce(text, ''), ' ')[1:8], lambda x: x <> '')) AS a, list_distinct(list_filter(string_split(coalesce(text, ''), ' ')[1 + doc_id % 3:8], lambda x: x <> '')) AS b FROM documents)
+WITH t AS (SELECT doc_id, list_distinct(list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split(coalesce(text, ''), ' ')[1 + doc_id % 3:], lambda x: x <> '')) AS b FROM documents)
 SELECT doc_id, CASE WHEN least(len(a), len(b)) = 0 THEN false WHEN least(len(a), len(b)) = 1 THEN len(list_intersect(a, b)) = 1 ELSE len(list_intersect(a, b)) / least(len(a), len(b)) >= 0.8 END AS hit FROM t""")
 def p25(spark, d):
     w = F.split("text", " ")
-    return docs(spark, d).select("doc_id", X.token_subset(F.array_join(F.slice(w, 1, 8), " "), F.array_join(F.slice(w, (F.col("doc_id") % 3 + 1).cast("int"), (8 - F.col("doc_id") % 3).cast("int")), " ")).alias("hit"))
+    return docs(spark, d).select("doc_id", X.token_subset(F.col("text"), F.array_join(F.slice(w, (F.col("doc_id") % 3 + 1).cast("int"), F.size(w)), " ")).alias("hit"))
 
 
 @query("p28_suffix_prefix_overlap", "SELECT doc_id, CAST(doc_id % 4 AS BIGINT) AS n FROM documents")

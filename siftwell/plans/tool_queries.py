@@ -172,16 +172,10 @@ def a11(spark, d):
     return rounded(V.search_stats(results, ["backend"]))
 
 
-@query("a12_merged_metrics", "SELECT 'click' || '/' || k AS key, v AS value FROM (SELECT count(*)::DOUBLE AS n, round(avg(value), 6) AS latency FROM events WHERE event_type = 'click') UNPIVOT (v FOR k IN (n, latency))")
-def a12(spark, d):
-    one = table(spark, d, "events").where("event_type = 'click'").agg(F.count("*").cast("double").alias("n"), F.round(F.avg("value"), 6).alias("latency"))
-    return one.unpivot([], ["n", "latency"], "key", "value").select(F.concat(F.lit("click/"), "key").alias("key"), "value")
-
-
 _WRAPPED = ["click", "view", "error"]
 
 
-@query("a12_backend_metrics", f"""WITH f AS (SELECT *, event_type IN ({S.quoted(_WRAPPED)}) AS w, {_DRAW} AS failure FROM events WHERE event_type IS NOT NULL),
+@query("a12_merged_metrics", f"""WITH f AS (SELECT *, event_type IN ({S.quoted(_WRAPPED)}) AS w, {_DRAW} AS failure FROM events WHERE event_type IS NOT NULL),
 r AS (SELECT event_type, 0 AS depth, CASE WHEN w THEN failure END AS failure, value FROM f UNION ALL SELECT event_type, 1, NULL, value FROM f WHERE w AND failure IS NULL),
 g AS (SELECT DISTINCT event_type, 0 AS depth FROM f UNION ALL SELECT DISTINCT event_type, 1 FROM f WHERE w),
 s AS (SELECT event_type, depth, count(*)::DOUBLE AS requests, avg((failure IS NULL OR failure IN ('empty', 'noise'))::INT) AS success_rate, avg(coalesce(failure = 'empty', false)::INT) AS empty_rate, avg(coalesce(failure = 'timeout', false)::INT) AS timeout_rate, avg(coalesce(failure = 'rate_limited', false)::INT) AS rate_limit_rate, avg(coalesce(failure = 'noise', false)::INT) AS noise_rate, 0.0::DOUBLE AS error_rate, sum(value) / count(*) AS latency FROM r GROUP BY ALL),

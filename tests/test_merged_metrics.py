@@ -24,6 +24,6 @@ def test_merge(spark):
 
 def test_every_event_type_is_merged(spark):
     types = {r[0] for r in spark.read.parquet(f"{SF}/events.parquet").select("event_type").distinct().collect()}
-    got = {r["key"]: r["value"] for r in QUERIES["a12_backend_metrics"](spark, SF).collect()}
+    got = {r["key"]: r["value"] for r in QUERIES["a12_merged_metrics"](spark, SF).collect()}
     assert {k.split("/")[-2] for k in got} == types and {k.split("/")[2] for k in got if k.startswith("wrapped/")} == {"click", "view", "error"}
     assert sum(v for k, v in got.items() if k.endswith("/requests") and k.startswith("tool/")) == spark.read.parquet(f"{SF}/events.parquet").count()

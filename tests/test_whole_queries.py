@@ -1,12 +1,9 @@
-"""Queries over whole texts: words behind the old cuts count, and the SQL agrees where it is given."""
+"""Queries run over whole texts: words at their ends count."""
 
 import pytest
-from pyspark.sql import functions as F
 
-from siftwell.plans import derive, whole_queries  # noqa: F401
-from siftwell.plans.registry import ORACLE_SQL, QUERIES
-
-from .test_queries import SF, oracle, plain  # noqa: F401
+from siftwell.plans import derive, more_queries  # noqa: F401
+from siftwell.plans.registry import QUERIES
 
 TURNS = [(3, 1, "user", " ".join(f"ask{k}" for k in range(20)) + " Whose Mother"), (3, 2, "assistant", "I search now"), (3, 3, "user", " ".join(f"seen{k}" for k in range(20)) + " Ada Lovelace"), (3, 4, "assistant", " ".join(f"end{k}" for k in range(20)))]
 
@@ -18,12 +15,12 @@ def small(spark, tmp_path):
     return str(tmp_path)
 
 
-def test_words_behind_the_cut(spark, small):
-    row = derive.whole(derive.trajectories)(spark, small).first()
+def test_words_at_the_ends(spark, small):
+    row = derive.trajectories(spark, small).first()
     tool, last = row["turns"][1], row["turns"][-1]
     assert "Ada Lovelace" in tool["observation"] and "Ada Lovelace" in tool["items"][0]["content"]
     assert "Whose Mother" in row["question"] and "end19" in last["text"]
-    assert "born in 1912" in derive.whole(derive.examples)(spark, small).first()["question"]
+    assert "born in 1912" in derive.examples(spark, small).first()["question"]
 
 
 def test_queries_without_sql_are_whole(spark, small):
@@ -33,18 +30,3 @@ def test_queries_without_sql_are_whole(spark, small):
 
     text = spark.read.parquet(f"{small}/documents.parquet").first()["text"]
     assert QUERIES["p26_sequence_ratio"](spark, small).first()["ratio"] == round(SequenceMatcher(None, text, text.split(" ", 1)[1]).ratio(), 6)
-
-
-def test_flag_ends_with_the_query(spark, small):
-    with pytest.raises(ZeroDivisionError):
-        derive.whole(lambda s, d: 1 / 0)(spark, small)
-    assert "Ada Lovelace" not in derive.trajectories(spark, small).first()["turns"][1]["observation"]
-
-
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.endswith("_whole")))
-def test_query(spark, oracle, name):  # noqa: F811
-    got = QUERIES[name](spark, SF)
-    columns = sorted(got.columns)
-    rows = got.select(*columns).collect()
-    if name in ORACLE_SQL:
-        assert plain(rows) == plain(oracle.execute(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL[name]})").fetchall())
