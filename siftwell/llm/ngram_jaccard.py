@@ -1,25 +1,33 @@
 """Exact Jaccard join of shingle sets, by count vectors in R-trees.
 
-1. Who may be linked. Sets with a Jaccard similarity of p % share a shingle among the
-   (100 - p) % first of each, in any order that all sets agree on. The order puts
-   rare shingles first, by how many sets hold them, and those that only one
-   set holds are no meeting point. Sets that meet form a neighbourhood (a connected
-   part of these meetings); most sets meet nobody.
-2. Who is linked. Shingles are hashed into groups; within a neighbourhood each set is
-   the point of its counts per group. An R-tree over these points bounds the overlap
-   with a whole node by the sum of coordinate minima, and what survives is verified on
-   the full sets. Pairs that are already connected need no verification.
+1. Who may be linked. Order all shingles by how many sets hold them, rare ones first.
+   If x and y are linked and x is not the larger, their first common shingle stands
+   among the first |x| - ceil(2p|x| / (100 + p)) + 1 of x (its index prefix) and the first
+   |y| - ceil(p|y| / 100) + 1 of y (its probe prefix). So a pair is a candidate only
+   where an index prefix meets a probe prefix in a shingle that two sets hold. Most
+   sets meet nobody, and those that meet in a very common shingle nearly all are linked.
+2. Collapse. Each set is verified against one hub, the smallest id that it meets. Copies of
+   one text become one component this way, with one comparison a set.
+3. Search. Meetings whose sets lie in several components still may hide links. In each an R-tree
+   over the sets' count vectors (shingles hashed into groups, counted) bounds the overlap with a
+   node by the sum of coordinate minima; pairs that survive it and lie in different components
+   are candidates. A round verifies the best `depth` of a set in each other component, and
+   rounds go on, with larger depths and without what is connected by now, until none was left out.
+4. Candidates are verified on the full sets; components are those of verified links.
 
 Texts are dealt once into groups of bounded size, and that shuffle serves both
 passes over them. How many sets hold a shingle is counted by hash buckets, to
 which a group sends four bytes for each distinct shingle. Equal sets are
-joined by digest. A meeting is recorded as a star to the smallest member,
-first within a group and then across groups, so a shingle that a third of all sets
-share costs a bucket one entry per group. A neighbourhood of over `block` sets
-is cut into blocks, and pairs of blocks are compared apart.
+joined by digest first. A meeting is recorded as a star to the smallest member,
+within a group and then across groups, so a shingle that a third of all sets
+share costs a bucket one entry per group. In step 3 a meeting of over `block` sets is cut into
+blocks: those of its largest component, which are not compared with each other, and of all
+others. A verification task holds one hub and a bounded part of its partners.
 
 Defined results: null or empty text has no shingles and no links; rows that share
-an id are one node of the link graph; a null id has no links and a null component.
+an id are one node of the link graph; repeated rows are repeated in the result; a null id has no
+links and a null component; very long texts are whole sets like any other; extra columns are ignored,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,12 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import materialize, shuffle_partitions, text_bytes
-from .substring_dedup import _BLOCK, _BLOCK_PA, _blocks, _short, _split
+from .store import materialize, shuffle_partitions
+from .substring_dedup import _BLOCK, _BLOCK_PA, _blocks, _short, _split, deal
 from .textkernel import SPACED_LOWER, in_sorted, mix, window_hash, words
 
-_SENT = "kind int, bucket int, doc_id long, n long, d1 long, d2 long, lead boolean, keys binary, ids binary"
-_SENT_PA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("lead", pa.bool_()), ("keys", pa.binary()), ("ids", pa.binary())])
+_SENT = "kind int, bucket int, doc_id long, n long, d1 long, d2 long, lead boolean, keys binary, ids binary, meets binary, counts binary"
+_SENT_PA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("lead", pa.bool_()), ("keys", pa.binary()), ("ids", pa.binary()), ("meets", pa.binary()), ("counts", pa.binary())])
 _EDGE_PA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -106,6 +114,17 @@ def _stars(keys: np.ndarray, ids: np.ndarray):
     return keys[lead], ids[lead], np.unique(np.stack([ids[off], hub[off]], axis=1), axis=0)
 
 
+def prefixes(n: int, percent: int) -> tuple[int, int]:
+    """Lengths of the index and of the probe prefix of a set of n shingles."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1, n - -(-percent * n // 100) + 1
+
+
+def _vector(s: np.ndarray) -> np.ndarray:
+    """Shingles per group; the 64 groups of a short set are sums of the 512 of a long one."""
+    groups = 64 if len(s) <= 2000 else 512
+    return np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
+
+
 def _sender(size: int, percent: int, buckets: int):
     def send(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -116,27 +135,29 @@ def _sender(size: int, percent: int, buckets: int):
             level = np.concatenate([np.frombuffer(m, dtype=np.uint8) for m in answers["_more"].to_pylist()])
             order = np.argsort(shared)
             shared, level = shared[order], level[order]
-        rows, keys, owners = [], [], []
+        rows, keys, owners, none = [], [], [], (None,) * 4
         for i, s, d, lead in _leads(table, size):
-            rows.append((0, None, i, len(s), *d, lead, None, None))
+            rows.append((0, None, i, len(s), *d, lead, *none))
             if not lead or not len(shared):
                 continue
             short = _short(s, buckets)
             at = np.minimum(np.searchsorted(shared, short), len(shared) - 1)
             common = np.where(shared[at] == short, level[at], 0)
-            first = np.lexsort((s, common))[: len(s) - -(-percent * len(s) // 100) + 1]
-            meeting = s[first[common[first] > 0]]
-            if len(meeting):
-                rows.append((3, None, i, len(s), *d, None, s.tobytes(), None))
-                keys.append(meeting)
-                owners.append(np.full(len(meeting), i, np.int64))
-        if keys:
-            key, hub, edges = _stars(np.concatenate(keys), np.concatenate(owners))
+            index, probe = prefixes(len(s), percent)
+            first = np.lexsort((s, common))[:probe]
+            met = common[first] > 0
+            if met.any():
+                meeting, indexed = s[first[met]], np.flatnonzero(met) < index
+                rows.append((3, None, i, len(s), *d, None, s.tobytes(), indexed.astype(np.uint8).tobytes(), meeting.tobytes(), _vector(s).tobytes()))
+                keys.append(meeting[indexed])
+                owners.append(np.full(len(keys[-1]), i, np.int64))
+        if keys and len(flat := np.concatenate(keys)):
+            key, hub, edges = _stars(flat, np.concatenate(owners))
             bucket = _split(key, buckets)
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-            rows += [(1, int(bucket[a]), None, None, None, None, None, key[a:b].tobytes(), hub[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
+            rows += [(1, int(bucket[a]), None, None, None, None, None, key[a:b].tobytes(), hub[a:b].tobytes(), None, None) for a, b in zip(cuts[:-1], cuts[1:])]
             if len(edges):
-                rows.append((2, None, None, None, None, None, None, edges[:, 0].tobytes(), edges[:, 1].tobytes()))
+                rows.append((2, *(None,) * 6, edges[:, 0].tobytes(), edges[:, 1].tobytes(), None, None))
         return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows), _SENT_PA)], schema=_SENT_PA)
 
     return send
@@ -154,6 +175,16 @@ def _unpack(batches):
             yield pa.record_batch([pa.array(np.frombuffer(a, np.int64)), pa.array(np.frombuffer(b, np.int64))], schema=_EDGE_PA)
 
 
+def _meetings(batches):
+    """A row for each shingle that a set meets others in."""
+    for batch in batches:
+        meets = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+        row = np.repeat(np.arange(batch.num_rows), [len(x) for x in meets])
+        flags = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8)
+        ids, component = (batch.column(c).to_numpy()[row] for c in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(meets) if meets else np.zeros(0, np.int64)), pa.array(ids), pa.array(component), pa.array(flags > 0)], names=["x", "doc_id", "component", "indexed"])
+
+
 class CountTree:
     """A packed R-tree over count vectors that answers which points may overlap a query enough."""
 
@@ -166,7 +197,8 @@ class CountTree:
             at = np.arange(0, len(small), fan)
             self.levels.insert(0, (np.maximum.reduceat(high, at), np.minimum.reduceat(small, at), np.maximum.reduceat(large, at)))
 
-    def near(self, counts: np.ndarray, size: int) -> np.ndarray:
+    def near(self, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The points, and the bound on the overlap with each."""
         p = self.percent
         least, most = -(-p * size // 100), 100 * size // p
         at = np.arange(len(self.levels[0][1]))
@@ -176,89 +208,165 @@ class CountTree:
                 at = at[at < len(small)]
             at = at[(small[at] <= most) & (large[at] >= least)]
             bound = np.minimum(high[at], counts).sum(axis=1, dtype=np.int64)
-            at = at[bound * (100 + p) >= p * (size + np.maximum(small[at], least))]
-        return self.order[at]
+            ok = bound * (100 + p) >= p * (size + np.maximum(small[at], least))
+            at, bound = at[ok], bound[ok]
+        return self.order[at], bound
+
+
+def _pairs(held: np.ndarray, asks: np.ndarray, within: bool, col: dict, counts: np.ndarray, percent: int, depth: int):
+    """Candidate pairs of askers and held sets in different components, the best `depth` of an asker in each; and whether more there are."""
+    tree, out, more = CountTree(counts[held], col["n"][held], percent), [], False
+    for q in asks:
+        near, bound = tree.near(counts[q], int(col["n"][q]))
+        c = held[near]
+        smaller = np.where(col["n"][c] < col["n"][q], col["indexed"][c], np.where(col["n"][c] > col["n"][q], col["indexed"][q], col["indexed"][c] | col["indexed"][q]))
+        ok = smaller & (col["component"][c] != col["component"][q])
+        if within:
+            ok &= c > q
+        c, bound = c[ok], bound[ok]
+        if len(c) > depth:
+            order = np.lexsort((-bound, col["component"][c]))
+            c = c[order]
+            lead = np.flatnonzero(np.concatenate([[True], col["component"][c][1:] != col["component"][c][:-1]]))
+            rank = np.arange(len(c)) - np.repeat(lead, np.diff(np.concatenate([lead, [len(c)]])))
+            more |= bool((rank >= depth).any())
+            c = c[rank < depth]
+        out.append(np.stack([col["doc_id"][c], np.full(len(c), col["doc_id"][q])], axis=1))
+    return out, more
+
+
+def _searcher(percent: int, depth: int):
+    def search(table: pa.Table) -> pa.Table:
+        col = {c: table[c].to_numpy() for c in ("x", "i", "j", "part", "doc_id", "component", "n", "indexed")}
+        vectors = [np.frombuffer(x, np.int32) for x in table["counts"].to_pylist()]
+        key = np.stack([col["x"], col["i"], col["j"]], axis=1)
+        order, out, more = np.lexsort((col["doc_id"], col["j"], col["i"], col["x"])), [], False
+        key = key[order]
+        cuts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(order)]])
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            rows = order[a:b]
+            own = {c: v[rows] for c, v in col.items()}
+            groups = min(len(vectors[r]) for r in rows)
+            counts = np.stack([vectors[r].reshape(-1, groups).sum(axis=0) for r in rows])
+            alone = own["i"][0] == own["j"][0]
+            held = np.arange(len(rows)) if alone else np.flatnonzero(own["part"] == own["i"])
+            asks = np.arange(len(rows)) if alone else np.flatnonzero(own["part"] == own["j"])
+            if len(held) and len(asks):
+                found, left = _pairs(held, asks, alone, own, counts, percent, depth)
+                out += found
+                more |= left
+        # one row of nulls says that pairs were left out
+        flat = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        last = [pa.nulls(1, pa.int64())] if more else []
+        return pa.table([pa.chunked_array([pa.array(flat[:, k]), *last]) for k in (0, 1)], schema=_EDGE_PA)
+
+    return search
 
 
 def _verifier(percent: int):
-    def compare(ids, sets, part) -> list[tuple[int, int]]:
-        """Links that connect all linked sets; part: None, or 0 and 1 for two blocks that are compared with each other."""
-        k = len(ids)
-        sizes = np.array([len(s) for s in sets])
-        groups = 64 if sizes.max() <= 2000 else 512
-        counts = np.stack([np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups) for s in sets]).astype(np.int32)
-        root, links = list(range(k)), []
-
-        def find(x):
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        held = np.arange(k) if part is None else np.flatnonzero(part == 0)
-        asks = np.arange(k) if part is None else np.flatnonzero(part == 1)
-        if not len(held) or not len(asks):
-            return links
-        tree = CountTree(counts[held], sizes[held], percent)
-        for q in asks:
-            for c in held[tree.near(counts[q], int(sizes[q]))]:
-                if (part is not None or c < q) and find(c) != find(q):
-                    a, b = (sets[c], sets[q]) if sizes[c] < sizes[q] else (sets[q], sets[c])
-                    both = int(in_sorted(a, b).sum())
-                    if 100 * both >= percent * (len(a) + len(b) - both):
-                        root[find(c)] = find(q)
-                        links.append((ids[q], ids[c]))
-        return links
-
     def verify(table: pa.Table) -> pa.Table:
-        col = {c: table[c].to_numpy() for c in ("cc", "i", "j", "part", "doc_id")}
-        order, out = np.lexsort((col["doc_id"], col["j"], col["i"], col["cc"])), []
-        key = np.stack([col["cc"][order], col["i"][order], col["j"][order]], axis=1)
+        col = {c: table[c].to_numpy() for c in ("hub", "part", "doc_id")}
+        order, out = np.lexsort((col["doc_id"], col["part"], col["hub"])), []
+        key = np.stack([col["hub"], col["part"]], axis=1)[order]
         cuts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(order)]])
         blobs = table["shingles"].combine_chunks()
+        of = lambda r: np.frombuffer(blobs[int(r)].as_buffer(), dtype=np.uint64)
         for a, b in zip(cuts[:-1], cuts[1:]):
-            rows = order[a:b]
-            sets = [np.frombuffer(blobs[int(r)].as_buffer(), dtype=np.uint64) for r in rows]
-            alone = key[a][1] == key[a][2]
-            out += compare(col["doc_id"][rows].tolist(), sets, None if alone else (col["part"][rows] == key[a][2]).astype(int))
+            rows, hub = order[a:b], int(key[a][0])
+            hubs = [of(r) for r in rows if col["doc_id"][r] == hub]
+            for r in rows:
+                if (i := int(col["doc_id"][r])) != hub:
+                    own = of(r)
+                    for other in hubs:
+                        small, large = (own, other) if len(own) < len(other) else (other, own)
+                        both = int(in_sorted(small, large).sum())
+                        if 100 * both >= percent * (len(own) + len(other) - both):
+                            out.append((i, hub))
+                            break
         return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], schema=_EDGE_PA)
 
     return verify
 
 
-def ngram_jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 1024) -> DataFrame:
+def _verified(edges: DataFrame, sets: DataFrame, percent: int, work: int = 1 << 19) -> DataFrame:
+    """Those of the edges whose ends are linked. A part of a hub's partners has about `work` shingles, or is one set."""
+    sizes = sets.groupBy("doc_id").agg(F.sum("n").alias("n"))
+    sized = materialize(edges.distinct().join(sizes, F.col("a") == F.col("doc_id")).select("a", "b", "n"), "candidates")
+    total = int(sized.agg(F.sum("n")).first()[0] or 0)
+    load = sized.groupBy("b").agg(F.ceil(F.sum("n") / work).alias("parts")).hint("rebalance")
+    dealt = sized.join(load, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
+    every = F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int")))
+    wanted = dealt.select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), "part").union(load.select(F.col("b").alias("doc_id"), F.col("b").alias("hub"), every.alias("part")))
+    units = sets.select("doc_id", "shingles").join(wanted, "doc_id")
+    units = units.withColumn("bucket", F.pmod(F.xxhash64("hub", "part"), F.lit(max(shuffle_partitions(sets.sparkSession), total // (1 << 21)))))
+    return units.groupBy("bucket").applyInArrow(_verifier(percent), "a long, b long")
+
+
+def _candidates(sets: DataFrame, percent: int, block: int, depth: int) -> DataFrame | None:
+    """Pairs of sets in different components that may be linked, with a row of nulls where more there are; None if there can be none."""
+    entries = sets.select("doc_id", "component", "meets", "flags").mapInArrow(_meetings, "x long, doc_id long, component long, indexed boolean")
+    entries = materialize(entries, "meetings")
+    shares = entries.groupBy("x", "component").agg(F.count("*").alias("k"), F.max("indexed").alias("indexed"))
+    mixed = shares.groupBy("x").agg(F.count("*").alias("c"), F.sum("k").alias("m"), F.max_by("component", F.struct("k", "component")).alias("most"), F.max("k").alias("k"), F.max("indexed").alias("indexed")).where("c > 1 and indexed")
+    mixed = materialize(mixed.select("x", "m", "k", "most"), "mixed")
+    total = mixed.agg(F.sum("m")).first()[0]
+    if not total:
+        return None
+    # blocks 0, 1, ... of all sets, or of those outside the largest component; its own are -1, -2, ...
+    cut = F.col("m") > block
+    others, own = F.when(cut, F.ceil((F.col("m") - F.col("k")) / block)).otherwise(1).cast("int"), F.when(cut, F.ceil(F.col("k") / block)).otherwise(0).cast("int")
+    met = entries.join(mixed.hint("rebalance"), "x").withColumns({"others": others, "own": own})
+    inner = cut & (F.col("component") == F.col("most"))
+    met = met.withColumn("part", F.when(inner, -1 - F.pmod(F.xxhash64("doc_id"), "own")).otherwise(F.pmod(F.xxhash64("doc_id"), "others")).cast("int"))
+    partner = F.explode(F.when(inner, F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(-F.col("own"), F.col("others") - 1)))
+    units = met.withColumn("partner", partner).where("partner >= 0 or part >= 0").select("x", "doc_id", "component", "indexed", "m", "part", F.least("part", "partner").alias("i"), F.greatest("part", "partner").alias("j"))
+    small = F.pmod(F.xxhash64("x"), F.lit(max(shuffle_partitions(sets.sparkSession), int(total) // 50_000)))
+    units = units.withColumn("bucket", F.when(F.col("m") > block, F.xxhash64("x", "i", "j").bitwiseOR(F.lit(1 << 62))).otherwise(small)).drop("m")
+    units = units.join(sets.select("doc_id", "n", "counts"), "doc_id")
+    return units.groupBy("bucket").applyInArrow(_searcher(percent, depth), "a long, b long")
+
+
+def ngram_jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 1024, depth: int = 8) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs.
 
     Sets of `size`-word shingles (words lower-cased A-Z, split at ASCII white space; the
     whole sequence where there are fewer words) link where 100 * overlap >= percent * union;
     component_id is the smallest id reachable by links, the row's own included.
     """
-    spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    total = text_bytes(plain, "_text")
-    parts = max(shuffle_partitions(spark), total // (64 << 20))
-    groups, buckets = max(4 * parts, total // (8 << 20)), max(64, total // (4 << 20))
-    dealt = plain.withColumn("_g", F.pmod(F.xxhash64("_id", "_text"), F.lit(groups)).cast("int")).repartition(parts, "_g")
+    dealt, buckets = deal(plain)
     common = dealt.groupBy("_g").applyInArrow(_holders(size, buckets), _BLOCK).groupBy("_bucket").applyInArrow(_commonness, _BLOCK)
     sent = materialize(dealt.groupBy("_g").cogroup(common.groupBy("_g")).applyInArrow(_sender(size, percent, buckets), _SENT), "shingles")
 
     members = sent.where("kind = 0").select("doc_id", "n", "d1", "d2", "lead")
+    # dealt anew, so that Spark can split a text that very many rows hold
     equal = members.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies").hint("rebalance")
-    mapped = members.join(equal, ["d1", "d2", "n"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    mapped = materialize(mapped, "members")
-
+    mapped = materialize(members.join(equal, ["d1", "d2", "n"], "left").withColumn("rep", F.coalesce("rep", "doc_id")), "members")
+    # an id with several texts stands for itself beside the first ids of its texts
+    several = mapped.where("n > 0").groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x <> y").select("doc_id", F.lit(True).alias("several"))
+    mapped = mapped.join(several.hint("rebalance"), "doc_id", "left").withColumn("node", F.when(F.col("several"), F.col("doc_id")).otherwise(F.col("rep")))
+    moved = mapped.where("lead and node <> doc_id").select("doc_id", "node").distinct()
+    same = mapped.where("several and rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+    held = sent.where("kind = 3").join(mapped.where("lead and rep <> doc_id").select("doc_id", "d1").distinct(), ["doc_id", "d1"], "left_anti")
+    held = held.select("doc_id", "n", F.col("keys").alias("shingles"), F.col("ids").alias("flags"), "meets", "counts")
     met = sent.where("kind = 1").select("bucket", "keys", "ids").groupBy("bucket").applyInArrow(_meet, "a long, b long")
     met = met.union(sent.where("kind = 2").select("keys", "ids").mapInArrow(_unpack, "a long, b long"))
-    near = connected_components(met.union(mapped.where("lead and rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
-
-    reps = mapped.where("rep = doc_id and n > 0").select("doc_id", "d1").distinct()
-    reps = materialize(reps.join(near.withColumnRenamed("id", "doc_id"), "doc_id").withColumnRenamed("component", "cc"), "neighbours")
-    parts = F.ceil(F.col("k") / block).cast("int")
-    sought = reps.join(reps.groupBy("cc").agg(F.count("*").alias("k")).where("k > 1"), "cc").select("doc_id", "d1", "cc", parts.alias("parts"), F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part"))
-    sets = sent.where("kind = 3").select("doc_id", "d1", F.col("keys").alias("shingles")).join(sought, ["doc_id", "d1"])
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    pairs = sets.select("*", other).select("doc_id", "cc", "part", "shingles", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    pairs = pairs.withColumn("bucket", F.pmod(F.xxhash64("cc", "i", "j"), F.lit(buckets)).cast("int"))
-    links = pairs.groupBy("bucket").applyInArrow(_verifier(percent), "a long, b long")
-    linked = connected_components(links)
-    found = mapped.select("doc_id", "n", "rep").join(linked.withColumnRenamed("id", "rep"), "rep", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
+    for end in ("a", "b"):
+        met = met.join(moved.withColumnsRenamed({"doc_id": end, "node": "_node"}), end, "left").withColumn(end, F.coalesce("_node", end)).drop("_node")
+    hubs = met.where("a <> b").groupBy(F.greatest("a", "b").alias("a")).agg(F.min(F.least("a", "b")).alias("b"))
+    links = materialize(_verified(hubs, held, percent).union(same), "links")
+    while True:
+        linked = materialize(connected_components(links), "components")
+        now = held.join(linked.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        pairs = _candidates(now, percent, block, depth)
+        if pairs is None:
+            break
+        pairs = materialize(pairs, "pairs")
+        links = materialize(links.union(_verified(pairs.where("a is not null"), held, percent)), "links")
+        if not pairs.where("a is null").limit(1).count():
+            linked = connected_components(links)
+            break
+        depth *= 16
+    found = mapped.select("doc_id", "n", "node").join(linked.withColumnRenamed("id", "node"), "node", "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")).alias("component_id"))

@@ -21,6 +21,7 @@ larger than any other. Extra columns pass through unchanged.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -197,6 +198,26 @@ def _finisher(size: int, schema: pa.Schema, with_text: bool):
     return finish
 
 
+def exchange(total: int, group_bytes: int = 8 << 20, most: int = 16) -> tuple[int, int]:
+    """Numbers of groups and of buckets for `total` bytes of text.
+
+    Each group sends each bucket a row. Both grow with the root of the input, up to
+    `most` times their first size, so that a row carries hundreds of keys: rows grow in
+    proportion to the input up to about 2 TB, and with its square beyond.
+    """
+    grow = min(most, max(1.0, math.sqrt(total / (700 * group_bytes))))
+    return int(total / (grow * group_bytes)), max(64, int(2 * total / (grow * group_bytes)))
+
+
+def deal(plain: DataFrame, group_bytes: int = 8 << 20) -> tuple[DataFrame, int]:
+    """plain, with _id and _text, dealt into groups _g of bounded size; and the number of buckets for exchanges between them."""
+    total = text_bytes(plain, "_text")
+    groups, buckets = exchange(total, group_bytes)
+    parts = max(shuffle_partitions(plain.sparkSession), groups // 8)
+    g = F.pmod(F.xxhash64("_id", "_text"), F.lit(max(4 * parts, groups))).cast("int")
+    return plain.withColumn("_g", g).repartition(parts, "_g"), buckets
+
+
 def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, group_bytes: int = 8 << 20) -> DataFrame:
     """Drop the words of every window that starts in a document with a smaller id as well.
 
@@ -206,12 +227,9 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    spark, rest = docs.sparkSession, [c for c in docs.columns if c != text_col]
-    size = text_bytes(docs, text_col)
-    parts = max(shuffle_partitions(spark), size // (8 * group_bytes))
-    groups = max(4 * parts, size // group_bytes)
-    buckets = max(64, 2 * size // group_bytes)
-    dealt = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).withColumn("_g", F.pmod(F.xxhash64("_id", "_text"), F.lit(groups)).cast("int")).repartition(parts, "_g")
+    rest = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed", "kept_sha256", "kept_text")]
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c_{c}") for c in rest), F.lit(0).alias("_"))
+    dealt, buckets = deal(docs.select(row.alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")), group_bytes)
 
     sizes, answers = level_sizes(window), None
     for k, n in enumerate(sizes):
@@ -224,4 +242,4 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
 
     out = T.StructType([T.StructField("_row", dealt.schema["_row"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), *([T.StructField("kept_text", T.StringType())] if with_text else [])])
     done = dealt.groupBy("_g").cogroup(answers.groupBy("_g")).applyInArrow(_finisher(window, to_arrow_schema(out), with_text), out)
-    return done.select(*(F.col("_row").getField(c).alias(c) for c in rest), *(f.name for f in out.fields[1:]))
+    return done.select(*(F.col("_row").getField(f"c_{c}").alias(c) for c in rest), *(f.name for f in out.fields[1:]))

@@ -99,10 +99,10 @@ def brute_components(rows, size, percent):
     return Counter((r[0], len(s), None if r[0] is None else find(r[0])) for r, s in zip(rows, sets))
 
 
-@pytest.mark.parametrize(("size", "percent", "block"), [(3, 90, 1024), (5, 80, 1024), (2, 60, 3)])
-def test_ngram_jaccard_is_brute_force(spark, size, percent, block):
+@pytest.mark.parametrize(("size", "percent", "block", "depth"), [(3, 90, 1024, 8), (5, 80, 1024, 1), (2, 60, 3, 1)])
+def test_ngram_jaccard_is_brute_force(spark, size, percent, block, depth):
     rows = corpus(seed=size)
-    got = ngram_jaccard_components(spark.createDataFrame(rows, SCHEMA), size, percent, block=block)
+    got = ngram_jaccard_components(spark.createDataFrame(rows, SCHEMA), size, percent, block=block, depth=depth)
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows, size, percent)
 
 
@@ -114,7 +114,7 @@ def test_count_tree_loses_no_pair():
     counts = np.stack([np.bincount((s % 64).astype(int), minlength=64) for s in sets])
     tree = CountTree(counts, sizes, 80)
     for q in range(0, len(sets), 7):
-        near = set(tree.near(counts[q], sizes[q]).tolist())
+        near = set(tree.near(counts[q], sizes[q])[0].tolist())
         for c, s in enumerate(sets):
             both = len(np.intersect1d(sets[q], s))
             assert 100 * both < 80 * (len(s) + sizes[q] - both) or c in near
