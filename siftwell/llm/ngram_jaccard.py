@@ -9,9 +9,9 @@
 2. Collapse. Each set is verified against one hub, the smallest id that it meets. Copies of
    one text become one component this way, with one comparison a set.
 3. Search. Meetings whose sets lie in several components still may hide links. In each an R-tree
-   over the sets' count vectors (shingles hashed into groups, counted) bounds the overlap with a
+   over the sets' count vectors (shingles hashed into groups and counted) bounds the overlap with a
    node by the sum of coordinate minima; pairs that survive it and lie in different components
-   are candidates. A round verifies the best `depth` of a set in each other component, and
+   are candidates. A round verifies the best `depth` of a set in a part of a meeting, and
    rounds go on, with larger depths and without what is connected by now, until none was left out.
 4. Candidates are verified on the full sets; components are those of verified links.
 
@@ -20,9 +20,9 @@ passes over them. How many sets hold a shingle is counted by hash buckets, to
 which a group sends four bytes for each distinct shingle. Equal sets are
 joined by digest first. A meeting is recorded as a star to the smallest member,
 within a group and then across groups, so a shingle that a third of all sets
-share costs a bucket one entry per group. In step 3 a meeting of over `block` sets is cut into
-blocks: those of its largest component, which are not compared with each other, and of all
-others. A verification task holds one hub and a bounded part of its partners.
+share costs a bucket one entry per group. In step 3 only sets that meet by their index prefix ask, and a meeting of over `block` sets is
+cut into blocks of those that ask and of those that are asked; within its largest component
+nothing is compared. A verification task holds one hub and a bounded part of its partners.
 
 Defined results: null or empty text has no shingles and no links; rows that share
 an id are one node of the link graph; repeated rows are repeated in the result; a null id has no
@@ -44,6 +44,8 @@ from .textkernel import SPACED_LOWER, in_sorted, mix, window_hash, words
 
 _SENT = "kind int, bucket int, doc_id long, n long, d1 long, d2 long, lead boolean, keys binary, ids binary, meets binary, counts binary"
 _SENT_PA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("lead", pa.bool_()), ("keys", pa.binary()), ("ids", pa.binary()), ("meets", pa.binary()), ("counts", pa.binary())])
+#: What a set does in a part of a meeting.
+HELD, ASKS, BOTH = 0, 1, 2
 _EDGE_PA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -119,10 +121,18 @@ def prefixes(n: int, percent: int) -> tuple[int, int]:
     return n - -(-2 * percent * n // (100 + percent)) + 1, n - -(-percent * n // 100) + 1
 
 
-def _vector(s: np.ndarray) -> np.ndarray:
-    """Shingles per group; the 64 groups of a short set are sums of the 512 of a long one."""
-    groups = 64 if len(s) <= 2000 else 512
-    return np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
+def _vector(s: np.ndarray) -> bytes:
+    """Shingles per group, a byte each where that holds them; the 256 groups of a short set are sums of the 1024 of a long one."""
+    groups = 256 if len(s) <= 2000 else 1024
+    n = np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return n.astype(np.uint8 if n.max() < 256 else np.int32).tobytes()
+
+
+def _counts(vectors: list[bytes]) -> np.ndarray:
+    """The vectors as rows, all with as many groups as the shortest."""
+    rows = [np.frombuffer(v, np.uint8 if len(v) <= 1024 else np.int32) for v in vectors]
+    groups = min(map(len, rows))
+    return np.stack([r.reshape(-1, groups).sum(axis=0, dtype=np.int32) for r in rows])
 
 
 def _sender(size: int, percent: int, buckets: int):
@@ -148,7 +158,7 @@ def _sender(size: int, percent: int, buckets: int):
             met = common[first] > 0
             if met.any():
                 meeting, indexed = s[first[met]], np.flatnonzero(met) < index
-                rows.append((3, None, i, len(s), *d, None, s.tobytes(), indexed.astype(np.uint8).tobytes(), meeting.tobytes(), _vector(s).tobytes()))
+                rows.append((3, None, i, len(s), *d, None, s.tobytes(), indexed.astype(np.uint8).tobytes(), meeting.tobytes(), _vector(s)))
                 keys.append(meeting[indexed])
                 owners.append(np.full(len(keys[-1]), i, np.int64))
         if keys and len(flat := np.concatenate(keys)):
@@ -213,32 +223,26 @@ class CountTree:
         return self.order[at], bound
 
 
-def _pairs(held: np.ndarray, asks: np.ndarray, within: bool, col: dict, counts: np.ndarray, percent: int, depth: int):
-    """Candidate pairs of askers and held sets in different components, the best `depth` of an asker in each; and whether more there are."""
+def _pairs(held: np.ndarray, asks: np.ndarray, col: dict, counts: np.ndarray, percent: int, depth: int):
+    """Candidate pairs of an asker (by its index prefix) and a held set in another component, the best `depth` of each asker; and whether more there are."""
     tree, out, more = CountTree(counts[held], col["n"][held], percent), [], False
     for q in asks:
         near, bound = tree.near(counts[q], int(col["n"][q]))
         c = held[near]
-        smaller = np.where(col["n"][c] < col["n"][q], col["indexed"][c], np.where(col["n"][c] > col["n"][q], col["indexed"][q], col["indexed"][c] | col["indexed"][q]))
-        ok = smaller & (col["component"][c] != col["component"][q])
-        if within:
-            ok &= c > q
+        # the smaller one asks; of two equal ones that both may, the one of the smaller id
+        ok = (col["n"][c] > col["n"][q]) | ((col["n"][c] == col["n"][q]) & ((col["doc_id"][c] > col["doc_id"][q]) | ~col["indexed"][c]))
+        ok &= col["component"][c] != col["component"][q]
         c, bound = c[ok], bound[ok]
         if len(c) > depth:
-            order = np.lexsort((-bound, col["component"][c]))
-            c = c[order]
-            lead = np.flatnonzero(np.concatenate([[True], col["component"][c][1:] != col["component"][c][:-1]]))
-            rank = np.arange(len(c)) - np.repeat(lead, np.diff(np.concatenate([lead, [len(c)]])))
-            more |= bool((rank >= depth).any())
-            c = c[rank < depth]
+            c, more = c[np.argsort(-bound, kind="stable")[:depth]], True
         out.append(np.stack([col["doc_id"][c], np.full(len(c), col["doc_id"][q])], axis=1))
     return out, more
 
 
 def _searcher(percent: int, depth: int):
     def search(table: pa.Table) -> pa.Table:
-        col = {c: table[c].to_numpy() for c in ("x", "i", "j", "part", "doc_id", "component", "n", "indexed")}
-        vectors = [np.frombuffer(x, np.int32) for x in table["counts"].to_pylist()]
+        col = {c: table[c].to_numpy() for c in ("x", "i", "j", "role", "doc_id", "component", "n", "indexed")}
+        vectors = table["counts"].to_pylist()
         key = np.stack([col["x"], col["i"], col["j"]], axis=1)
         order, out, more = np.lexsort((col["doc_id"], col["j"], col["i"], col["x"])), [], False
         key = key[order]
@@ -246,13 +250,10 @@ def _searcher(percent: int, depth: int):
         for a, b in zip(cuts[:-1], cuts[1:]):
             rows = order[a:b]
             own = {c: v[rows] for c, v in col.items()}
-            groups = min(len(vectors[r]) for r in rows)
-            counts = np.stack([vectors[r].reshape(-1, groups).sum(axis=0) for r in rows])
-            alone = own["i"][0] == own["j"][0]
-            held = np.arange(len(rows)) if alone else np.flatnonzero(own["part"] == own["i"])
-            asks = np.arange(len(rows)) if alone else np.flatnonzero(own["part"] == own["j"])
+            counts = _counts([vectors[r] for r in rows])
+            held, asks = np.flatnonzero(own["role"] != ASKS), np.flatnonzero(own["role"] != HELD)
             if len(held) and len(asks):
-                found, left = _pairs(held, asks, alone, own, counts, percent, depth)
+                found, left = _pairs(held, asks, own, counts, percent, depth)
                 out += found
                 more |= left
         # one row of nulls says that pairs were left out
@@ -306,27 +307,31 @@ def _candidates(sets: DataFrame, percent: int, block: int, depth: int) -> DataFr
     """Pairs of sets in different components that may be linked, with a row of nulls where more there are; None if there can be none."""
     entries = sets.select("doc_id", "component", "meets", "flags").mapInArrow(_meetings, "x long, doc_id long, component long, indexed boolean")
     entries = materialize(entries, "meetings")
-    shares = entries.groupBy("x", "component").agg(F.count("*").alias("k"), F.max("indexed").alias("indexed"))
-    mixed = shares.groupBy("x").agg(F.count("*").alias("c"), F.sum("k").alias("m"), F.max_by("component", F.struct("k", "component")).alias("most"), F.max("k").alias("k"), F.max("indexed").alias("indexed")).where("c > 1 and indexed")
-    mixed = materialize(mixed.select("x", "m", "k", "most"), "mixed")
+    shares = entries.groupBy("x", "component").agg(F.count("*").alias("k"), F.count_if("indexed").alias("a"))
+    mixed = shares.groupBy("x").agg(F.count("*").alias("c"), F.sum("k").alias("m"), F.sum("a").alias("asks"), F.max(F.struct("k", "component", "a")).alias("most")).where("c > 1 and asks > 0")
+    mixed = materialize(mixed.select("x", "m", "asks", "most"), "mixed")
     total = mixed.agg(F.sum("m")).first()[0]
     if not total:
         return None
-    # blocks 0, 1, ... of all sets, or of those outside the largest component; its own are -1, -2, ...
-    cut = F.col("m") > block
-    others, own = F.when(cut, F.ceil((F.col("m") - F.col("k")) / block)).otherwise(1).cast("int"), F.when(cut, F.ceil(F.col("k") / block)).otherwise(0).cast("int")
-    met = entries.join(mixed.hint("rebalance"), "x").withColumns({"others": others, "own": own})
-    inner = cut & (F.col("component") == F.col("most"))
-    met = met.withColumn("part", F.when(inner, -1 - F.pmod(F.xxhash64("doc_id"), "own")).otherwise(F.pmod(F.xxhash64("doc_id"), "others")).cast("int"))
-    partner = F.explode(F.when(inner, F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(-F.col("own"), F.col("others") - 1)))
-    units = met.withColumn("partner", partner).where("partner >= 0 or part >= 0").select("x", "doc_id", "component", "indexed", "m", "part", F.least("part", "partner").alias("i"), F.greatest("part", "partner").alias("j"))
+    # of a large meeting, parts 0, 1, ... are outside its largest component, and -1, -2, ... within
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    m, k, asks, own_asks, inner = F.col("m"), F.col("most.k"), F.col("asks"), F.col("most.a"), F.col("component") == F.col("most.component")
+    held_by, held_own, ask_by, ask_own = blocks(m - k), blocks(k), blocks(asks - own_asks), blocks(own_asks)
+    part = lambda by, own: F.when(inner, -1 - F.pmod(F.xxhash64("doc_id"), own)).otherwise(F.pmod(F.xxhash64("doc_id"), by)).cast("int")
+    span = lambda lo, n: F.when(n > lo, F.sequence(lo, n - 1)).otherwise(F.array().cast("array<int>"))
+    as_held = F.transform(span(F.when(inner, 0).otherwise(-ask_own), ask_by), lambda j: F.struct(F.lit(HELD).alias("role"), part(held_by, held_own).alias("i"), j.alias("j")))
+    as_asker = F.transform(span(F.when(inner, 0).otherwise(-held_own), held_by), lambda i: F.struct(F.lit(ASKS).alias("role"), i.alias("i"), part(ask_by, ask_own).alias("j")))
+    none = F.array().cast("array<struct<role:int,i:int,j:int>>")
+    whole = F.array(F.struct(F.when(F.col("indexed"), BOTH).otherwise(HELD).alias("role"), F.lit(0).alias("i"), F.lit(0).alias("j")))
+    roles = F.when(m <= block, whole).otherwise(F.concat(as_held, F.when(F.col("indexed"), as_asker).otherwise(none)))
+    units = entries.join(mixed.hint("rebalance"), "x").select("x", "doc_id", "component", "indexed", "m", F.explode(roles).alias("u")).select("x", "doc_id", "component", "indexed", "m", "u.*")
     small = F.pmod(F.xxhash64("x"), F.lit(max(shuffle_partitions(sets.sparkSession), int(total) // 50_000)))
-    units = units.withColumn("bucket", F.when(F.col("m") > block, F.xxhash64("x", "i", "j").bitwiseOR(F.lit(1 << 62))).otherwise(small)).drop("m")
+    units = units.withColumn("bucket", F.when(m > block, F.xxhash64("x", "i", "j").bitwiseOR(F.lit(1 << 62))).otherwise(small)).drop("m")
     units = units.join(sets.select("doc_id", "n", "counts"), "doc_id")
     return units.groupBy("bucket").applyInArrow(_searcher(percent, depth), "a long, b long")
 
 
-def ngram_jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 1024, depth: int = 8) -> DataFrame:
+def ngram_jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 1024, depth: int = 16) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs.
 
     Sets of `size`-word shingles (words lower-cased A-Z, split at ASCII white space; the
