@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import tempfile
 import uuid
 
+import numpy as np
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 _DROP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -15,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if not getattr(spark.sparkContext, "_siftwell_shared", None):
         spark.sparkContext._siftwell_shared = tempfile.mkdtemp(prefix="siftwell-")
     return f"file://{spark.sparkContext._siftwell_shared}"
@@ -43,17 +49,40 @@ def drop_at_exit(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
-def write_bytes(spark: SparkSession, path: str, data: bytes) -> str:
-    """Write a small file to a folder that only Spark's file systems may reach; returns path."""
+def write_bytes(spark: SparkSession, path: str, data: bytes, piece: int = 4 << 20) -> str:
+    """Write a file to a folder that only Spark's file systems may reach, piece by piece; returns path."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
     try:
-        out.write(bytearray(data))
+        for k in range(0, len(data), piece):
+            out.write(bytearray(data[k : k + piece]))
     finally:
         out.close()
     return path
 
 
+def ship_arrays(spark: SparkSession, tag: str, arrays: dict[str, np.ndarray]) -> str:
+    """Send arrays to each machine once, as a file that all its Python workers map; returns the file's name."""
+    found, at = [], 0
+    for k, x in arrays.items():
+        found.append((k, x.dtype.str, len(x), at))
+        at += -(-x.nbytes // 8) * 8
+    head = json.dumps(found).encode()
+    head += b" " * (-len(head) % 8)
+    data = b"".join([len(head).to_bytes(8, "little"), head, *(x.tobytes() + b"\0" * (-x.nbytes % 8) for x in arrays.values())])
+    name = f"{tag}-{hashlib.sha256(data).hexdigest()[:24]}"
+    if name not in {x.rpartition("/")[2] for x in spark.sparkContext.listFiles}:
+        spark.sparkContext.addFile(write_bytes(spark, f"{shared_dir(spark)}/{name}", data))
+    return name
+
+
+def mapped_arrays(name: str) -> dict[str, np.ndarray]:
+    """The shipped arrays, mapped and not read."""
+    raw = np.memmap(SparkFiles.get(name), dtype=np.uint8, mode="r")
+    start = 8 + int(raw[:8].view(np.int64)[0])
+    return {k: raw[start + at : start + at + n * np.dtype(kind).itemsize].view(kind) for k, kind, n, at in json.loads(bytes(raw[8:start]))}
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Total bytes of a string column."""
     from pyspark.sql import functions as F

@@ -135,7 +135,44 @@ def test_words_and_windows():
 
 
 def test_masks_find_every_tolerated_window():
-    assert decontaminate.masks_cover()
+    for window, lost in ((13, 2), (13, 3), (12, 2), (10, 2), (13, 0), (9, 4), (15, 1)):
+        assert decontaminate.masks_cover(decontaminate.masks_for(window, lost), window, lost)
+    with pytest.raises(ValueError):
+        decontaminate.masks_for(3, 3)
+
+
+def brute_repeats(doc, item, window, lost):
+    n = len(item)
+    size, lost = min(window, n), lost if n >= window else lost * n // window if n >= 8 else 0
+    return n > 0 and any(sum(a != b for a, b in zip(doc[p : p + size], item[q : q + size])) <= lost for p in range(len(doc) - size + 1) for q in range(n - size + 1))
+
+
+@pytest.mark.parametrize(("window", "lost"), [(13, 2), (13, 3), (10, 2), (9, 1)])
+def test_seeds_find_what_brute_force_finds(window, lost):
+    rng = random.Random(window + lost)
+    for few in (2, 3, 60):  # few different words make very many diagonals
+        clean = lambda n, few=few: [f"v{rng.randrange(few)}" for _ in range(n)]
+        items = [clean(rng.choice([1, 3, 9, 12, 13, 20, 40])) for _ in range(12)]
+        docs = [[]]
+        for k in range(80):
+            copy = list(items[k % 12])
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(len(copy))] = "zz"
+            docs.append(clean(rng.randint(0, 9)) + copy + clean(rng.randint(0, 9)))
+        arrays = decontaminate.seed_arrays(list(range(12)), [" ".join(i) for i in items], window, 8, lost)
+        for _, _, w in textkernel.words(pa.array([" ".join(d) for d in docs]), textkernel.ALNUM_LOWER):
+            found = decontaminate.SeedTable(arrays, window, lost).found(w)
+        assert found == {(d, i) for d, doc in enumerate(docs) for i, item in enumerate(items) if brute_repeats(doc, item, window, lost)}
+
+
+def test_equal_words_take_little_time():
+    import time
+
+    arrays = decontaminate.seed_arrays([1, 2], [" ".join(["same"] * 300), " ".join(["same"] * 9 + ["other"] * 9)], 13, 8)
+    (_, _, w), *_ = textkernel.words(pa.array([" ".join(["same"] * 20000)]), textkernel.ALNUM_LOWER)
+    begun = time.perf_counter()
+    assert decontaminate.SeedTable(arrays, 13, 2).found(w) == {(0, 0)}
+    assert time.perf_counter() - begun < 2
 
 
 def test_decontaminate(spark):
@@ -150,9 +187,9 @@ def test_decontaminate(spark):
     short = clean(9)
     docs = [(0, " ".join(clean(40) + item + clean(40))), (1, " ".join(clean(5) + changed + clean(9)).upper()), (2, " ".join(clean(90))), (3, None), (4, ""), (5, ", ".join(clean(3) + item[10:24] + clean(3))), (6, " ".join(clean(20) + item[10:20] + clean(20))), (7, " ".join(broken)), (8, " ".join(clean(4) + short + clean(4))), (9, " ".join(clean(4) + short[:8] + clean(4))), (10, " ".join(clean(4) + ["tiny", "item"])), (0, " ".join(item))]
     bench = [(1, " ".join(item)), (2, " ".join(short)), (3, "tiny item"), (4, None), (1, " ".join(item)), (7, " ".join(item))]
-    frame = spark.createDataFrame([(i, t, "e") for i, t in docs], "doc_id long, text string, items string").drop("items").withColumnRenamed("doc_id", "_row")
+    frame = spark.createDataFrame([(i, t, "e", "f") for i, t in docs], "doc_id long, text string, items string, _text string").withColumnRenamed("doc_id", "_row")
     for slices in (1 << 24, 100):
-        got = decontaminate.decontaminate(frame, spark.createDataFrame(bench, "item_id long, text string"), slice_bytes=slices)
+        got = decontaminate.decontaminate(frame, spark.createDataFrame(bench, "item_id long, text string"), slice_bytes=slices, short_items=False)
         found = Counter((r["_row"], tuple(r["items"])) for r in got.collect())
         assert found == Counter([(0, (1, 7)), (0, (1, 7)), (1, (1, 7)), (2, ()), (3, ()), (4, ()), (5, (1, 7)), (6, ()), (7, ()), (8, (2,)), (9, ()), (10, ())])
 
