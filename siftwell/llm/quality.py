@@ -13,7 +13,9 @@ never shuffled. The classifier is fitted on the `train_rows` labelled rows with
 smallest hash of their id.
 
 Defined results: null and empty texts have measures of 0; a null host or path is
-a site of its own; an empty table gives an empty result.
+a site of its own; an empty table gives an empty result; repeated rows count each by itself; very long texts are
+measured whole; a quality of exactly 0.5 is kept; columns of docs other than the id, text, host and path are ignored,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ so very frequent passages neither skew a task nor make pairs.
 
 Defined results: null text has no words; an empty table gives an empty result;
 rows with equal ids never remove words from each other; a null id counts as
-larger than any other. Extra columns pass through unchanged.
+larger than any other; repeated rows are repeated in the result; very long texts are deduplicated whole, as a
+group of their own size; columns of docs named like outputs are replaced, all others pass through unchanged.
 """
 
 from __future__ import annotations

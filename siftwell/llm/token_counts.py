@@ -2,16 +2,25 @@
 
 The tokenizer's pieces never cross from a non-space to a following space (this is
 checked on the model), so a text's tokens are those of its chunks: a run of spaces
-with the word behind it. Hence the recurrence
+with the word behind it. Within a chunk, byte-pair merging has this property: a sequence of pieces is
+the encoding of its text exactly if each piece and each two neighbours encode to themselves.
+So the encoding of a prefix is that of a shorter prefix and one last piece:
 
-    count(prefix to the end of chunk k) = count(prefix to the end of chunk k - 1) + tokens(chunk k)
+    count(k) = count(k - |t|) + 1 for the one piece t that ends at k and fits the last piece of prefix k - |t|
 
-whose last term is computed once for each distinct chunk of a batch, and, for
-prefixes that end inside a chunk, the same with tokens(that part of the chunk). The
+which takes one forward pass over the chunk, whatever its length; whether two pieces fit is found by
+merging the two alone, once for each pair. A character that no piece covers counts its bytes. Over chunks
+
+    count(prefix to the end of chunk k) = count(prefix to the end of chunk k - 1) + last count of chunk k
+
+The same holds for the runs within a chunk between whose characters no piece reaches. A worker runs
+the program once for each distinct run and keeps the counts at all prefixes of runs and chunks. The
 stored counts answer how many tokens a prefix has and which prefix fits a budget
-without encoding anything again. Counting is one map, without a shuffle.
+without encoding anything again. The library's own encoding of each distinct chunk is compared with
+the last count, so a model without that property is noticed. Counting is one map, without a shuffle.
 
-Defined results: null and empty texts have no bytes and no tokens. Special strings
+Defined results: null and empty texts have no bytes and no tokens; an empty table gives an empty result; repeated rows are
+each counted; very long texts are counted whole; columns of docs named like outputs are replaced. Special strings
 inside texts are ordinary text, as is the library's default.
 """
 
@@ -41,43 +50,103 @@ class PrefixCounter:
         pieces = (self.model.id_to_piece(k) for k in range(self.model.get_piece_size()))
         if any(_MARK in p.lstrip(_MARK) for p in pieces) or [self.model.id_to_piece(k) for k in self.model.encode("a  ")] == [self.model.id_to_piece(k) for k in self.model.encode("a")]:
             raise ValueError("pieces of this model cross spaces; prefix counts would not be exact")
-        self.space = len(self.model.encode("a ")) - len(self.model.encode("a"))
-
-    def of_chunks(self, chunks: list[str]) -> np.ndarray:
-        """Tokens of each chunk, given without its first space; none for a lone space."""
-        return np.fromiter(map(len, self.model.encode(chunks, num_threads=1)), dtype=np.int64, count=len(chunks))
+        normal = [k for k in range(self.model.get_piece_size()) if not (self.model.is_control(k) or self.model.is_unknown(k) or self.model.is_byte(k) or self.model.is_unused(k))]
+        self.score = {self.model.id_to_piece(k): self.model.get_score(k) for k in normal}
+        self.longest, self.fits, self.kept, self.runs, self.size = max(map(len, self.score)), {}, {}, {}, 0
+        self.joined = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
+
+    def _merged(self, text: str) -> list[str]:
+        """Byte-pair merging: the best pair first, of equal ones the leftmost."""
+        parts = list(text)
+        while True:
+            best, at = None, 0
+            for k in range(len(parts) - 1):
+                s = self.score.get(parts[k] + parts[k + 1])
+                if s is not None and (best is None or s > best):
+                    best, at = s, k
+            if best is None:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def _fit(self, before: str, piece: str) -> bool:
+        known = self.fits.get((before, piece))
+        if known is None:
+            known = self.fits[before, piece] = self._merged(before + piece) == ([before, piece] if before else [piece])
+        return known
+
+    def _forward(self, s: str) -> list[int]:
+        """The program over a run: tokens of its first 1, 2, ... characters."""
+        last, count, score = [""] * (len(s) + 1), [0] * (len(s) + 1), self.score
+        for k in range(1, len(s) + 1):
+            for n in range(min(k, self.longest), 0, -1):
+                t = s[k - n : k]
+                if (n == 1 or t in score) and self._fit(last[k - n], t):
+                    last[k], count[k] = t, count[k - n] + (1 if t in score else len(t.encode()))
+                    break
+            else:
+                raise ValueError("the model's merges are not those of byte pairs")
+        return count[1:]
 
     def of_run(self, chunk: str) -> np.ndarray:
         """Tokens of the first 1, 2, ... characters of a chunk that begins with its space."""
-        ends = self.of_chunks([chunk[1:k] for k in range(1, len(chunk) + 1)])
-        ends[0] = self.space
-        return ends
+        s, out, at, base = chunk.replace(" ", _MARK), [], 0, 0
+        for k in range(1, len(s) + 1):
+            # no piece holds these two neighbours, so none reaches across
+            if k == len(s) or s[k - 1 : k + 1] not in self.joined:
+                run = s[at:k]
+                known = self.runs.get(run)
+                if known is None:
+                    known = self.runs[run] = self._forward(run)
+                    self.size += k - at
+                out += [base + x for x in known]
+                base, at = out[-1], k
+        return np.array(out, dtype=np.int32)
+
+    def of_chunks(self, chunks: list[str]) -> list[np.ndarray]:
+        """of_run of each chunk, kept for the worker's next batches."""
+        new = [c for c in dict.fromkeys(chunks) if c not in self.kept]
+        if self.size > 1 << 24:
+            self.kept, self.runs, self.size, new = {}, {}, 0, list(dict.fromkeys(chunks))
+        if len(self.fits) > 1 << 20:
+            self.fits = {}
+        for c, pieces in zip(new, self.model.encode([c[1:] for c in new], num_threads=1)):
+            self.kept[c] = self.of_run(c)
+            self.size += len(c)
+            if self.kept[c][-1] != (len(pieces) or 1):  # the library has no token for a lone space that begins a text
+                raise ValueError(f"prefix counts differ from the library's: {c[:100]!r}")
+        return [self.kept[c] for c in chunks]
 
     def chunk_ends(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, counts): counts[offsets[k]:offsets[k + 1]] are the tokens of text k up to the end of each of its chunks."""
         texts = pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), _MARK, " ")
-        spaced = pc.or_(pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")), pc.match_substring(texts, "  ")).to_numpy(zero_copy_only=False)
+        odd = pc.or_(pc.starts_with(texts, " "), pc.match_substring(texts, "  "))
+        odd = pc.or_(odd, pc.ends_with(texts, " ")).to_numpy(zero_copy_only=False)
         split = pc.split_pattern(texts, " ")
         coded = split.flatten().dictionary_encode()
-        count = self.of_chunks(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        each = np.split(count, split.offsets.to_numpy()[1:-1])
-        for k in np.flatnonzero(spaced):
-            chunks = _CHUNK.findall(" " + texts[int(k)].as_py())
-            each[k] = self.of_chunks([c[1:] for c in chunks]) + self.space * np.array([c == " " for c in chunks])
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in each])])
-        ends = np.concatenate([[0], np.cumsum(np.concatenate(each))])
-        return offsets, ends[1:] - np.repeat(ends[offsets[:-1]], np.diff(offsets))
+        offsets = split.offsets.to_numpy()
+        use = np.ones(len(coded), dtype=bool)
+        for k in np.flatnonzero(odd):
+            use[offsets[k] - offsets[0] : offsets[k + 1] - offsets[0]] = False
+        wanted = np.unique(coded.indices.to_numpy()[use])
+        count = np.zeros(len(coded.dictionary), dtype=np.int64)
+        count[wanted] = [c[-1] for c in self.of_chunks([" " + c for c in coded.dictionary.take(pa.array(wanted)).to_pylist()])]
+        each = np.split(count[coded.indices.to_numpy()], offsets[1:-1] - offsets[0])
+        for k in np.flatnonzero(odd):
+            each[k] = np.array([c[-1] for c in self.of_chunks(_CHUNK.findall(" " + texts[int(k)].as_py()))], dtype=np.int64)
+        for k in np.flatnonzero(pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)):
+            each[k] = np.zeros(1, dtype=np.int64)
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in each])])
+        total = np.concatenate([[0], np.cumsum(np.concatenate(each))])
+        return ends, total[1:] - np.repeat(total[ends[:-1]], np.diff(ends))
 
     def prefixes(self, text: str | None) -> np.ndarray:
         """Tokens of the first k characters, for every k from 0 to the text's length."""
-        counts, base, known, text = [0], 0, {}, (text or "").replace(_MARK, " ")
-        for c in _CHUNK.findall(" " + text) if text else []:
-            if c not in known:
-                known[c] = self.of_run(c)
-            ends = base + known[c]
-            counts += (ends if len(counts) > 1 else ends[1:]).tolist()
-            base += int(known[c][-1])
-        return np.array(counts if text else [0], dtype=np.int64)
+        text, base, parts = (text or "").replace(_MARK, " "), 0, [np.zeros(1, dtype=np.int64)]
+        chunks = _CHUNK.findall(" " + text) if text else []
+        for k, ends in enumerate(self.of_chunks(chunks)):
+            parts.append(base + (ends if k else ends[1:]))  # the first space is the tokenizer's own
+            base += int(ends[-1])
+        return np.concatenate(parts)
 
 
 def longest_within(counts: np.ndarray, budget: int) -> int:
@@ -125,6 +194,7 @@ def prefix_token_counts(docs: DataFrame, model_path: str, text_col: str = "text"
     """docs with prefix_tokens: element k holds the tokens of the first k characters."""
     with open(model_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(text_col).cast("string").alias("_text"))
+    kept = [c for c in docs.columns if c != "prefix_tokens"]
+    packed = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c_{c}") for c in kept)).alias("_row"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     done = packed.mapInArrow(_prefixer(shared), packed.select("_row").schema.add("prefix_tokens", T.ArrayType(T.LongType())))
-    return done.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns), "prefix_tokens")
+    return done.select(*(F.col("_row").getField(f"c_{c}").alias(c) for c in kept), "prefix_tokens")

@@ -11,7 +11,9 @@ hash of their id (all of them where there are fewer).
 
 Defined results: null and empty texts have no features and score as the bias
 alone; labels that are null are left out; of several labels of one id the largest
-counts; a null id is scored, with a null held_out.
+counts; a null id is scored, with a null held_out; repeated rows are all scored, and of those of one id and
+text one is fitted on; very long texts are scored whole; an empty table gives an empty result, and without labelled
+rows every score is 0.5; a column of docs named toxicity is replaced, all others pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -98,7 +100,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: FTRL = FTRL()):
     """Fit on labelled rows outside the held-out fold."""
     usable = labels.where(~held_out("doc_id") & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("label"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(params.train_rows).groupBy("doc_id").agg(F.max("label").alias("label"))
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").distinct()
     got = texts.mapInArrow(_extractor(params), "doc_id long, label int, features binary").toArrow()
     rows = sorted(zip(got["doc_id"].to_pylist(), got["label"].to_pylist(), got["features"].to_pylist()), key=lambda r: (hash((r[0], 11)), r))
     return ftrl_fit([(np.frombuffer(f, np.int32), y) for _, y, f in rows], params)
@@ -126,7 +128,8 @@ def _scorer(shared, p: FTRL):
 def score_toxicity(docs: DataFrame, model, params: FTRL = FTRL(), text_col: str = "text") -> DataFrame:
     """docs with a column toxicity, from 0 to 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(text_col).cast("string").alias("_text"))
+    kept = [c for c in docs.columns if c != "toxicity"]
+    packed = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c_{c}") for c in kept)).alias("_row"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     schema = packed.select("_row").schema.add("toxicity", "double")
     done = packed.mapInArrow(_scorer(shared, params), schema)
-    return done.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns), "toxicity")
+    return done.select(*(F.col("_row").getField(f"c_{c}").alias(c) for c in kept), "toxicity")

@@ -10,7 +10,8 @@ and a found key counts only if the stored string is equal, so collisions do no h
 Defined results: a null url, or one without ://, has an empty host and path; URLs
 that no rule fits get `default`; the longest fitting rule (host and path
 together) wins, between equally long ones that with the longer host. An empty rule
-list leaves every URL to `default`.
+list leaves every URL to `default`; repeated rows are each judged; long URLs are judged whole; columns of pages named
+like outputs are replaced.
 """
 
 from __future__ import annotations

@@ -89,7 +89,6 @@ def labelled(spark, n=600, seed=2):
 
 def test_toxicity_learns_and_scores_everything(spark):
     docs, labels = labelled(spark)
-    docs = docs.drop("toxicity")
     model = toxicity.fit_toxicity(docs, labels)
     assert 0 < len(model[0]) < 3000
     got = toxicity.score_toxicity(docs, model).withColumn("h", toxicity.held_out("doc_id")).collect()
@@ -100,6 +99,58 @@ def test_toxicity_learns_and_scores_everything(spark):
     assert toxicity.score_toxicity(docs.limit(0), toxicity.fit_toxicity(docs.limit(0), labels.limit(0))).count() == 0
 
 
+def test_ftrl_is_the_plain_algorithm():
+    """The fit against one that keeps its coordinates in dictionaries."""
+    import math
+
+    rng, p = random.Random(7), toxicity.FTRL(bits=8, epochs=3, l1=0.5)
+    rows = [(np.array(sorted(rng.sample(range(256), 12)), np.int32), rng.randint(0, 1)) for _ in range(60)]
+    z, n, bias, bias_n = defaultdict(float), defaultdict(float), 0.0, 0.0
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= p.l1 else -(z[k] - math.copysign(p.l1, z[k])) / ((p.beta + math.sqrt(n[k])) / p.alpha + p.l2)
+
+    for _ in range(p.epochs):
+        for at, y in rows:
+            w = {k: weight(k) for k in at.tolist()}
+            g = 1 / (1 + math.exp(-(sum(w.values()) + bias))) - y
+            for k in w:
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / p.alpha * w[k]
+                n[k] += g * g
+            bias_n += g * g
+            bias -= p.alpha * g / (p.beta + math.sqrt(bias_n))
+    at, values, got_bias = toxicity.ftrl_fit(rows, p)
+    want = {k: weight(k) for k in range(256) if weight(k)}
+    assert at.tolist() == sorted(want) and np.allclose(values, [want[k] for k in sorted(want)], rtol=1e-5) and abs(got_bias - bias) < 1e-9
+
+
+def test_quality_is_the_posteriors_of_plain_loops(spark):
+    docs, labels = labelled(spark, n=120, seed=5)
+    weights = quality.fit_quality(docs, labels)
+    got = quality.score_quality(docs.withColumn("evidence", F.lit("x")).withColumn("host", F.lit(1)), weights, F.col("source"), F.concat_ws("/", "source", "lang")).collect()
+    rows = docs.collect()
+    m = quality._measures(__import__("pyarrow").array([r.text for r in rows]))
+    ev = [1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -12, 12))) for x in m]
+    host = [r.source for r in rows]
+    path = [(r.source, "/".join(v for v in (r.source, r.lang) if v is not None)) for r in rows]
+    by_host, by_path = defaultdict(list), defaultdict(list)
+    for e, h, q in zip(ev, host, path):
+        by_host[h].append(e)
+        by_path[q].append(e)
+    mean = np.mean(ev)
+    noise = mean * (1 - mean)
+    spread = lambda sites, centre: np.mean([(np.mean(v) - centre(k)) ** 2 - noise / len(v) for k, v in sites.items()])
+    strength = lambda b: float(np.clip(noise / max(b, 1e-9) - 1, 1.0, 1e6))
+    sh, sp = strength(spread(by_host, lambda k: mean)), strength(spread(by_path, lambda k: np.mean(by_host[k[0]])))
+    logit = lambda x: np.log(min(max(x, 1e-6), 1 - 1e-6) / (1 - min(max(x, 1e-6), 1 - 1e-6)))
+    want = []
+    for r, e, h, q in zip(rows, ev, host, path):
+        hp = (sh * mean + sum(by_host[h])) / (sh + len(by_host[h]))
+        others = (sp * hp + sum(by_path[q]) - e) / (sp + len(by_path[q]) - 1)
+        want.append((-1 if r.doc_id is None else r.doc_id, round(hp, 6), round(1 / (1 + np.exp(-(logit(e) + logit(others) - logit(mean)))), 6)))
+    assert sorted(want) == sorted((-1 if r.doc_id is None else r.doc_id, round(r.host_posterior, 6), round(r.quality, 6)) for r in got)
+
+
 def test_quality_posteriors(spark):
     docs, labels = labelled(spark)
     weights = quality.fit_quality(docs, labels)

@@ -11,7 +11,7 @@ from siftwell.llm import decontaminate, textkernel, token_counts
 from siftwell.llm.ngram_jaccard import CountTree, ngram_jaccard_components
 from siftwell.llm.substring_dedup import level_sizes, substring_dedup
 
-SCHEMA = "doc_id long, text string, _g string, _row int, kind string"
+SCHEMA = "doc_id long, text string, _g string, n_words int, kind string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -62,7 +62,7 @@ def brute_dedup(rows, size):
 def test_substring_dedup_is_brute_force(spark, size):
     rows = corpus()
     got = substring_dedup(spark.createDataFrame(rows, SCHEMA), window=size, group_bytes=2000)
-    assert got.columns == ["doc_id", "_g", "_row", "kind", "n_words", "n_removed", "kept_sha256", "kept_text"]
+    assert got.columns == ["doc_id", "_g", "kind", "n_words", "n_removed", "kept_sha256", "kept_text"]
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in got.collect()) == brute_dedup(rows, size)
 
 
@@ -213,3 +213,26 @@ def test_token_counts_are_the_librarys(spark):
         assert len(sp.encode((t or "")[: token_counts.longest_within(counts, 3)])) <= 3
     stored = token_counts.prefix_token_counts(spark.createDataFrame(rows[:9], "doc_id long, text string, x int"), path).collect()
     assert all(r.prefix_tokens == counter.prefixes(texts[r.doc_id]).tolist() for r in stored)
+
+
+def test_prefix_counts_of_fuzzed_and_long_texts(spark):
+    import time
+
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, rng = sentencepiece.SentencePieceProcessor(model_file=path), random.Random(9)
+    counter = token_counts.PrefixCounter(open(path, "rb").read())
+    alphabet = ["a", "b", "th", "e", "er", " ", "  ", "▁", "é", "日", "\n", "\t", "ﬁ", "1", "ing", "Z", "🙂", "\u0301", "the", "!!", "=="]
+    for _ in range(400):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30)))
+        assert counter.prefixes(text).tolist() == [len(sp.encode(text[:k])) for k in range(len(text) + 1)]
+    for text in ("".join(rng.choice("abcdefgh") for _ in range(100_000)), "a" * 100_000):
+        begun = time.perf_counter()
+        assert counter.prefixes(text)[-1] == len(sp.encode(text)) and time.perf_counter() - begun < 10
+    rows = [(1, "one two", "x"), (1, "one two", "x"), (2, None, "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, prefix_tokens string")
+    assert [r.n_tokens for r in token_counts.count_tokens(frame, path).collect()] == [2, 2, 0]
+    assert token_counts.count_tokens(frame.limit(0), path).count() == token_counts.prefix_token_counts(frame.limit(0), path).count() == 0
+    assert token_counts.prefix_token_counts(frame, path).columns == ["doc_id", "text", "prefix_tokens"]
