@@ -1,19 +1,22 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Each table rotates unit vectors with three fast Hadamard transforms and random
-sign flips, and hashes them to the nearest signed axis. Queries probe the nearest
-axes of every table; what they meet there is scored exactly on the original
+Each table has `hashes` pseudo-rotations, three fast Hadamard transforms with random
+sign flips each, and hashes a unit vector to the nearest signed axis under every one of them. A query probes the
+`probes` nearest cells of every table; what it meets there is scored exactly on the original
 vectors. A query that has met fewer than k vectors this way is searched again
-against all of them, in blocks.
-
-Equal vectors are one entry of the index that keeps the k + 1 smallest ids, which is
-all that a result can hold, and equal queries are searched once, so a vector
-that a third of all rows share costs no more than another. Cells of over `cell_rows` entries
-are split; their queries go to each part. Per task and query only the best k + 1 go on.
-
-Defined results: vectors that are null, of another length than most, zero, or with null or non-finite
-components take no part; repeated ids count as one row each; a table of
-fewer than k + 1 vectors gives each query all others.
+against all of them.
+
+Queries are a stated part of the rows and go over the index in blocks of about `query_block`: a
+block's probes are a broadcast of that bounded size, and one map over the index hashes each vector,
+looks up which queries probe its cells and scores it for these alone. So vectors are never
+shuffled or copied per table, a cell may hold any share of them, and only the best k of a task and query
+go on. The tables are as many and as fine at every size of the input.
+
+Vectors of one length are searched among those of that length. Defined results: vectors that are
+null, empty, zero, or with null or non-finite components take no part, nor do null ids; of rows that
+share an id each counts, and as a neighbour that id is given once, with its best score; a table of
+fewer than k + 1 vectors gives each query all others; ties go to the smaller id; extra columns are ignored, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import drop_at_exit, fresh_path
 
-_ENTRY = "cell int, part int, k1 long, k2 long, ids array<long>, vector binary"
-_FOUND_PA = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+_FOUND = "query_id long, vec_id long, score double"
+_FOUND_PA = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -39,14 +42,27 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(n)
 
 
-def _rotated(vectors: np.ndarray, seed: list[int]) -> np.ndarray:
-    """Similarities of each row to all signed axes after a pseudo-rotation."""
-    size = 1 << max(1, (vectors.shape[1] - 1).bit_length())
-    y = np.zeros((len(vectors), size))
-    y[:, : vectors.shape[1]] = vectors
-    for flips in np.random.default_rng(seed).choice([-1.0, 1.0], size=(3, size)):
-        y = hadamard(y * flips)
-    return np.concatenate([y, -y], axis=1)
+def rotations(dims: int, tables: int, hashes: int, seed: int) -> np.ndarray:
+    """The pseudo-rotations as matrices, which a batch applies at once: tables x hashes x dims x axes."""
+    size = 1 << max(1, (dims - 1).bit_length())
+    out = np.zeros((tables, hashes, dims, size))
+    for t in range(tables):
+        for h in range(hashes):
+            y = np.eye(dims, size)
+            for flips in np.random.default_rng([seed, t, h]).choice([-1.0, 1.0], size=(3, size)):
+                y = hadamard(y * flips)
+            out[t, h] = y
+    return out
+
+
+def own_cells(u: np.ndarray, turns: np.ndarray) -> np.ndarray:
+    """The cell of each row under a table's rotations: the nearest signed axes, as one number."""
+    cell = np.zeros(len(u), dtype=np.int64)
+    for r in turns:
+        y = u @ r
+        axis = np.abs(y).argmax(axis=1)
+        cell = cell * (2 * y.shape[1]) + axis + y.shape[1] * (y[np.arange(len(u)), axis] < 0)
+    return cell
 
 
 def _top(scores: np.ndarray, n: int) -> np.ndarray:
@@ -56,115 +72,146 @@ def _top(scores: np.ndarray, n: int) -> np.ndarray:
     return np.take_along_axis(best, np.argsort(-np.take_along_axis(scores, best, axis=1), axis=1), axis=1)
 
 
-def cells(vectors: np.ndarray, table: int, probes: int, seed: int, hashes: int = 1) -> np.ndarray:
-    """The nearest cells of each row in a table: a cell is a signed axis of each of the table's rotations."""
+def near_cells(u: np.ndarray, turns: np.ndarray, probes: int) -> np.ndarray:
+    """The nearest cells of each row under a table's rotations, nearest first."""
     found = score = None
-    for h in range(hashes):
-        near = _rotated(vectors, [seed, table, h])
-        axis = _top(near, probes)
-        gain = np.take_along_axis(near, axis, axis=1)
+    for r in turns:
+        y = u @ r
+        y = np.concatenate([y, -y], axis=1)
+        axis = _top(y, probes)
+        gain = np.take_along_axis(y, axis, axis=1)
         if found is None:
-            found, score = axis, gain
+            found, score = axis.astype(np.int64), gain
             continue
-        found = (found[:, :, None] * near.shape[1] + axis[:, None, :]).reshape(len(vectors), -1)
-        score = (score[:, :, None] + gain[:, None, :]).reshape(len(vectors), -1)
+        # of sorted lists only pairs of places i, j with (i + 1) * (j + 1) <= probes can be among the best
+        i, j = (x.ravel() for x in np.indices((found.shape[1], axis.shape[1])))
+        few = (i + 1) * (j + 1) <= probes
+        i, j = i[few], j[few]
+        found, score = found[:, i] * y.shape[1] + axis[:, j], score[:, i] + gain[:, j]
         keep = _top(score, probes)
         found, score = np.take_along_axis(found, keep, axis=1), np.take_along_axis(score, keep, axis=1)
     return found
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _coder(tables: int, probes: int, seed: int, width: int, hashes: int):
-    """Rows once for each cell of theirs."""
+def _prober(shape: tuple, probes: int):
+    """Queries with their cells in every table."""
 
-    def code(batches):
+    def probe(batches):
+        turns = rotations(*shape)
         for batch in batches:
-            v = _vectors(batch.column(3))
+            v = _vectors(batch.column(1))
             u = v / np.linalg.norm(v, axis=1, keepdims=True)
-            for t in range(tables):
-                own = cells(u, t, probes, seed, hashes) + t * width**hashes
-                rows = pa.array(np.repeat(np.arange(len(v)), own.shape[1]))
-                took = batch.take(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(own.ravel().astype(np.int32)), pa.array(np.zeros(len(rows), np.int32)), *took.columns], names=["cell", "part", "k1", "k2", "ids", "vector"])
-
-    return code
-
-
-def _ranker(k: int):
-    def rank(index: pa.Table, asked: pa.Table) -> pa.Table:
-        if not index.num_rows or not asked.num_rows:
-            return _FOUND_PA.empty_table()
-        v, q = (_vectors(t["vector"].combine_chunks()) for t in (index, asked))
-        ids, k1, k2 = index["ids"].to_pylist(), asked["k1"].to_pylist(), asked["k2"].to_pylist()
-        vn, qn = np.linalg.norm(v, axis=1), np.linalg.norm(q, axis=1)
-        out, step = [], max(1, (1 << 22) // len(v))
-        for lo in range(0, len(q), step):
-            near = (q[lo : lo + step] / qn[lo : lo + step, None]) @ (v / vn[:, None]).T
-            least = np.partition(near, -min(k, len(v)), axis=1)[:, -min(k, len(v))] - 1e-12
-            for i, at in enumerate(map(np.flatnonzero, near >= least[:, None])):
-                score = (v[at] * q[lo + i]).sum(axis=1) / (vn[at] * qn[lo + i])
-                best = sorted((-s, x) for s, a in zip(score.tolist(), at.tolist()) for x in ids[a])[:k]
-                out += [(k1[lo + i], k2[lo + i], x, -s) for s, x in best]
-        return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out), _FOUND_PA)], schema=_FOUND_PA)
-
-    return rank
-
-
-def _best(found: DataFrame, k: int) -> DataFrame:
-    """The best k of each query vector; one row for each id met."""
-    order = Window.partitionBy("k1", "k2").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
-
-
-def nearest(vectors: DataFrame, is_query: F.Column, k: int = 5, tables: int = 16, probes: int = 6, hashes: int = 1, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 7, cell_rows: int = 8192) -> DataFrame:
+            cells = np.stack([near_cells(u, t, probes) for t in turns], axis=1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in v], pa.binary()), pa.array([x.tobytes() for x in cells], pa.binary())], names=["query_id", "vector", "cells"])
+
+    return probe
+
+
+def _lookup(cells: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each table (the second axis): sorted cells, where their queries start, and the queries."""
+    out = []
+    for t in range(cells.shape[1]):
+        flat = cells[:, t].ravel()
+        order = np.argsort(flat, kind="stable")
+        keys, first = np.unique(flat[order], return_index=True)
+        out.append((keys, np.append(first, len(flat)), (order // cells.shape[2]).astype(np.uint16)))
+    return out
+
+
+def _merge(best, q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int):
+    """The best k of each query, an id once, nearest first."""
+    q, ids, score = (np.concatenate(x) for x in zip(best, (q, ids, score)))
+    order = np.lexsort((-score, ids, q))
+    q, ids, score = q[order], ids[order], score[order]
+    once = np.concatenate([[True], (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])])[: len(q)]
+    q, ids, score = q[once], ids[once], score[once]
+    order = np.lexsort((ids, -score, q))
+    q, ids, score = q[order], ids[order], score[order]
+    lead = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])[: len(q)])
+    rank = np.arange(len(q)) - np.repeat(lead, np.diff(np.append(lead, len(q))))
+    return q[rank < k], ids[rank < k], score[rank < k]
+
+
+def _searcher(shared, shape: tuple, k: int, step: int = 2048):
+    """One pass of a block of queries over the vectors; without tables every vector is a candidate."""
+
+    def search(batches):
+        query_ids, asked, tables = shared.value
+        norm = np.linalg.norm(asked, axis=1)
+        unit, turns, n = asked / norm[:, None], rotations(*shape) if tables else None, len(asked)
+        best, least = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), np.full(n, -np.inf)
+        for batch in batches:
+            every, ids = _vectors(batch.column(1)), batch.column(0).to_numpy()
+            for lo in range(0, len(ids), step):
+                v, i = every[lo : lo + step], ids[lo : lo + step]
+                size = np.linalg.norm(v, axis=1)
+                u = v / size[:, None]
+                met = np.full((n, len(i)), not tables)
+                for (keys, first, queries), turn in zip(tables, turns if tables else ()):
+                    cell = own_cells(u, turn)
+                    at = np.minimum(np.searchsorted(keys, cell), len(keys) - 1)
+                    row = np.flatnonzero(keys[at] == cell)
+                    many = first[at[row] + 1] - first[at[row]]
+                    entry = np.repeat(first[at[row]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    met[queries[entry], np.repeat(row, many)] = True
+                found = []
+                for j in range(n):
+                    row = np.flatnonzero(met[j])
+                    near = row[(u[row] @ unit[j] >= least[j] - 1e-12) & (i[row] != query_ids[j])]
+                    if len(near):
+                        found.append((np.full(len(near), j), i[near], (v[near] * asked[j]).sum(axis=1) / (size[near] * norm[j])))
+                if found:
+                    best = _merge(best, *(np.concatenate(x) for x in zip(*found)), k)
+                    full = np.bincount(best[0], minlength=n) == k
+                    lowest = np.full(n, np.inf)
+                    np.minimum.at(lowest, best[0], best[2])
+                    least = np.where(full, lowest, -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(query_ids[best[0]]), pa.array(best[1]), pa.array(best[2])], schema=_FOUND_PA)
+
+    return search
+
+
+def nearest(vectors: DataFrame, is_query: F.Column, k: int = 5, tables: int = 32, probes: int = 64, hashes: int = 2, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 7, query_block: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each row where is_query holds, itself left out.
 
-    is_query is an expression over the column vec_id. More hashes make smaller cells, which large tables need; they want more probes.
+    is_query is an expression over the column vec_id.
     """
-    plain = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    spark = vectors.sparkSession
+    plain = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
     sound = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
-    plain = plain.where(F.col("vec_id").isNotNull() & sound).select("vec_id", "v", F.size("v").alias("dims"))
-    usual = plain.groupBy("dims").count().orderBy(F.desc("count"), F.desc("dims")).first()
-    width = 2 << max(1, ((usual["dims"] if usual else 2) - 1).bit_length())
-    plain = plain.where(F.col("dims") == (usual["dims"] if usual else 0)).select("vec_id", "v", F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(1), "v").alias("k2"))
-    same = Window.partitionBy("k1", "k2").orderBy("vec_id")
-    few = plain.select("k1", "k2", "vec_id", "v").withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= k + 1)
-    entries = few.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.min("v").alias("v"))
-    entries = materialize(entries.mapInArrow(_pack, "k1 long, k2 long, ids array<long>, vector binary"), "vectors")
-    asking = plain.where(is_query).select("k1", "k2", F.col("vec_id").alias("query_id"))
-    asked = entries.join(asking.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
-
-    index = entries.mapInArrow(_coder(tables, 1, seed, width, hashes), _ENTRY)
-    probe = asked.mapInArrow(_coder(tables, probes, seed, width, hashes), _ENTRY)
-    # one row per cell at most, whatever the input: tables * width ** hashes
-    parts = {r["cell"]: -(-r["count"] // cell_rows) for r in index.groupBy("cell").count().where(F.col("count") > cell_rows).collect()}
-    if parts:
-        known = F.create_map(*(F.lit(x) for pair in parts.items() for x in pair))
-        n = F.coalesce(known[F.col("cell")], F.lit(1)).cast("int")
-        index = index.withColumn("part", F.pmod(F.col("k1"), n).cast("int"))
-        probe = probe.withColumn("part", F.explode(F.sequence(F.lit(0), n - 1)))
-    meet = lambda a, b: a.groupBy("cell", "part").cogroup(b.groupBy("cell", "part")).applyInArrow(_ranker(k + 1), "k1 long, k2 long, vec_id long, score double")
-    found = materialize(_best(meet(index, probe), k + 1), "neighbours")
-
-    short = asked.join(found.groupBy("k1", "k2").count().where(F.col("count") > k), ["k1", "k2"], "left_anti")
-    if short.limit(1).count():
-        short = materialize(short, "short")
-        blocks = max(1, -(-entries.count() // cell_rows))
-        block = F.pmod(F.col("k1"), F.lit(blocks)).cast("int")
-        all_rows = entries.select(block.alias("cell"), F.lit(0).alias("part"), "*")
-        again = short.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cell"), F.lit(0).alias("part"), "*")
-        found = _best(found.unionByName(meet(all_rows, again)), k + 1)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = asking.distinct().join(found, ["k1", "k2"]).where("vec_id <> query_id").withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _pack(batches):
-    for batch in batches:
-        lists = batch.column(3)
-        flat, at = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
-        ends = np.concatenate([[0], np.cumsum(at)])
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())], names=["k1", "k2", "ids", "vector"])
+    plain = plain.where(F.col("vec_id").isNotNull() & sound)
+    path = fresh_path(spark, "neighbours")
+    drop_at_exit(spark, path)
+    spark.createDataFrame([], _FOUND).write.parquet(path)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    once = lambda found: found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = lambda found: once(found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    def search(asking: DataFrame, dims: int, hashed: bool) -> None:
+        shape, index = (dims, tables, hashes, seed), plain.where(F.size("v") == dims)
+        blocks = -(-asking.count() // query_block)
+        for b in range(blocks):
+            block = asking.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)) == b)
+            got = block.mapInArrow(_prober(shape, probes if hashed else 1), "query_id long, vector binary, cells binary").toArrow()
+            for lo in range(0, got.num_rows, 1 << 16):  # a query's number has 16 bits
+                part = got.slice(lo, 1 << 16)
+                asked = np.frombuffer(b"".join(part["vector"].to_pylist()), np.float64).reshape(-1, dims)
+                cells = np.frombuffer(b"".join(part["cells"].to_pylist()), np.int64).reshape(len(asked), tables, -1)
+                shared = spark.sparkContext.broadcast((part["query_id"].to_numpy(), asked, _lookup(cells) if hashed else []))
+                ranked(index.mapInArrow(_searcher(shared, shape, k), _FOUND)).select("query_id", "vec_id", "score").write.mode("append").parquet(path)
+                shared.unpersist()
+
+    asking = plain.where(is_query).distinct()
+    lengths = [r["dims"] for r in asking.select(F.size("v").alias("dims")).distinct().collect()]
+    for dims in lengths:
+        search(asking.where(F.size("v") == dims), dims, hashed=True)
+    found = spark.read.schema(_FOUND).parquet(path)
+    enough = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
+    for dims in lengths:
+        search(asking.where(F.size("v") == dims).join(enough, "vec_id", "left_anti"), dims, hashed=False)
+    return ranked(spark.read.schema(_FOUND).parquet(path)).select("query_id", "rank", "vec_id", "score")

@@ -224,7 +224,7 @@ def test_neighbours(spark, hashes, probes):
     rows += [(400, None, "q"), (401, [0.0] * 10, "q"), (402, [float("nan")] + [1.0] * 9, "q"), (403, [None] + [1.0] * 9, "q"), (404, [float("inf")] + [1.0] * 9, "q"), (405, [1.0, 2.0], "q"), (406, [], "q")]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")
     got = defaultdict(list)
-    for r in ann.nearest(frame, F.col("vec_id") % 10 == 0, tables=8, probes=probes, hashes=hashes, cell_rows=16).collect():
+    for r in ann.nearest(frame, F.col("vec_id") % 10 == 0, tables=8, probes=probes, hashes=hashes, query_block=16).collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     hit = 0
@@ -246,3 +246,12 @@ def test_neighbours_of_few_or_no_vectors(spark):
     got = ann.nearest(frame, F.col("vec_id") % 2 == 0, tables=1, probes=1).collect()
     assert Counter(r.query_id for r in got) == {0: 3, 2: 3}
     assert ann.nearest(frame.limit(0), F.col("vec_id") % 2 == 0).count() == 0
+
+
+def test_each_length_has_its_own_neighbours(spark):
+    rows = [(k, [1.0, float(k)]) for k in range(0, 8, 2)] + [(100, [1.0, 2.0, 3.0]), (101, [1.0, 2.0, 2.0]), (102, [0.0, 0.0, 1.0]), (104, [5.0]), (7, [1.0, 2.0]), (7, [1.0, 2.0])]
+    got = defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 2 == 0, k=3).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got[100] == [101, 102] and got[102] == [100, 101] and 104 not in got
+    assert got[2] == [7, 4, 6] and len(got) == 6
