@@ -45,6 +45,39 @@ def test_warc_parsing_and_empty_table(spark):
     assert warc.assemble(warc.read_warc(spark, path)).count() == 0
 
 
+def test_warc_of_other_writers(spark, tmp_path):
+    """Several and chained concurrent-to identifiers, payloads that hold the start of a record, files of several members."""
+    import gzip
+
+    def record(kind, name, to, block, *more):
+        head = [f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", *(f"WARC-Concurrent-To: {x}" for x in to), *more, f"Content-Length: {len(block)}"]
+        return "\r\n".join(["WARC/1.1", *head, "", ""]).encode() + block + b"\r\n\r\n"
+
+    page = lambda body: b"HTTP/1.1 200 OK\r\n\r\n" + body
+    inner = b"x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" * 3 + bytes(range(256))
+    one = [record("warcinfo", "<i>", [], b"software: x"), record("request", "<q1>", ["<r1>"], b"GET"), record("response", "<r1>", [], page(inner)), record("metadata", "<m1>", ["<q1>"], b"page-id: 1\r\n")]
+    two = [record("metadata", "<m2>", ["<q2>", "<r2>"], b"page-id: 2\r\n"), record("response", "<r2>", ["<q2>"], page(b"")), record("request", "<q2>", [], b"GET"), record("revisit", "<r3>", [], b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\n", "WARC-Refers-To: <r1>"), record("metadata", "<m3>", ["<m4>"], b"page-id: 3\r\n"), record("metadata", "<m4>", ["<r3>"], b"x: y\r\n"), record("metadata", "<m5>", ["<nothing>"], b"page-id: 5\r\n")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, one)))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(b"".join(two)))
+    (tmp_path / "c.warc").write_bytes(record("response", "<r6>", [], page(b"six")))
+    got = {r.capture_id: r for r in warc.assemble(warc.read_warc(spark, str(tmp_path), with_payload=True)).collect()}
+    assert set(got) == {"<r1>", "<r2>", "<r3>", "<r6>"}
+    assert bytes(got["<r1>"].response.payload) == inner and got["<r1>"].metadata.page_id == 1 and got["<r1>"].request.record_id == "<q1>"
+    assert got["<r2>"].metadata.page_id == 2 and got["<r2>"].request.record_id == "<q2>" and got["<r2>"].response.payload_bytes == 0
+    assert got["<r3>"].refers_to_page == 1 and got["<r3>"].metadata is not None and got["<r3>"].response.payload_bytes == 9
+    assert bytes(got["<r6>"].response.payload) == b"six" and got["<r6>"].metadata is None
+
+
+def test_one_payload_under_two_urls_and_a_large_file(spark):
+    body = "".join(f"line {k}\r\n" for k in range(400_000))
+    rows = [(1, "http://a/", "same"), (1, "http://b/", "same"), (2, "http://c/", "same"), (3, "http://d/", body), (4, "http://e/", body)]
+    path = fresh_path(spark, "warc")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = warc.assemble(warc.read_warc(spark, path)).collect()
+    assert Counter((r.metadata.page_id, r.response.target_uri, r.response.type, r.response.payload_bytes, r.refers_to_page) for r in got) == Counter([(1, "http://a/", "response", 4, None), (1, "http://b/", "response", 4, None), (2, "http://c/", "revisit", 4, 1), (3, "http://d/", "response", len(body), None), (4, "http://e/", "revisit", len(body), 3)])
+    assert len({r.response.record_id for r in got}) == 5
+
+
 def brute_rule(host, path):
     fits = [r for r in URL_RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
     return max(fits, key=lambda r: (len(r.text), len(r.host)), default=None)
