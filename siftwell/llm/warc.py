@@ -113,24 +113,31 @@ def parse_records(data: bytes):
 
 
 def joined_records(pieces):
-    """(headers, block) of each record, from (file, piece) pairs: the files' bytes, cut at each _CUT in them."""
-    file, held, need, headers, start = None, [], 0, None, 0
+    """(headers, block) of each record, from (file, piece) pairs: the files' bytes, with _CUT taken out at some of its places."""
+    file, held, need, skip = None, bytearray(), 0, 0
     for name, piece in pieces:
-        if name != file and held:
-            raise ValueError(f"a record of {file} has no end")
-        if not held:
-            start = piece.index(b"\r\n\r\n") + 4
-            headers = _headers(piece[:start].decode(errors="replace").split(_EOL)[1:])
-            need, file = start + int(headers["content-length"]), name
+        if name != file:
+            if held:
+                raise ValueError(f"a record of {file} has no end")
+            file, held, need, skip = name, bytearray(piece), 0, 0
         else:
-            held.append(_CUT.encode())
-        held.append(piece)
-        need -= len(piece) + (len(_CUT) if len(held) > 1 else 0)
-        if need <= 0:
-            whole = b"".join(held)
-            # the last record of a file keeps its end
-            yield headers, whole[start : start + int(headers["content-length"])]
-            held = []
+            held += (_CUT.encode() + piece)[skip:]
+        at = skip = 0
+        while len(held) > max(at, need - 1):
+            if held[at : at + 5] != b"WARC/":
+                raise ValueError(f"no WARC record where one of {file} starts")
+            end = held.find(b"\r\n\r\n", at)
+            if end < 0:
+                break
+            headers = _headers(held[at:end].decode(errors="replace").split(_EOL)[1:])
+            need = end + 4 + int(headers["content-length"])
+            if len(held) < need:
+                break
+            yield headers, bytes(held[end + 4 : need])
+            # the record's own end may come with the next piece
+            at, skip, need = min(need + 4, len(held)), max(0, need + 4 - len(held)), 0
+        del held[:at]
+        need = max(0, need - at)
     if held:
         raise ValueError(f"a record of {file} has no end")
 

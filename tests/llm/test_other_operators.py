@@ -68,6 +68,30 @@ def test_warc_of_other_writers(spark, tmp_path):
     assert bytes(got["<r6>"].response.payload) == b"six" and got["<r6>"].metadata is None
 
 
+def test_no_record_is_lost_between_the_readers_blocks(spark):
+    """An empty payload makes a record's end look like the start of another end."""
+    rows = [(k, f"http://h/{'x' * (k % 61)}", "" if k % 2 else f"p{k}") for k in range(4000)]
+    path = fresh_path(spark, "warc")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1), path, min_bytes=1)
+    got = warc.assemble(warc.read_warc(spark, path)).select("metadata.page_id", "response.payload_bytes", "request.record_id").collect()
+    assert Counter((r.page_id, r.payload_bytes) for r in got) == Counter((k, len(h)) for k, _, h in rows) and all(r.record_id for r in got)
+
+
+def test_pieces_are_joined_wherever_they_are_cut():
+    block = lambda k: b"\r\n\r\nWARC/1." * (k % 4) + b"\r\n\r\n" * (k % 3)
+    data = b"".join(b"WARC/1.1\r\nWARC-Record-ID: <%d>\r\nContent-Length: %d\r\n\r\n" % (k, len(block(k))) + block(k) + b"\r\n\r\n" for k in range(60))
+    pieces, rng = data.split(b"\r\n\r\nWARC/1."), random.Random(3)
+    for missed in (0, 0.2, 0.9):
+        joined = [pieces[0]]
+        for x in pieces[1:]:
+            if rng.random() < missed:
+                joined[-1] += b"\r\n\r\nWARC/1." + x
+            else:
+                joined.append(x)
+        got = list(warc.joined_records([("f", x) for x in joined] + [("g", x) for x in joined]))
+        assert [b for _, b in got] == [block(k) for k in range(60)] * 2
+
+
 def test_one_payload_under_two_urls_and_a_large_file(spark):
     body = "".join(f"line {k}\r\n" for k in range(400_000))
     rows = [(1, "http://a/", "same"), (1, "http://b/", "same"), (2, "http://c/", "same"), (3, "http://d/", body), (4, "http://e/", body)]
