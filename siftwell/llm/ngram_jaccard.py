@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import materialize, shuffle_partitions
+from .store import materialize, release, shuffle_partitions
 from .substring_dedup import _BLOCK, _BLOCK_PA, _blocks, _short, _split, deal
 from .textkernel import SPACED_LOWER, in_sorted, mix, window_hash, words
 
@@ -346,10 +346,10 @@ def ngram_jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80,
     members = sent.where("kind = 0").select("doc_id", "n", "d1", "d2", "lead")
     # dealt anew, so that Spark can split a text that very many rows hold
     equal = members.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies").hint("rebalance")
-    mapped = materialize(members.join(equal, ["d1", "d2", "n"], "left").withColumn("rep", F.coalesce("rep", "doc_id")), "members")
     # an id with several texts stands for itself beside the first ids of its texts
-    several = mapped.where("n > 0").groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x <> y").select("doc_id", F.lit(True).alias("several"))
-    mapped = mapped.join(several.hint("rebalance"), "doc_id", "left").withColumn("node", F.when(F.col("several"), F.col("doc_id")).otherwise(F.col("rep")))
+    several = members.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x <> y").select("doc_id", F.lit(True).alias("several"))
+    mapped = members.join(equal, ["d1", "d2", "n"], "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(several.hint("rebalance"), "doc_id", "left")
+    mapped = materialize(mapped.withColumn("node", F.when(F.col("several"), F.col("doc_id")).otherwise(F.col("rep"))), "members")
     moved = mapped.where("lead and node <> doc_id").select("doc_id", "node").distinct()
     same = mapped.where("several and rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
@@ -362,6 +362,7 @@ def ngram_jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80,
     hubs = met.where("a <> b").groupBy(F.greatest("a", "b").alias("a")).agg(F.min(F.least("a", "b")).alias("b"))
     links = materialize(_verified(hubs, held, percent).union(same), "links")
     while True:
+        release(docs.sparkSession)
         linked = materialize(connected_components(links), "components")
         now = held.join(linked.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         pairs = _candidates(now, percent, block, depth)

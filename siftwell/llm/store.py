@@ -43,6 +43,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: Spark drops broadcasts and shuffle files once nothing refers to them there."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_at_exit(spark: SparkSession, path: str) -> None:
     """Have the driver delete a written folder when it ends."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
