@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from siftwell.llm.decontaminate import decontaminate
 from siftwell.llm.ngram_jaccard import ngram_jaccard_components
 from siftwell.llm.packing import best_fit_pack
-from siftwell.llm.store import materialize
+from siftwell.llm.store import materialize, release
 from siftwell.llm.substring_dedup import substring_dedup
 from siftwell.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -82,4 +82,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, name)
+            release(spark)
     return docs
