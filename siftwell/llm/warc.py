@@ -47,9 +47,8 @@ def _main() -> Column:
     return F.col("type").isin("response", "revisit")
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of SHA-1, in the JVM: five hex digits make four characters."""
-    digits = F.sha1(payload)
+def base32_of(digits: Column) -> Column:
+    """Upper-case base32 of the forty hex digits of a SHA-1, in the JVM: five digits make four characters."""
     parts = [F.conv(F.substring(digits, 5 * k + 1, 5), 16, 10).cast("int") for k in range(8)]
     letter = lambda v: F.substr(F.lit(_BASE32), v + 1, F.lit(1))
     return F.concat(*(letter(F.shiftright(p, s).bitwiseAND(31)) for p in parts for s in (15, 10, 5, 0)))
@@ -70,19 +69,19 @@ def _record(headers: list[tuple[str, Column]], block: Column, tail: str = _EOL *
 def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2025-01-01T00:00:00Z", captures_per_file: int = 1500) -> None:
     """Write page_id, url and html as gzip archives in the folder path."""
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace("url", "[\r\n]", " ").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    page = page.withColumn("digest", base32_sha1(F.col("html").cast("binary")))
+    page = page.withColumn("sha", F.sha1(F.col("html").cast("binary")))
     if (tasks := text_bytes(page, "html") >> 26) > shuffle_partitions(pages.sparkSession):
-        page = page.repartition(tasks, "page_id", "digest")
-    large = page.where("page_id is not null").where(F.octet_length("html") >= min_bytes).select("page_id", "digest", "url")
-    first = large.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+        page = page.repartition(tasks, "page_id", "sha")
+    large = page.where("page_id is not null").where(F.octet_length("html") >= min_bytes).select("page_id", "sha", "url")
+    first = large.groupBy("sha").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
     # dealt anew, so that Spark can split a payload that very many pages hold
-    again = large.join(first.hint("rebalance"), "digest").where("page_id > first.page_id").select("page_id", "digest", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url")).distinct()
-    row = page.join(again, ["page_id", "digest"], "left").withColumns({"rid": _urn("response", "page_id", "url", "digest"), "ref": F.when(F.col("first").isNotNull(), _urn("response", "first", "first_url", "digest"))})
+    again = large.join(first.hint("rebalance"), "sha").where("page_id > first.page_id").select("page_id", "sha", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url")).distinct()
+    row = page.join(again, ["page_id", "sha"], "left").withColumns({"rid": _urn("response", "page_id", "url", "sha"), "ref": F.when(F.col("first").isNotNull(), _urn("response", "first", "first_url", "sha"))})
     stamp, uri = ("WARC-Date", F.lit(date)), ("WARC-Target-URI", F.col("url"))
-    request = _record([("WARC-Type", F.lit("request")), ("WARC-Record-ID", _urn("request", "page_id", "url", "digest")), ("WARC-Concurrent-To", F.col("rid")), stamp, uri, ("Content-Type", F.lit("application/http; msgtype=request"))], F.lit(f"GET / HTTP/1.1{_EOL * 2}"))
+    request = _record([("WARC-Type", F.lit("request")), ("WARC-Record-ID", _urn("request", "page_id", "url", "sha")), ("WARC-Concurrent-To", F.col("rid")), stamp, uri, ("Content-Type", F.lit("application/http; msgtype=request"))], F.lit(f"GET / HTTP/1.1{_EOL * 2}"))
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{_EOL}Content-Type: text/html; charset=utf-8{_EOL}Content-Length: "), F.octet_length("html").cast("string"), F.lit(_EOL * 2))
-    response = _record([("WARC-Type", F.when(F.col("ref").isNull(), "response").otherwise("revisit")), ("WARC-Record-ID", F.col("rid")), stamp, uri, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")), ("WARC-Refers-To", F.col("ref")), ("WARC-Profile", F.when(F.col("ref").isNotNull(), "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("Content-Type", F.lit("application/http; msgtype=response"))], F.when(F.col("ref").isNull(), F.concat(head, "html")).otherwise(head))
-    metadata = _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _urn("metadata", "page_id", "url", "digest")), ("WARC-Concurrent-To", F.col("rid")), stamp, uri, ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(_EOL)), tail="\r\n\r")
+    response = _record([("WARC-Type", F.when(F.col("ref").isNull(), "response").otherwise("revisit")), ("WARC-Record-ID", F.col("rid")), stamp, uri, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_of(F.col("sha")))), ("WARC-Refers-To", F.col("ref")), ("WARC-Profile", F.when(F.col("ref").isNotNull(), "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("Content-Type", F.lit("application/http; msgtype=response"))], F.when(F.col("ref").isNull(), F.concat(head, "html")).otherwise(head))
+    metadata = _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _urn("metadata", "page_id", "url", "sha")), ("WARC-Concurrent-To", F.col("rid")), stamp, uri, ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(_EOL)), tail="\r\n\r")
     # the writer ends each row with a line feed, which is the last byte of a record
     row.select(F.concat(request, response, metadata).alias("value")).write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\n").option("maxRecordsPerFile", captures_per_file).text(path)
 
