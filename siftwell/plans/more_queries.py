@@ -122,6 +122,11 @@ def k04(spark, d):
     return spark.createDataFrame([(k, x) for k, x in enumerate(reports.trajectory_report(t).split("\n"))], "line int, text string")
 
 
+@query("k04_offline_report")
+def k04o(spark, d):
+    return spark.createDataFrame([(k, x) for k, x in enumerate(reports.offline_report(trajectories(spark, d)).split("\n"))], "line int, text string")
+
+
 @query("k04_sensitivity_report")
 def k04s(spark, d):
     return spark.createDataFrame([(k, x) for k, x in enumerate(reports.sensitivity_report(trajectories(spark, d), R.default_configs()).split("\n"))], "line int, text string")
