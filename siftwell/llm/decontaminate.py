@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import mapped_arrays, ship_arrays, text_bytes
-from .textkernel import ALNUM_LOWER, window_hash, words
+from .store import mapped_arrays, ship_arrays, text_bytes, with_text
+from .textkernel import ALNUM_LOWER, give_back, window_hash, words
 
 #: Positions that each mask reads.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
@@ -159,16 +159,17 @@ class SeedTable:
         return int((total[window:] - total[:-window]).max())
 
 
-def _matcher(files: list[str], window: int, max_substitutions: int):
+def _matcher(files: list[str], window: int, max_substitutions: int, text: str):
     def match(batches):
         for batch in batches:
             items = [set() for _ in range(batch.num_rows)]
             for file in files:
                 seeds = SeedTable(mapped_arrays(file), window, max_substitutions)
-                for lo, _, w in words(batch.column(1), ALNUM_LOWER):
+                for lo, _, w in words(batch.column(0).field(text), ALNUM_LOWER):
                     for doc, item in seeds.found(w):
                         items[lo + doc].add(int(seeds.ids[item]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))], names=["_row", "items"])
+        give_back()
 
     return match
 
@@ -182,6 +183,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_s
         part = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).orderBy("item_id", "text").toArrow()
         files.append(ship_arrays(spark, "seeds", seed_arrays(part["item_id"].to_pylist(), part["text"].to_pylist(), window, min_item_words, max_substitutions, short_items)))
     kept = [c for c in docs.columns if c != "items"]
-    packed = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c_{c}") for c in kept), F.lit(0).alias("_")).alias("_row"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    found = packed.mapInArrow(_matcher(files, window, max_substitutions), packed.select("_row").schema.add("items", T.ArrayType(T.LongType())))
+    packed, text = with_text(docs, kept, text_col)
+    found = packed.mapInArrow(_matcher(files, window, max_substitutions, text), packed.select("_row").schema.add("items", T.ArrayType(T.LongType())))
     return found.select(*(F.col("_row").getField(f"c_{c}").alias(c) for c in kept), "items")

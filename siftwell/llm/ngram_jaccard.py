@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .store import materialize, release, shuffle_partitions
 from .substring_dedup import _BLOCK, _BLOCK_PA, _blocks, _short, _split, deal
-from .textkernel import SPACED_LOWER, in_sorted, mix, window_hash, words
+from .textkernel import SPACED_LOWER, in_sorted, lean, mix, window_hash, words
 
 _SENT = "kind int, bucket int, doc_id long, n long, d1 long, d2 long, lead boolean, keys binary, ids binary, meets binary, counts binary"
 _SENT_PA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("lead", pa.bool_()), ("keys", pa.binary()), ("ids", pa.binary()), ("meets", pa.binary()), ("counts", pa.binary())])
@@ -341,7 +341,7 @@ def ngram_jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80,
     plain = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     dealt, buckets = deal(plain)
     common = dealt.groupBy("_g").applyInArrow(_holders(size, buckets), _BLOCK).groupBy("_bucket").applyInArrow(_commonness, _BLOCK)
-    sent = materialize(dealt.groupBy("_g").cogroup(common.groupBy("_g")).applyInArrow(_sender(size, percent, buckets), _SENT), "shingles")
+    sent = materialize(dealt.groupBy("_g").cogroup(common.groupBy("_g")).applyInArrow(lean(_sender(size, percent, buckets)), _SENT), "shingles")
 
     members = sent.where("kind = 0").select("doc_id", "n", "d1", "d2", "lead")
     # dealt anew, so that Spark can split a text that very many rows hold

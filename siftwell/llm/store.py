@@ -11,7 +11,8 @@ import numpy as np
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-_DROP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While tables are written: shuffle files of the job are dropped, and batches to Python are small, as texts may be long.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": ("false", "true"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000")}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,12 +34,14 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back; shuffle files of the job are dropped."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, tag)
-    was = spark.conf.get(_DROP, "false")
-    spark.conf.set(_DROP, "true")
+    was = {k: spark.conf.get(k, usual) for k, (usual, _) in _WRITING.items()}
+    for k, (_, value) in _WRITING.items():
+        spark.conf.set(k, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_DROP, was)
+        for k, value in was.items():
+            spark.conf.set(k, value)
     drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -88,6 +91,18 @@ def mapped_arrays(name: str) -> dict[str, np.ndarray]:
     return {k: raw[start + at : start + at + n * np.dtype(kind).itemsize].view(kind) for k, kind, n, at in json.loads(bytes(raw[8:start]))}
 
 
+def with_text(docs: DataFrame, kept: list[str], text_col: str) -> tuple[DataFrame, str]:
+    """(docs with the one column _row, a struct of the kept columns as c_<name>; the field that holds the text as a string).
+
+    A text column that is kept and a string goes to Python once."""
+    from pyspark.sql import functions as F
+
+    fields = [F.col(f"`{c}`").alias(f"c_{c}") for c in kept]
+    own = text_col in kept and dict(docs.dtypes)[text_col] == "string"
+    fields.append(F.lit(0).alias("_") if own else F.col(f"`{text_col}`").cast("string").alias("_text"))
+    return docs.select(F.struct(*fields).alias("_row")), f"c_{text_col}" if own else "_text"
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Total bytes of a string column."""
     from pyspark.sql import functions as F

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import shuffle_partitions, text_bytes
-from .textkernel import SPACED, in_sorted, mix, window_hash, words
+from .textkernel import SPACED, in_sorted, lean, mix, window_hash, words
 
 _BLOCK = "_bucket int, _g int, _keys binary, _more binary"
 _BLOCK_PA = pa.schema([("_bucket", pa.int32()), ("_g", pa.int32()), ("_keys", pa.binary()), ("_more", pa.binary())])
@@ -234,7 +234,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
 
     sizes, answers = level_sizes(window), None
     for k, n in enumerate(sizes):
-        send = _sender(n, sizes[k - 1] if k else 0, buckets, last=n == window)
+        send = lean(_sender(n, sizes[k - 1] if k else 0, buckets, last=n == window))
         if answers is None:
             sent = dealt.groupBy("_g").applyInArrow(_alone(send), _BLOCK)
         else:
@@ -242,5 +242,5 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
         answers = sent.groupBy("_bucket").applyInArrow(_earlier if n == window else _repeated, _BLOCK)
 
     out = T.StructType([T.StructField("_row", dealt.schema["_row"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), *([T.StructField("kept_text", T.StringType())] if with_text else [])])
-    done = dealt.groupBy("_g").cogroup(answers.groupBy("_g")).applyInArrow(_finisher(window, to_arrow_schema(out), with_text), out)
+    done = dealt.groupBy("_g").cogroup(answers.groupBy("_g")).applyInArrow(lean(_finisher(window, to_arrow_schema(out), with_text)), out)
     return done.select(*(F.col("_row").getField(f"c_{c}").alias(c) for c in rest), *(f.name for f in out.fields[1:]))

@@ -7,6 +7,7 @@ no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +18,25 @@ _U64 = (1 << 64) - 1
 _CHUNK = 1 << 20
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that a Python worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(work):
+    """work on two tables, which gives back what it used."""
+
+    def run(left, right):
+        out = work(left, right)
+        give_back()
+        return out
+
+    return run
+
+
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit finaliser; different salts give independent hashes."""
     h = h + np.uint64((salt * 0xD1B54A32D192ED03 + 0x632BE59BD9B4E019) & _U64)
@@ -114,7 +134,7 @@ class _Powers:
         return self.up, self.down
 
 
-def slices(texts, limit: int = 1 << 21):
+def slices(texts, limit: int = 1 << 20):
     """(from, to, data, offsets) for runs of rows of at most limit bytes, or of one row; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -132,7 +152,7 @@ def slices(texts, limit: int = 1 << 21):
         lo = hi
 
 
-def words(texts, alphabet: Alphabet, limit: int = 1 << 21, stems: tuple[int, ...] = ()):
+def words(texts, alphabet: Alphabet, limit: int = 1 << 20, stems: tuple[int, ...] = ()):
     """(from, to, Words) for the slices of an Arrow string array; stems: bytes of a word's stems."""
     value, is_word = alphabet.luts()
     powers = _Powers()

@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import ALNUM_LOWER, mix, window_hash, words
+from .store import with_text
+from .textkernel import ALNUM_LOWER, give_back, mix, window_hash, words
 
 
 @dataclass(frozen=True)
@@ -65,6 +66,7 @@ def _extractor(p: FTRL):
                 both = (both & ((1 << p.bits) - 1)).astype(np.int32)
                 blobs += [both[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["doc_id", "label", "features"])
+        give_back()
 
     return extract
 
@@ -106,14 +108,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: FTRL = FTRL()):
     return ftrl_fit([(np.frombuffer(f, np.int32), y) for _, y, f in rows], params)
 
 
-def _scorer(shared, p: FTRL):
+def _scorer(shared, p: FTRL, text: str):
     def score(batches):
         at, values, bias = shared.value
         table = np.zeros(1 << p.bits, dtype=np.float32)
         table[at] = values
         for batch in batches:
             total = np.full(batch.num_rows, bias)
-            for lo, hi, w in words(batch.column(1), ALNUM_LOWER, stems=p.stems):
+            for lo, hi, w in words(batch.column(0).field(text), ALNUM_LOWER, stems=p.stems):
                 found = []
                 for doc, k in _features(w, p.bits, p.gaps):
                     hit = np.flatnonzero(table[k])
@@ -121,6 +123,7 @@ def _scorer(shared, p: FTRL):
                 both = np.unique(np.concatenate(found))
                 total[lo:hi] += np.bincount(both >> p.bits, weights=table[both & ((1 << p.bits) - 1)], minlength=hi - lo)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(total, -700, 700))))], names=["_row", "toxicity"])
+        give_back()
 
     return score
 
@@ -129,7 +132,6 @@ def score_toxicity(docs: DataFrame, model, params: FTRL = FTRL(), text_col: str
     """docs with a column toxicity, from 0 to 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c != "toxicity"]
-    packed = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c_{c}") for c in kept)).alias("_row"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    schema = packed.select("_row").schema.add("toxicity", "double")
-    done = packed.mapInArrow(_scorer(shared, params), schema)
+    packed, text = with_text(docs, kept, text_col)
+    done = packed.mapInArrow(_scorer(shared, params, text), packed.select("_row").schema.add("toxicity", "double"))
     return done.select(*(F.col("_row").getField(f"c_{c}").alias(c) for c in kept), "toxicity")
