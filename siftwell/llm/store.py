@@ -11,6 +11,8 @@ import numpy as np
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
+from .textkernel import give_back
+
 #: While tables are written: shuffle files of the job are dropped, and batches to Python are small, as texts may be long.
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": ("false", "true"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000")}
 
@@ -48,6 +50,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Have the driver collect its garbage: Spark drops broadcasts and shuffle files once nothing refers to them there."""
+    give_back()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -18,6 +18,7 @@ rows every score is 0.5; a column of docs named toxicity is replaced, all others
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -104,8 +105,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: FTRL = FTRL()):
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(params.train_rows).groupBy("doc_id").agg(F.max("label").alias("label"))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").distinct()
     got = texts.mapInArrow(_extractor(params), "doc_id long, label int, features binary").toArrow()
-    rows = sorted(zip(got["doc_id"].to_pylist(), got["label"].to_pylist(), got["features"].to_pylist()), key=lambda r: (hash((r[0], 11)), r))
-    return ftrl_fit([(np.frombuffer(f, np.int32), y) for _, y, f in rows], params)
+    # views of the collected buffers: the features are held once
+    rows = [(i, y, np.frombuffer(f.as_buffer(), np.int32)) for b in got.to_batches() for i, y, f in zip(b["doc_id"].to_pylist(), b["label"].to_pylist(), b["features"])]
+    times = Counter(i for i, _, _ in rows)
+    rows.sort(key=lambda r: (hash((r[0], 11)), r[0], r[2].tobytes() if times[r[0]] > 1 else b""))
+    return ftrl_fit([(f, y) for _, y, f in rows], params)
 
 
 def _scorer(shared, p: FTRL, text: str):
