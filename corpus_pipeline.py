@@ -31,9 +31,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Of rows that repeat an id and its text one stays, whatever their other columns hold; different texts of one id
     count as documents of their own; rows without an id all stay.
     """
-    docs = docs.select(COLUMNS).withColumn("_text", F.xxhash64("text"))
+    # rows without an id meet nothing: they would all go to one task of the joins
+    without = docs.select(COLUMNS).where("doc_id is null")
+    docs = docs.select(COLUMNS).where("doc_id is not null").withColumn("_text", F.xxhash64("text"))
     # a further text of an id gets a key of its own, behind all ids
-    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("_text").alias("_first"), F.max("_text").alias("_last")).where("_first <> _last").drop("_last")
+    several = docs.groupBy("doc_id").agg(F.min("_text").alias("_first"), F.max("_text").alias("_last")).where("_first <> _last").drop("_last")
     own = F.xxhash64("doc_id", "_text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
     docs = docs.join(several, "doc_id", "left").withColumn("_key", F.when(F.col("_text") != F.col("_first"), own).otherwise(F.col("doc_id")))
     further = docs.where("_key <> doc_id").select("_key", "doc_id").distinct()
@@ -43,7 +45,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     # the window follows the join's own partitioning and order, so it shuffles nothing
     kept = docs.join(others.hint("merge"), "_key", "left_anti")
     copy = F.row_number().over(Window.partitionBy("_key", "_text").orderBy("_key"))
-    return kept.withColumn("_copy", copy).where("_copy = 1 or doc_id is null").select(COLUMNS)
+    return kept.withColumn("_copy", copy).where("_copy = 1").select(COLUMNS).unionByName(without)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
