@@ -11,7 +11,8 @@ Spark's part: documents are dealt once into groups of bounded size (one shuffle
 of the texts, reused by all levels). A level sends, for each group, sorted
 distinct window keys to hash buckets, which answer each group with the keys that
 are repeated. A key costs a bucket one entry per group, however often it occurs,
-so very frequent passages neither skew a task nor make pairs.
+so very frequent passages neither skew a task nor make pairs. The last level, which
+decides, compares 96 bits of a window: two independent hashes over 64-bit word hashes.
 
 Defined results: null text has no words; an empty table gives an empty result;
 rows with equal ids never remove words from each other; a null id counts as
@@ -36,6 +37,8 @@ from .textkernel import SPACED, in_sorted, lean, mix, window_hash, words
 _BLOCK = "_bucket int, _g int, _keys binary, _more binary"
 _BLOCK_PA = pa.schema([("_bucket", pa.int32()), ("_g", pa.int32()), ("_keys", pa.binary()), ("_more", pa.binary())])
 _LAST = np.iinfo(np.int64).max
+#: The step of the second hash of a window.
+_STEP = 0x9FB21C651E98DF25
 
 
 def level_sizes(window: int, base: int = 8) -> list[int]:
@@ -60,9 +63,14 @@ def _short(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (_split(keys, buckets) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
 
 
-def _level(table: pa.Table, known: np.ndarray | None, size: int, before: int, buckets: int):
-    """Keys of the candidate windows of a group, and their documents' ids."""
-    ids, keys, owners = _ids(table), [], []
+def _check(h: np.ndarray, size: int) -> np.ndarray:
+    """32 bits of a window beside its key."""
+    return (window_hash(h, size, size, step=_STEP) >> np.uint64(32)).astype(np.uint32)
+
+
+def _level(table: pa.Table, known: np.ndarray | None, size: int, before: int, buckets: int, checked: bool):
+    """Keys of the candidate windows of a group, their checks (0 where not asked for) and their documents' ids."""
+    ids, keys, checks, owners = _ids(table), [], [], []
     for lo, _, w in words(table["_text"], SPACED):
         left = w.left
         ok = left[: max(0, len(w) - size + 1)] >= size
@@ -71,8 +79,9 @@ def _level(table: pa.Table, known: np.ndarray | None, size: int, before: int, bu
             ok &= was[: len(ok)] & was[size - before : size - before + len(ok)]
         at = np.flatnonzero(ok)
         keys.append(window_hash(w.hash, size, size)[at])
+        checks.append(_check(w.hash, size)[at] if checked else np.zeros(len(at), np.uint32))
         owners.append(ids[lo + w.doc[at]])
-    return (np.concatenate(keys), np.concatenate(owners)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return (np.concatenate(keys), np.concatenate(checks), np.concatenate(owners)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
 
 def _known(answers: pa.Table | None) -> np.ndarray:
@@ -91,15 +100,39 @@ def _blocks(g: int, bucket: np.ndarray, keys: np.ndarray, more: np.ndarray | Non
     return pa.table({"_bucket": pa.array(bucket[lo].astype(np.int32)), "_g": pa.array(np.full(len(lo), g, np.int32)), "_keys": [keys[a:b].tobytes() for a, b in zip(lo, hi)], "_more": [None if more is None else pack(more[a:b]) for a, b in zip(lo, hi)]}, schema=_BLOCK_PA)
 
 
-def _first_of(keys: np.ndarray, owners: np.ndarray):
-    """Sorted distinct keys, each one's least owner, and whether it has two owners."""
+def _first_of(keys: np.ndarray, checks: np.ndarray, owners: np.ndarray):
+    """Sorted distinct keys with their checks, each one's least owner, and whether it has two owners."""
     order = np.argsort(keys)
-    k, o = keys[order], owners[order]
-    lead = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    k, c = keys[order], checks[order]
+    if ((k[1:] == k[:-1]) & (c[1:] != c[:-1])).any():
+        order = np.lexsort((checks, keys))
+        k, c = keys[order], checks[order]
+    o = owners[order]
+    lead = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])) if len(k) else np.zeros(0, np.int64)
     if not len(lead):
-        return k, o, np.zeros(0, dtype=bool)
+        return k, c, o, np.zeros(0, dtype=bool)
     least, most = np.minimum.reduceat(o, lead), np.maximum.reduceat(o, lead)
-    return k[lead], least, least < most
+    return k[lead], c[lead], least, least < most
+
+
+def _place(keys: np.ndarray, checks: np.ndarray, k: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Where the sorted keys with checks hold (k, c); -1 where they don't."""
+    found = np.full(len(k), -1, dtype=np.int64)
+    if len(keys):
+        at, many = np.searchsorted(keys, k), 1 + int((keys[1:] == keys[:-1]).sum())
+        for off in range(min(many, 8)):  # keys repeat only where two windows share 64 bits
+            here = np.minimum(at + off, len(keys) - 1)
+            np.copyto(found, here, where=(keys[here] == k) & (checks[here] == c))
+    return found
+
+
+_WIDE = np.dtype([("key", "<u8"), ("check", "<u4")])
+
+
+def _wide(keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    both = np.empty(len(keys), dtype=_WIDE)
+    both["key"], both["check"] = keys, checks
+    return both
 
 
 def _sender(size: int, before: int, buckets: int, last: bool):
@@ -107,12 +140,12 @@ def _sender(size: int, before: int, buckets: int, last: bool):
         if not table.num_rows:
             return _BLOCK_PA.empty_table()
         known = None if answers is None else _known(answers)
-        keys, least, several = _first_of(*_level(table, known, size, before, buckets))
+        keys, checks, least, several = _first_of(*_level(table, known, size, before, buckets, last))
         g = table["_g"][0].as_py()
         if last:
             bucket = _split(mix(keys, 5), buckets)
             order = np.argsort(bucket, kind="stable")
-            return _blocks(g, bucket[order], keys[order], least[order])
+            return _blocks(g, bucket[order], _wide(keys, checks)[order], least[order])
         bucket, short = _split(keys, buckets), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         return _blocks(g, bucket, short, several)
 
@@ -135,10 +168,11 @@ def _repeated(table: pa.Table) -> pa.Table:
 
 def _earlier(table: pa.Table) -> pa.Table:
     """A bucket of the last level: each group gets back its keys that start earlier in another group."""
-    rows = [np.frombuffer(k, dtype=np.uint64) for k in table["_keys"].to_pylist()]
+    rows = [np.frombuffer(k, dtype=_WIDE) for k in table["_keys"].to_pylist()]
     owners = [np.frombuffer(m, dtype=np.int64) for m in table["_more"].to_pylist()]
-    keys, least, _ = _first_of(np.concatenate(rows), np.concatenate(owners))
-    found = [r[least[np.searchsorted(keys, r)] < o] for r, o in zip(rows, owners)]
+    every = np.concatenate(rows)
+    keys, checks, least, _ = _first_of(every["key"], every["check"], np.concatenate(owners))
+    found = [r[least[_place(keys, checks, r["key"], r["check"])] < o] for r, o in zip(rows, owners)]
     return pa.table({"_bucket": table["_bucket"], "_g": table["_g"], "_keys": [x.tobytes() for x in found], "_more": pa.nulls(len(found), pa.binary())}, schema=_BLOCK_PA).filter(pa.array([len(x) > 0 for x in found], pa.bool_()))
 
 
@@ -146,7 +180,7 @@ def _cover(w, ids: np.ndarray, size: int, redundant) -> np.ndarray:
     """Which words lie in a redundant window."""
     n = max(0, len(w) - size + 1)
     ok = np.flatnonzero(w.left[:n] >= size)
-    hit = ok[redundant(window_hash(w.hash, size, size)[ok], ids[w.doc[ok]])]
+    hit = ok[redundant(window_hash(w.hash, size, size)[ok], _check(w.hash, size)[ok], ids[w.doc[ok]])]
     edge = np.zeros(len(w) + 1, dtype=np.int64)
     edge[hit] += 1
     edge[hit + size] -= 1
@@ -171,12 +205,14 @@ def _finisher(size: int, schema: pa.Schema, with_text: bool):
         if not table.num_rows:
             return schema.empty_table()
         ids = _ids(table)
-        known = np.sort(np.concatenate([np.frombuffer(k, dtype=np.uint64) for k in answers["_keys"].to_pylist()])) if answers.num_rows else np.zeros(0, np.uint64)
-        keys, least, _ = _first_of(*_level(table, None, size, 0, 0))
-        elsewhere = in_sorted(keys, known)
-
-        def redundant(k, owner):
-            at = np.searchsorted(keys, k)
+        keys, checks, least, _ = _first_of(*_level(table, None, size, 0, 0, True))
+        elsewhere = np.zeros(len(keys), dtype=bool)
+        if answers.num_rows:
+            known = np.concatenate([np.frombuffer(k, dtype=_WIDE) for k in answers["_keys"].to_pylist()])
+            elsewhere[_place(keys, checks, known["key"], known["check"])] = True
+
+        def redundant(k, c, owner):
+            at = _place(keys, checks, k, c)
             return elsewhere[at] | (owner > least[at])
 
         n, gone_n, sha, text = [], [], [], []

@@ -1,21 +1,25 @@
 """Vectorised word kernels over Arrow string arrays.
 
-Words are found on UTF-8 bytes (every separator is ASCII), hashed to 64 bits by
-a polynomial over randomised byte values, and combined into window hashes, so
-no Python object is made per word.
+Words are found on UTF-8 bytes (every separator is ASCII), hashed to 64 bits eight bytes
+at a time, each step passing through a bijective finaliser (words of up to eight bytes and
+one length never collide; a word of over 256 bytes takes a cryptographic hash), and
+combined into window hashes, so no Python object is made per word.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-_BASE = 0x9E3779B97F4A7C15
 _U64 = (1 << 64) - 1
-_CHUNK = 1 << 20
+#: Words of more bytes are hashed one by one.
+_LONG = 256
+#: Masks that keep the first 0, 1, ... 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def give_back() -> None:
@@ -53,7 +57,7 @@ class Alphabet:
     lower: bool
 
     def luts(self) -> tuple[np.ndarray, np.ndarray]:
-        value = mix(np.arange(256, dtype=np.uint64), 77) | np.uint64(1)
+        value = np.arange(256, dtype=np.uint8)
         if self.lower:
             value[65:91] = value[97:123]
         is_word = np.ones(256, dtype=bool)
@@ -77,7 +81,7 @@ class Words:
 
     __slots__ = ("data", "offsets", "hash", "stems", "start", "end", "bounds")
 
-    def __init__(self, data, offsets, value, is_word, powers, stems=()):
+    def __init__(self, data, offsets, value, is_word, stems=()):
         self.data, self.offsets = data, offsets
         ns = is_word[data]
         first, last = ns.copy(), ns.copy()
@@ -90,20 +94,10 @@ class Words:
         self.start = np.flatnonzero(first)
         self.end = np.flatnonzero(last) + 1
         self.bounds = np.searchsorted(self.start, offsets)
-        self.hash = np.empty(len(self.start), dtype=np.uint64)
-        self.stems = [np.empty(len(self.start), dtype=np.uint64) for _ in stems]
-        lo = 0
-        while lo < len(self.start):
-            hi = max(lo + 1, int(np.searchsorted(self.end, self.start[lo] + _CHUNK, side="right")))
-            s0, e1 = int(self.start[lo]), int(self.end[hi - 1])
-            up, down = powers.upto(e1 - s0 + 1)
-            sums = np.zeros(e1 - s0 + 1, dtype=np.uint64)
-            np.cumsum(value[data[s0:e1]] * up[: e1 - s0], out=sums[1:])
-            s, e = self.start[lo:hi] - s0, self.end[lo:hi] - s0
-            self.hash[lo:hi] = mix((sums[e] - sums[s]) * down[s])
-            for size, out in zip(stems, self.stems):
-                out[lo:hi] = mix((sums[np.minimum(e, s + size)] - sums[s]) * down[s])
-            lo = hi
+        folded = np.zeros(len(data) + 8, dtype=np.uint8)
+        folded[: len(data)] = value[data]
+        self.hash = span_hash(folded, self.start, self.end)
+        self.stems = [span_hash(folded, self.start, np.minimum(self.end, self.start + size)) for size in stems]
 
     def __len__(self) -> int:
         return len(self.hash)
@@ -118,20 +112,19 @@ class Words:
         return np.repeat(self.bounds[1:], np.diff(self.bounds)) - np.arange(len(self.hash))
 
 
-class _Powers:
-    """Powers of the base and of its inverse modulo 2 ** 64."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(0, dtype=np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, _CHUNK + 1)
-            steps = np.ones((2, size), dtype=np.uint64)
-            steps[0, 1:] = _BASE
-            steps[1, 1:] = pow(_BASE, -1, 1 << 64)
-            self.up, self.down = np.cumprod(steps, axis=1)
-        return self.up, self.down
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each data[start:end]; data has eight spare bytes at its end."""
+    n = end - start
+    h = mix(n.astype(np.uint64), 76)
+    eight = np.ndarray((max(0, len(data) - 7),), dtype="<u8", buffer=data, strides=(1,))
+    live, at = np.flatnonzero((n > 0) & (n <= _LONG)), 0
+    while len(live):
+        h[live] = mix(h[live] ^ (eight[start[live] + at] & _FIRST[np.minimum(n[live] - at, 8)]), 77)
+        at += 8
+        live = live[n[live] > at]
+    for k in np.flatnonzero(n > _LONG):
+        h[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]], digest_size=8).digest(), "little")
+    return h
 
 
 def slices(texts, limit: int = 1 << 20):
@@ -155,17 +148,16 @@ def slices(texts, limit: int = 1 << 20):
 def words(texts, alphabet: Alphabet, limit: int = 1 << 20, stems: tuple[int, ...] = ()):
     """(from, to, Words) for the slices of an Arrow string array; stems: bytes of a word's stems."""
     value, is_word = alphabet.luts()
-    powers = _Powers()
     for lo, hi, data, offsets in slices(texts, limit):
-        yield lo, hi, Words(data, offsets, value, is_word, powers, stems)
+        yield lo, hi, Words(data, offsets, value, is_word, stems)
 
 
-def window_hash(h: np.ndarray, size: int, salt: int = 0, mask: tuple[int, ...] | None = None) -> np.ndarray:
-    """Hash of every size consecutive words (of the positions in mask alone); one value less size - 1 than words."""
+def window_hash(h: np.ndarray, size: int, salt: int = 0, mask: tuple[int, ...] | None = None, step: int = 0x2545F4914F6CDD1D) -> np.ndarray:
+    """Hash of every size consecutive words (of the positions in mask alone); one value less size - 1 than words. Another odd step gives an independent hash."""
     n = len(h) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    acc, step = np.zeros(n, dtype=np.uint64), 0x2545F4914F6CDD1D
+    acc = np.zeros(n, dtype=np.uint64)
     for k in mask or range(size):
         acc += h[k : k + n] * np.uint64(pow(step, k + 1, 1 << 64))
     return mix(acc, salt + 1)
