@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from .ann import nearest
 from .decontaminate import decontaminate
 from .ngram_jaccard import ngram_jaccard_components
 from .packing import best_fit_pack
+from .periodic_runs import periodic_runs
 from .quality import fit_quality, score_quality
 from .store import drop_at_exit, fresh_path
 from .substring_dedup import substring_dedup
@@ -82,7 +86,25 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_toxicity, op4_quality_classifier, op5_url_filters, op6_token_counts, op7_best_fit_packing, op8_decontamination, op9_ngram_jaccard, op10_nearest_neighbours)}
+def planted_repetition(doc_id: int | None, n: int) -> np.ndarray | None:
+    """For one id in ten, the numbers of the words that make the end of a document of n words periodic."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return None
+    g, at = h // 10, np.arange(n)
+    a = g % n
+    return np.where(at < a, at, a + (at - a) % (1 + (n - a) // (3 + g % 8)))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), least=12, remap=planted_repetition)
+    longest = F.reduce("runs", F.lit(None).cast("struct<start:long,length:long,period:long>"), lambda best, r: F.when(best.isNull() | (r["length"] > best["length"]), r).otherwise(best))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    found = found.withColumn("_best", longest)
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "_best.start", "_best.length", "_best.period", F.expr("1000 * _best.length div _best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_toxicity, op4_quality_classifier, op5_url_filters, op6_token_counts, op7_best_fit_packing, op8_decontamination, op9_ngram_jaccard, op10_nearest_neighbours, op12_periodic_runs)}
 
 _OP2_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
