@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .decontaminate import decontaminate
+from .media import decode_media, encode_media
 from .ngram_jaccard import ngram_jaccard_components
 from .packing import best_fit_pack
 from .periodic_runs import periodic_runs
@@ -86,6 +87,16 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
 
+def op11_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw")).withColumn("n_bytes", F.octet_length("raw").cast("long"))
+    padded = docs.withColumn("payload", F.expr("rpad(raw, int(greatest(64, 64 * ceil(n_bytes / 64))), X'00')")).drop("raw")
+    read = decode_media(encode_media(padded, "payload"), "media")
+    shots = F.array_join(F.transform("clips", lambda c: F.concat_ws("-", c["first_frame"].cast("string"), c["end_frame"].cast("string"))), " ")
+    feature = F.concat_ws(";", F.concat_ws("x", F.col("frames").cast("string"), F.col("width").cast("string"), F.col("height").cast("string")), F.concat(F.size("clips").cast("string"), F.lit(" shots")), shots)
+    tail = F.crc32(F.expr("substring(payload, -64, 64)"))
+    return read.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), tail.alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
+
+
 def planted_repetition(doc_id: int | None, n: int) -> np.ndarray | None:
     """For one id in ten, the numbers of the words that make the end of a document of n words periodic."""
     h = zlib.crc32(str(doc_id).encode())
@@ -104,7 +115,7 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "_best.start", "_best.length", "_best.period", F.expr("1000 * _best.length div _best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_toxicity, op4_quality_classifier, op5_url_filters, op6_token_counts, op7_best_fit_packing, op8_decontamination, op9_ngram_jaccard, op10_nearest_neighbours, op12_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_toxicity, op4_quality_classifier, op5_url_filters, op6_token_counts, op7_best_fit_packing, op8_decontamination, op9_ngram_jaccard, op10_nearest_neighbours, op11_media_columns, op12_periodic_runs)}
 
 _OP2_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
