@@ -18,6 +18,7 @@ from .periodic_runs import periodic_runs
 from .quality import fit_quality, score_quality
 from .store import drop_at_exit, fresh_path
 from .substring_dedup import substring_dedup
+from .tiered_search import tiered_search
 from .token_counts import count_tokens
 from .toxicity import fit_toxicity, held_out, score_toxicity
 from .url_filter import Rule, filter_urls
@@ -115,7 +116,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "_best.start", "_best.length", "_best.period", F.expr("1000 * _best.length div _best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_toxicity, op4_quality_classifier, op5_url_filters, op6_token_counts, op7_best_fit_packing, op8_decontamination, op9_ngram_jaccard, op10_nearest_neighbours, op11_media_columns, op12_periodic_runs)}
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiered_search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_toxicity, op4_quality_classifier, op5_url_filters, op6_token_counts, op7_best_fit_packing, op8_decontamination, op9_ngram_jaccard, op10_nearest_neighbours, op11_media_columns, op12_periodic_runs, op13_ranked_search)}
 
 _OP2_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -180,4 +185,15 @@ reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(min(b), w.doc_id)) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reach ON a = w.doc_id GROUP BY w.doc_id, n.n
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1_SQL, "op2_warc": _OP2_SQL, "op5_url_filters": _OP5_SQL, "op8_decontamination": _OP8_SQL, "op9_ngram_jaccard": _OP9_SQL}
+_OP13_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS ws FROM documents),
+c AS (SELECT count(*) AS n_docs, sum(len(ws))::BIGINT AS n_terms FROM d WHERE len(ws) > 0),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')) AS term FROM benchmark) GROUP BY ALL),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM d) SEMI JOIN q USING (term) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY term, n_docs),
+s AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN p USING (term), c GROUP BY item_id, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {"op13_ranked_search": _OP13_SQL, "op1_substring_dedup": _OP1_SQL, "op2_warc": _OP2_SQL, "op5_url_filters": _OP5_SQL, "op8_decontamination": _OP8_SQL, "op9_ngram_jaccard": _OP9_SQL}
