@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.shared import scratch
+from . import bm25_index
 
 
 def postings(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: DataFrame | None = None) -> DataFrame:
@@ -29,18 +31,12 @@ def document_frequency(posts: DataFrame) -> DataFrame:
 def bm25(corpus: DataFrame, queries: DataFrame, top_k: int = 3, k1: float = 1.5, b: float = 0.75, query_id: str = "item_id", query_text: str = "text", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(query_id, rank, doc_id, score) of the best documents of each query; repeated query words count again.
 
-    Only postings of words that some query has are scored; ties go by document.
+    Postings of the words that some query has are indexed in blocks, and blocks that cannot change the result are
+    passed over. For many searches over one corpus, write the index once (`bm25_index.write_index`).
     """
-    stats = corpus_stats(corpus, id_col, text_col).first()
-    n, avg = stats["n_docs"], stats["avg_len"] or 1.0
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(X.tokenize(F.coalesce(query_text, F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    posts = postings(corpus, id_col, text_col, asked.select("term").distinct())
-    df = document_frequency(posts)
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avg)))
-    scored = posts.join(df, "term").join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * part).alias("score")).where("score > 0")
-    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")  # sums differ in their last bits
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).select("query_id", "rank", "doc_id", "score")
+    asked = bm25_index.ask(queries, query_id, query_text)
+    index = bm25_index.write_index(corpus, scratch(corpus.sparkSession, "bm25"), asked.select("term"), k1, b, id_col, text_col)
+    return bm25_index.search(index, asked, top_k)
 
 
 def search_status(queries: DataFrame, hits: DataFrame, query_id: str = "item_id", query_text: str = "text") -> DataFrame:

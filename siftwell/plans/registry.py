@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import scratch  # noqa: F401
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -22,12 +22,3 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh folder that all machines share: in spark.checkpoint.dir, or in local mode a temporary one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-    base = base or f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
