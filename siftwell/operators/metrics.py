@@ -45,8 +45,8 @@ def rollout_metrics(df: DataFrame) -> DataFrame:
 
 
 def packing_metrics(batches: DataFrame, step: str = "step") -> DataFrame:
-    """Batches, tokens and padded tokens of each step."""
-    one = batches.groupBy(step, "batch").agg(F.count("*").alias("items"), F.sum("num_tokens").alias("tokens"), (F.max("num_tokens") * F.count("*")).alias("padded"))
+    """Batches, tokens and padded tokens of each step, over the datums that have a batch."""
+    one = batches.where("batch is not null").groupBy(step, "batch").agg(F.count("*").alias("items"), F.sum("num_tokens").alias("tokens"), (F.max("num_tokens") * F.count("*")).alias("padded"))
     return one.groupBy(step).agg(F.sum("items").alias("datums"), F.count("*").alias("micro_batches"), F.sum("tokens").alias("tokens"), F.sum("padded").alias("padded_tokens"), F.max("padded").alias("max_padded_tokens"))
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import scratch
+
 # Limits of a training batch.
 MAX_CONTEXT_TOKENS = 8192
 MAX_BATCH_ITEMS = 32
@@ -56,30 +58,49 @@ def turn_selected(policy: str, gate: str, is_final: Column, is_credited: Column,
     return chosen & {"all": F.lit(True), "positive_advantage": advantage > 0, "positive_reward": reward > 0, "exact_match": exact}[gate]
 
 
-def pack_micro_batches(df: DataFrame, step: str = "step", key: str = "id") -> DataFrame:
-    """(step, id, num_tokens, batch): first-fit decreasing by length, one step at a time.
+def batch_rooms(counts: pd.DataFrame) -> pd.DataFrame:
+    """Where first-fit decreasing stands as it comes to each length of one step.
 
-    A batch has at most MAX_BATCH_ITEMS datums and MAX_PADDED_TOKENS tokens once padded. A step is one optimizer
-    batch, so its datums fit a task.
+    counts: num_tokens, n. Lengths fall, so the first datum of a batch fixes how many it holds, and only the last
+    batch is ever open: of the next n datums, the first `room` go to batch `open`, and every `cap` more to a new one.
     """
+    counts = counts.sort_values("num_tokens", ascending=False)
+    rows, open_, room = [], -1, 0
+    for tokens, n in zip(counts.num_tokens.tolist(), counts.n.tolist()):
+        cap = min(MAX_BATCH_ITEMS, MAX_PADDED_TOKENS // max(1, tokens))
+        rows.append((open_, room, cap))
+        more = -(-max(0, n - room) // cap)
+        open_, room = open_ + more, room + more * cap - n
+    return counts.assign(**{c: pd.Series(x, index=counts.index, dtype="int64") for c, x in zip(("open", "room", "cap"), zip(*rows))})
+
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        longest, items, at = [], [], []
-        pdf = pdf.sort_values(["num_tokens", key], ascending=[False, True], kind="stable")
-        if len(pdf) and pdf.num_tokens.iloc[0] > MAX_CONTEXT_TOKENS:
-            raise ValueError("a datum exceeds the training context")
-        for n in pdf.num_tokens.tolist():
-            fit = next((k for k in range(len(items)) if items[k] < MAX_BATCH_ITEMS and (items[k] + 1) * max(longest[k], n) <= MAX_PADDED_TOKENS), None)
-            if fit is None:
-                fit = len(items)
-                items.append(0)
-                longest.append(n)
-            items[fit] += 1
-            at.append(fit)
-        return pdf.assign(batch=at)
-
-    kinds = dict(df.dtypes)
-    return df.select(step, key, "num_tokens").groupBy(step).applyInPandas(pack, f"{step} {kinds[step]}, {key} {kinds[key]}, num_tokens {kinds['num_tokens']}, batch int")
+def pack_micro_batches(df: DataFrame, step: str = "step", key: str = "id") -> DataFrame:
+    """(step, id, num_tokens, batch, status): first-fit decreasing by length, one step at a time.
+
+    A batch has at most MAX_BATCH_ITEMS datums and MAX_PADDED_TOKENS tokens once padded. Datums of more than
+    MAX_CONTEXT_TOKENS get the status too_long and no batch, those without a length no_length; all others are ok.
+    Python sees a step's counts by length alone, at most MAX_CONTEXT_TOKENS + 1 rows; datums are numbered in
+    range partitions that are written once, so a step or a length may hold any number of them.
+    """
+    spark, kinds = df.sparkSession, dict(df.dtypes)
+    named = df.select(F.col(step).alias("step"), F.col(key).alias("id"), "num_tokens")
+    status = F.when(F.col("num_tokens").isNull(), "no_length").when(F.col("num_tokens") > MAX_CONTEXT_TOKENS, "too_long").otherwise("ok")
+    path, order = scratch(spark, "batches"), [F.col("step"), F.desc("num_tokens"), F.col("id")]
+    named.withColumn("status", status).repartitionByRange("status", *order).sortWithinPartitions("status", *order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    written = spark.read.parquet(path).withColumn("_part", F.shiftright("_at", 33))
+
+    pieces = written.where("status = 'ok'").groupBy("_part", "step", "num_tokens").agg(F.count("*").alias("n"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy("step", "num_tokens").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("_before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    counts = pieces.groupBy("step", "num_tokens").agg(F.sum("n").alias("n"))
+    rooms = counts.groupBy("step").applyInPandas(batch_rooms, f"step {kinds[step]}, num_tokens {kinds['num_tokens']}, n long, open long, room long, cap long").drop("n")
+    rooms = rooms.withColumnsRenamed({"step": "_s", "num_tokens": "_n"})
+    placed = pieces.join(rooms, F.col("step").eqNullSafe(F.col("_s")) & (F.col("num_tokens") == F.col("_n")))
+    placed = placed.select(F.col("_part").alias("_q"), "_s", "_n", "_first", "_before", "open", "room", "cap")
+    found = written.join(placed, (F.col("_part") == F.col("_q")) & F.col("step").eqNullSafe(F.col("_s")) & (F.col("num_tokens") == F.col("_n")) & (F.col("status") == "ok"), "left")
+    nth = F.col("_at") - F.col("_first") + F.col("_before")
+    batch = F.when(nth < F.col("room"), F.col("open")).otherwise(F.col("open") + 1 + F.floor((nth - F.col("room")) / F.col("cap")))
+    return found.select(F.col("step").alias(step), F.col("id").alias(key), "num_tokens", batch.cast("int").alias("batch"), "status")
 
 
 def weight_for_global_mean(df: DataFrame, batch: list[str], step: list[str]) -> DataFrame:

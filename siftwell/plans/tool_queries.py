@@ -247,15 +247,25 @@ def d21(spark, d):
 
 
 def lengths(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 10).alias("step"), F.least("n_chars", F.lit(8192)).cast("int").alias("num_tokens"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 10).alias("step"), F.col("n_chars").cast("int").alias("num_tokens"))
 
 
-@query("d22_pack_micro_batches")
+#: First-fit decreasing by a walk over batches: a batch's first datum fixes its length.
+_PACK = """
+WITH RECURSIVE l AS (SELECT doc_id AS id, doc_id % 10 AS step, CAST(n_chars AS INT) AS num_tokens FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY step ORDER BY num_tokens DESC, id) - 1 AS pos, CASE WHEN num_tokens <= 2000 THEN 32 ELSE 64000 // num_tokens END AS cap FROM l WHERE num_tokens <= 8192),
+b AS (SELECT step, pos, cap, 0 AS batch FROM r WHERE pos = 0 UNION ALL SELECT r.step, r.pos, r.cap, b.batch + 1 FROM b JOIN r ON r.step = b.step AND r.pos = b.pos + b.cap),
+p AS (SELECT r.step, r.id, r.num_tokens, b.batch, 'ok' AS status FROM r JOIN b ON r.step = b.step AND r.pos >= b.pos AND r.pos < b.pos + b.cap
+  UNION ALL SELECT step, id, num_tokens, NULL, CASE WHEN num_tokens IS NULL THEN 'no_length' ELSE 'too_long' END FROM l WHERE num_tokens > 8192 OR num_tokens IS NULL)
+"""
+
+
+@query("d22_pack_micro_batches", _PACK + "SELECT step, id, num_tokens, batch, status FROM p")
 def d22(spark, d):
     return Q.pack_micro_batches(lengths(spark, d))
 
 
-@query("a08_packing_metrics")
+@query("a08_packing_metrics", _PACK + ", m AS (SELECT step, batch, count(*) AS items, sum(num_tokens)::BIGINT AS tokens, (max(num_tokens) * count(*))::BIGINT AS padded FROM p WHERE batch IS NOT NULL GROUP BY ALL) SELECT step, sum(items)::BIGINT AS datums, count(*) AS micro_batches, sum(tokens)::BIGINT AS tokens, sum(padded)::BIGINT AS padded_tokens, max(padded) AS max_padded_tokens FROM m GROUP BY step")
 def a08p(spark, d):
     return M.packing_metrics(Q.pack_micro_batches(lengths(spark, d)))
 
