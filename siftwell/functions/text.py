@@ -19,7 +19,8 @@ TOOL_CALL = r"(?s)<tool_call>\s*<function=search>\s*<parameter=query>\s*(.*?)\s*
 
 def strings(values) -> Column:
     """A constant array of strings."""
-    return F.array(*(F.lit(v) for v in values)) if values else F.array().cast("array<string>")
+    quoted = ("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+    return F.expr(f"array({', '.join(quoted)})") if values else F.array().cast("array<string>")
 
 
 def squeeze(c: Column) -> Column:
@@ -67,7 +68,7 @@ def normalize_query(c: Column) -> Column:
 def query_terms(c: Column) -> Column:
     """Distinct terms of over two letters that are no stopwords."""
     found = F.split(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")), " ")
-    return F.array_distinct(F.filter(found, lambda t: (F.length(t) > 2) & ~t.isin(STOPWORDS)))
+    return F.array_except(F.filter(found, lambda t: F.length(t) > 2), strings(STOPWORDS))
 
 
 def clean_answers(c: Column) -> Column:
@@ -106,7 +107,7 @@ def named_entity_count(c: Column) -> Column:
 
 def answer_terms(c: Column) -> Column:
     """Words of the normalised answer with over one letter, less stopwords."""
-    return F.array_distinct(F.filter(F.split(normalize_answer(F.coalesce(c, F.lit(""))), " "), lambda t: (F.length(t) > 1) & ~t.isin(STOPWORDS)))
+    return F.array_except(F.filter(F.split(normalize_answer(F.coalesce(c, F.lit(""))), " "), lambda t: F.length(t) > 1), strings(STOPWORDS))
 
 
 def subset(a: Column, b: Column) -> Column:

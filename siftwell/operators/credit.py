@@ -42,86 +42,123 @@ def required_attributes(question: Column) -> Column:
     return F.array_compact(F.array(*(F.when(has_cue(question, cues), F.lit(a)) for a, cues in ATTRIBUTE_CUES.items())))
 
 
-def search_turns(df: DataFrame, key: str = "id") -> DataFrame:
-    """A row per search turn, with its observation, the one before, and what earlier turns asked.
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once: lambdas share no subexpressions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    A trajectory's turns stay together in their array, so nothing is shuffled.
-    """
-    turns = F.col("turns")
-    at = F.transform(turns, lambda t, i: F.struct(i.alias("i"), F.size(F.filter(F.slice(turns, F.lit(1), i), lambda u: u["role"] == "assistant")).alias("turn_index"), t["tool_call"]["query"].alias("query"), t["role"].alias("role")))
-    found = df.withColumn("_s", F.filter(at, lambda s: (s["role"] == "assistant") & s["query"].isNotNull()))
-    found = found.withColumn("_q", F.transform("_s", lambda s: F.struct(s["turn_index"].alias("turn_index"), s["query"].alias("query"), X.normalize_query(s["query"]).alias("norm"), X.query_terms(s["query"]).alias("terms"), F.get(turns, s["i"] + 1).alias("next"))))
-    each = found.select(key, "question", "answers", F.posexplode("_q").alias("n", "s"), F.col("_q"))
-    tool = lambda t: F.when(t["role"] == "tool", t)
-    before = F.slice(F.col("_q"), F.lit(1), F.col("n"))
-    return each.select(
-        key, "question", "answers", "n", F.col("s.turn_index").alias("turn_index"), F.col("s.query").alias("query"), F.col("s.terms").alias("terms"), F.col("s.norm").alias("norm"),
-        tool(F.col("s.next")).alias("seen_now"), F.when(F.col("n") > 0, tool(F.get(F.col("_q"), F.col("n") - 1)["next"])).alias("seen_before"),
-        F.array_distinct(F.filter(F.transform(before, lambda q: q["norm"]), lambda q: q != "")).alias("asked"), F.array_distinct(F.flatten(F.transform(before, lambda q: q["terms"]))).alias("old_terms"),
-    )
 
+def _turn_features(turns: Column) -> Column:
+    """What the detectors need of each turn, each text read once: a search's query and terms, an evidence turn's body, terms and spans."""
 
-def _later() -> Column:
-    """A second or later query that is no repetition."""
-    return (F.size("asked") >= 1) & ~F.array_contains("asked", F.col("norm"))
+    def texts(t):
+        asks = (t["role"] == "assistant") & t["tool_call"]["query"].isNotNull()
+        titles = F.filter(F.transform(t["items"], lambda i: i["title"]), lambda x: x.isNotNull() & (x != ""))
+        return F.struct(t["role"].alias("role"), F.when(asks, t["tool_call"]["query"]).alias("query"), F.when(t["role"] == "tool", t["observation"]).alias("observation"), E.is_evidence(t).alias("evidence"), F.when(E.is_evidence(t), E.event_text(t)).alias("body"), F.when(E.is_evidence(t), titles).alias("titles"))
 
+    def parts(t):
+        own = F.when(t["query"].isNotNull(), X.query_terms(t["query"])).otherwise(X.query_terms(t["body"]))
+        spans = F.when(t["evidence"], F.array_union(X.entity_spans(t["body"]), t["titles"]))
+        entities = F.when(t["evidence"], F.size(X.entity_spans(t["body"])) > 0)
+        words = F.when(t["evidence"], F.split(X.normalize_answer(t["body"]), " "))
+        return F.struct(t["role"].alias("role"), t["query"].alias("query"), X.normalize_query(t["query"]).alias("norm"), own.alias("terms"), t["observation"].alias("observation"), t["evidence"].alias("evidence"), t["body"].rlike(X.NUMBER).alias("number"), entities.alias("entities"), words.alias("words"), F.transform(spans, X.query_terms).alias("spans"))
 
-def helpful_bridge(turns: DataFrame) -> Column:
-    """D07, over the rows of search_turns."""
-    new = F.array_except("terms", "old_terms")
-    shape = (F.size(new) >= 2) & (F.arrays_overlap("terms", X.strings(X.FOLLOWUP_CUES)) | (F.size(F.array_except(new, X.query_terms(F.col("question")))) > 0))
-    return _later() & shape & E.is_evidence(turns["seen_before"])
+    return F.transform(F.transform(turns, texts), parts)
 
 
-def hits_bridge_entity(turns: DataFrame) -> Column:
-    """The query names an entity of the observation before, or of the question."""
-    before = turns["seen_before"]
-    spans = F.array_union(X.entity_spans(E.event_text(before)), F.coalesce(F.filter(F.transform(before["items"], lambda i: i["title"]), lambda t: t.isNotNull() & (t != "")), X.strings([])))
+def _question_features() -> Column:
+    """An array of one struct, so that it is computed once a trajectory and not folded into lambdas."""
+    return F.transform(F.array("question"), lambda q: F.struct(X.query_terms(q).alias("terms"), F.transform(X.entity_spans(q), X.query_terms).alias("spans"), required_attributes(q).alias("wanted"), F.transform("answers", X.answer_terms).alias("answers")))
 
-    def named(span):
-        own = X.query_terms(span)
-        return (F.size(own) > 0) & (X.subset(own, F.col("terms")) | F.exists(F.array_intersect(own, F.col("terms")), lambda t: F.length(t) >= 6))
 
-    def asked(span):
-        own = X.query_terms(span)
-        return (F.size(own) > 0) & X.subset(own, F.col("terms"))
+def names_all(own: Column, terms: Column) -> Column:
+    return (F.size(own) > 0) & X.subset(own, terms)
 
-    return E.is_true(F.exists(spans, named)) | E.is_true(F.exists(X.entity_spans(F.col("question")), asked))
 
+def is_later(norm: Column, asked: Column) -> Column:
+    """A second or later query that is no repetition."""
+    return (F.size(asked) >= 1) & ~F.array_contains(asked, norm)
 
-def has_evidence(turns: DataFrame) -> Column:
-    """The observation holds an answer, or relates to the query."""
-    body = E.event_text(turns["seen_now"])
-    tokens, own = F.split(X.normalize_answer(body), " "), X.query_terms(body)
-    answered = F.exists("answers", lambda a: (F.size(X.answer_terms(a)) > 0) & X.subset(X.answer_terms(a), tokens))
-    both = F.array_intersect("terms", own)
-    related = (F.size(both) > 0) & F.arrays_overlap(own, X.strings(RELATION_TOKENS))
-    rich = (F.size(both) >= 2) & (body.rlike(X.NUMBER) | (F.size(X.entity_spans(body)) > 0))
-    return E.is_true(answered) | E.is_true(related) | E.is_true(rich)
 
+def helpful_bridge(x: Column, new: Column, q: Column) -> Column:
+    """D07, of a later query behind evidence: two new terms, and a cue or a term that the question lacks."""
+    return (F.size(new) >= 2) & (F.arrays_overlap(x["terms"], X.strings(X.FOLLOWUP_CUES)) | (F.size(F.array_except(new, q["terms"])) > 0))
 
-def adds_relation() -> Column:
-    """The query has a relation token, or a term that neither earlier queries nor the question have."""
-    return F.arrays_overlap("terms", X.strings(RELATION_TOKENS)) | (F.size(F.array_except(F.array_except("terms", "old_terms"), X.query_terms(F.col("question")))) > 0)
+
+def hits_bridge_entity(x: Column, before: Column, q: Column) -> Column:
+    """The query names an entity of the observation before, or of the question."""
+    seen = F.exists(before["spans"], lambda own: names_all(own, x["terms"]) | ((F.size(own) > 0) & F.exists(F.array_intersect(own, x["terms"]), lambda t: F.length(t) >= 6)))
+    return E.is_true(seen) | E.is_true(F.exists(q["spans"], lambda own: names_all(own, x["terms"])))
 
 
-def evidence_bridge(turns: DataFrame) -> Column:
-    """D08."""
-    return _later() & E.is_evidence(turns["seen_before"]) & E.is_evidence(turns["seen_now"]) & hits_bridge_entity(turns) & adds_relation() & has_evidence(turns)
+def has_evidence(x: Column, now: Column, q: Column) -> Column:
+    """The observation holds an answer, or relates to the query."""
+    answered = F.exists(q["answers"], lambda own: names_all(own, now["words"]))
+    both = F.size(F.array_intersect(x["terms"], now["terms"]))
+    related = (both > 0) & F.arrays_overlap(now["terms"], X.strings(RELATION_TOKENS))
+    return E.is_true(answered) | E.is_true(related) | E.is_true((both >= 2) & (now["number"] | now["entities"]))
 
 
-def matched_attributes(wanted: Column, terms: Column, body: Column) -> Column:
+def adds_relation(x: Column, new: Column, q: Column) -> Column:
+    """The query has a relation token, or a term that neither earlier queries nor the question have."""
+    return F.arrays_overlap(x["terms"], X.strings(RELATION_TOKENS)) | (F.size(F.array_except(new, q["terms"])) > 0)
+
+
+def attributes_of(wanted: Column, terms: Column, own: Column, number: Column) -> Column:
     """Attributes whose terms the query or the observation has; a date also by any number."""
-    own = X.query_terms(body)
     hit = {a: F.arrays_overlap(terms, X.strings(t)) | F.arrays_overlap(own, X.strings(t)) for a, t in ATTRIBUTE_TERMS.items()}
-    hit["date"] = hit["date"] | body.rlike(X.NUMBER)
+    hit["date"] = hit["date"] | number
     return F.array_compact(F.array(*(F.when(F.array_contains(wanted, a) & h, F.lit(a)) for a, h in hit.items())))
 
 
-def final_hop(turns: DataFrame) -> tuple[Column, Column]:
-    """Whether the turn matches, and the attributes it matches."""
-    found = matched_attributes(required_attributes(F.col("question")), F.col("terms"), E.event_text(turns["seen_now"]))
-    return _later() & E.is_evidence(turns["seen_before"]) & E.is_evidence(turns["seen_now"]) & (F.size(found) > 0) & hits_bridge_entity(turns) & has_evidence(turns), found
+def matched_attributes(wanted: Column, terms: Column, body: Column) -> Column:
+    return attributes_of(wanted, terms, X.query_terms(body), body.rlike(X.NUMBER))
+
+
+FOUND = "array<struct<turn_index:int,query:string,observation:string,helpful:boolean,evidence:boolean,hop:array<string>>>"
+
+
+def search_turns(df: DataFrame) -> DataFrame:
+    """Df with found, an element for each search turn.
+
+    turn_index counts assistant turns; observation is the next turn's, where that is a tool's; helpful, evidence and hop
+    (the attributes that a final-hop search matches) are the detectors' answers. One fold over a trajectory's turns, whose state
+    holds what was asked so far and the tool turn behind the search before; nothing is exploded or shuffled.
+    """
+    seen_type = "struct<role:string,query:string,norm:string,terms:array<string>,observation:string,evidence:boolean,number:boolean,entities:boolean,words:array<string>,spans:array<array<string>>>"
+    d = df.withColumns({"_turns": _turn_features(F.col("turns")), "_question": _question_features()})
+    # each turn with the one behind it, where that is a tool's
+    pairs = F.transform("_turns", lambda t, i: F.struct(t.alias("t"), let(F.get(F.col("_turns"), i + 1), lambda n: F.when(n["role"] == "tool", n)).alias("now")))
+    none = F.array().cast("array<string>")
+    start = F.struct(F.lit(0).alias("said"), none.alias("asked"), none.alias("old"), F.lit(None).cast(seen_type).alias("before"), F.array().cast(FOUND).alias("found"))
+
+    def step(state, pair):
+        x, now, before, q = pair["t"], pair["now"], state["before"], F.get(F.col("_question"), F.lit(0))
+
+        def judged(new):
+            def labels(z):
+                both = z["open"] & E.is_true(now["evidence"])
+                sound = let(both & hits_bridge_entity(x, before, q) & has_evidence(x, now, q), lambda ok: F.struct(ok.alias("ok"), F.when(ok, attributes_of(q["wanted"], x["terms"], now["terms"], now["number"])).otherwise(none).alias("hop")))
+                return let(sound, lambda s: F.struct(state["said"].alias("turn_index"), x["query"].alias("query"), now["observation"].alias("observation"), E.is_true(z["open"] & helpful_bridge(x, new, q)).alias("helpful"), E.is_true(s["ok"] & adds_relation(x, new, q)).alias("evidence"), s["hop"].alias("hop")))
+
+            return let(F.struct((is_later(x["norm"], state["asked"]) & E.is_true(before["evidence"])).alias("open")), labels)
+
+        found = F.concat(state["found"], F.array(let(F.array_except(x["terms"], state["old"]), judged)))
+        asked = F.when(x["norm"] != "", F.array_union(state["asked"], F.array(x["norm"]))).otherwise(state["asked"])
+        after = F.struct((state["said"] + 1).alias("said"), asked.alias("asked"), F.array_union(state["old"], x["terms"]).alias("old"), now.alias("before"), found.cast(FOUND).alias("found"))
+        told = F.struct((state["said"] + F.when(x["role"] == "assistant", 1).otherwise(0)).alias("said"), state["asked"].alias("asked"), state["old"].alias("old"), before.alias("before"), state["found"].alias("found"))
+        return F.when(x["query"].isNotNull(), after).otherwise(told)
+
+    return d.withColumn("found", F.aggregate(pairs, start, step, lambda s: s["found"])).drop("_turns", "_question")
+
+
+def _rows(df: DataFrame, column: str, key: str) -> DataFrame:
+    """A row for each struct of an array column. An outer explode, since for an inner one Spark would compute the array once more to filter by its size."""
+    return df.select(key, F.explode_outer(column).alias("_e")).where("_e is not null").select(key, "_e.*")
+
+
+def found_rows(df: DataFrame, key: str = "id") -> DataFrame:
+    """A row for each search turn: the key and the fields of found."""
+    return _rows(search_turns(df), "found", key)
 
 
 def early_answer_risk(answer: Column) -> Column:
@@ -181,42 +218,43 @@ class Credit:
             raise ValueError("weights must be non-negative")
 
 
-def credit_labels(df: DataFrame, credit: Credit, key: str = "id") -> DataFrame:
-    """(key, turn_index, label, query, bonus) of the credited turns; of several labels of a turn the last in PRECEDENCE counts."""
+def _labels(df: DataFrame, credit: Credit) -> DataFrame:
+    """df with labels: an array of turn_index, label, query and bonus by turn_index; of several labels of a turn the last in PRECEDENCE counts."""
     d = df.withColumn("queries", E.tool_queries(F.col("turns"))).withColumn("_answer", X.extract_answer(E.final_text(F.col("turns"), any_kind=True)))
     wrong = E.is_true(F.col("valid_format")) & ~E.is_true(F.col("exact_match"))
-    parts = []
+    kind, parts = "array<struct<turn_index:int,rank:int,label:string,query:string,bonus:double>>", []
+    one = lambda turn, k, query, bonus: F.struct(turn.alias("turn_index"), F.lit(k).alias("rank"), F.lit(PRECEDENCE[k]).alias("label"), query.alias("query"), F.lit(bonus).alias("bonus"))
 
-    def search(rule, label, bonus):
-        s = search_turns(d.where(wrong), key)
-        hit = rule(s)
-        parts.append(s.where(hit[0] if isinstance(hit, tuple) else hit).select(key, "turn_index", F.lit(label).alias("label"), "query", F.lit(bonus).alias("bonus")))
+    def search(k, rule, bonus):
+        hits = F.transform(F.filter("found", rule), lambda f: one(f["turn_index"], k, f["query"], bonus))
+        parts.append(F.when(wrong, hits).otherwise(F.array().cast(kind)).cast(kind))
 
-    def final(rule, label, penalty):
-        parts.append(d.where(rule).select(key, final_turn_index().alias("turn_index"), F.lit(label).alias("label"), F.lit(None).cast("string").alias("query"), F.lit(-penalty).alias("bonus")).where("turn_index is not null"))
+    def final(k, rule, penalty):
+        parts.append(F.when(rule & F.col("_final").isNotNull(), F.array(one(F.col("_final"), k, F.lit(None).cast("string"), -penalty))).otherwise(F.array().cast(kind)).cast(kind))
 
     hop = credit.policy == "final_hop_bridge"
     if credit.policy == "helpful_bridge" and credit.helpful_bonus:
-        search(helpful_bridge, PRECEDENCE[0], credit.helpful_bonus)
+        search(0, lambda f: f["helpful"], credit.helpful_bonus)
     if hop and credit.guard_penalty:
-        final(guard_reason().isNotNull(), PRECEDENCE[1], credit.guard_penalty)
+        final(1, guard_reason().isNotNull(), credit.guard_penalty)
     if credit.policy in ("evidence_bridge", "final_hop_bridge"):
         if credit.evidence_bonus:
-            search(evidence_bridge, PRECEDENCE[2], credit.evidence_bonus)
+            search(2, lambda f: f["evidence"], credit.evidence_bonus)
         if hop and credit.final_hop_bonus:
-            search(final_hop, PRECEDENCE[3], credit.final_hop_bonus)
+            search(3, lambda f: F.size(f["hop"]) > 0, credit.final_hop_bonus)
         if credit.early_penalty:
-            final(wrong & early_answer_risk(F.col("_answer")), PRECEDENCE[4], credit.early_penalty)
+            final(4, wrong & early_answer_risk(F.col("_answer")), credit.early_penalty)
         if hop and credit.missing_penalty:
-            final(wrong & (F.size(missing_attributes(F.col("_answer"))) > 0), PRECEDENCE[5], credit.missing_penalty)
-    if not parts:
-        return d.select(key, F.lit(0).alias("turn_index"), F.lit("").alias("label"), F.lit(None).cast("string").alias("query"), F.lit(0.0).alias("bonus")).where("false")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    rank = F.array_position(X.strings(PRECEDENCE), F.col("label"))
-    last = every.groupBy(key, "turn_index").agg(F.max_by(F.struct("label", "query", "bonus"), rank).alias("c"))
-    return last.select(key, "turn_index", "c.*")
+            final(5, wrong & (F.size(missing_attributes(F.col("_answer"))) > 0), credit.missing_penalty)
+    d = search_turns(d).withColumn("_final", final_turn_index()).withColumn("_all", F.concat(F.array().cast(kind), *parts))
+    last = F.filter("_all", lambda c: ~F.exists("_all", lambda o: (o["turn_index"] == c["turn_index"]) & (o["rank"] > c["rank"])))
+    labels = F.array_sort(F.transform(last, lambda c: F.struct(*(c[n].alias(n) for n in ("turn_index", "label", "query", "bonus")))))
+    return d.withColumn("labels", labels).drop("queries", "_answer", "found", "_final", "_all")
+
+
+def credit_labels(df: DataFrame, credit: Credit, key: str = "id") -> DataFrame:
+    """(key, turn_index, label, query, bonus) of the credited turns."""
+    return _rows(_labels(df, credit), "labels", key)
 
 
 def effective_advantage(advantage: Column, bonus: Column) -> Column:
@@ -224,11 +262,15 @@ def effective_advantage(advantage: Column, bonus: Column) -> Column:
     return F.when(bonus.isNull(), advantage).when(bonus >= 0, F.greatest(advantage, F.lit(0.0)) + bonus).otherwise(F.least(advantage, F.lit(0.0)) + bonus)
 
 
-def apply_credit(df: DataFrame, credit: Credit, key: str = "id") -> DataFrame:
-    """Df with turn_credits, an array of structs by turn_index. Labels are few, so they are gathered per trajectory."""
-    own = credit_labels(df, credit, key)
-    own = own.join(df.select(key, "advantage"), key).select(key, F.struct("turn_index", "label", "query", "bonus", effective_advantage(F.col("advantage"), F.col("bonus")).alias("effective_advantage")).alias("c"))
-    return df.join(own.groupBy(key).agg(F.array_sort(F.collect_list("c")).alias("turn_credits")), key, "left")
+def apply_credit(df: DataFrame, credit: Credit) -> DataFrame:
+    """Df with turn_credits, an array of structs by turn_index; null where no turn is credited."""
+    marked = F.transform("labels", lambda c: F.struct(*(c[n].alias(n) for n in ("turn_index", "label", "query", "bonus")), effective_advantage(F.col("advantage"), c["bonus"]).alias("effective_advantage")))
+    return _labels(df, credit).withColumn("turn_credits", F.when(F.size("labels") > 0, marked)).drop("labels")
+
+
+def credit_rows(df: DataFrame, credit: Credit, key: str = "id") -> DataFrame:
+    """credit_labels with each turn's effective advantage."""
+    return _rows(apply_credit(df, credit), "turn_credits", key)
 
 
 def mark_turns(turns: Column, credits: Column) -> Column:
@@ -243,14 +285,11 @@ def mark_turns(turns: Column, credits: Column) -> Column:
 
 def analyze(df: DataFrame, key: str = "id") -> DataFrame:
     """Per trajectory, how many turns each detector finds and which risks its answer has; credit and penalties are for wrong answers only."""
-    s = search_turns(df, key)
-    found = s.select(key, helpful_bridge(s).alias("h"), evidence_bridge(s).alias("e"), final_hop(s)[0].alias("f")).groupBy(key).agg(F.count_if("h").alias("helpful_turns"), F.count_if("e").alias("evidence_turns"), F.count_if("f").alias("final_hop_turns"))
-    d = df.withColumn("queries", E.tool_queries(F.col("turns"))).withColumn("final_answer", X.extract_answer(E.final_text(F.col("turns"))))
+    d = search_turns(df).withColumn("queries", E.tool_queries(F.col("turns"))).withColumn("final_answer", X.extract_answer(E.final_text(F.col("turns"))))
     wrong = E.is_true(F.col("valid_format")) & ~E.is_true(F.col("exact_match"))
-    d = d.select(key, "data_source", E.is_true(F.col("exact_match")).alias("exact_match"), E.is_true(F.col("valid_format")).alias("valid_format"), "search_calls", wrong.alias("wrong_valid"), (wrong & early_answer_risk(F.col("final_answer"))).alias("early_penalty"), (wrong & (F.size(missing_attributes(F.col("final_answer"))) > 0)).alias("missing_penalty"), guard_reason().isNotNull().alias("guard_penalty"))
-    n = ["helpful_turns", "evidence_turns", "final_hop_turns"]
-    d = d.join(found, key, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in n})
-    return d.withColumns({f"credited_{c}": F.when(F.col("wrong_valid"), F.col(c)).otherwise(0) for c in n})
+    turns = {"helpful_turns": lambda f: f["helpful"], "evidence_turns": lambda f: f["evidence"], "final_hop_turns": lambda f: F.size(f["hop"]) > 0}
+    d = d.select(key, "data_source", E.is_true(F.col("exact_match")).alias("exact_match"), E.is_true(F.col("valid_format")).alias("valid_format"), "search_calls", F.size("found").alias("found_turns"), wrong.alias("wrong_valid"), (wrong & early_answer_risk(F.col("final_answer"))).alias("early_penalty"), (wrong & (F.size(missing_attributes(F.col("final_answer"))) > 0)).alias("missing_penalty"), guard_reason().isNotNull().alias("guard_penalty"), *(F.size(F.filter("found", rule)).cast("long").alias(c) for c, rule in turns.items()))
+    return d.withColumns({f"credited_{c}": F.when(F.col("wrong_valid"), F.col(c)).otherwise(0) for c in turns})
 
 
 def summarize_analysis(analyzed: DataFrame) -> DataFrame:

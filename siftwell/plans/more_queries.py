@@ -12,7 +12,7 @@ from ..operators import diagnostics as D
 from ..operators import metrics as M
 from ..operators import prep, replay
 from ..operators import rewards as R
-from ..sources import jsonl
+from ..sources import jsonl, records
 from ..streaming import windows
 from . import reports
 from . import sqltext as S
@@ -39,6 +39,24 @@ def k01(spark, d):
     return jsonl.read_records(spark, path).agg(F.count("*").alias("n"), F.sum(F.size("turns")).alias("turns"), F.count_if("exact_match").alias("exact"))
 
 
+@query("t01_unknown_keys", TRAJ_SQL + """SELECT CAST(id AS VARCHAR) AS id, data_source AS own_key, 'kept ' || stop_reason AS meta_key, array_to_string(list_transform(turns, lambda t: t.role || ':' || length(coalesce(t.text, ''))), ' ') AS turn_keys,
+ CAST(len(list_filter(turns, lambda t: t.role = 'tool')) AS BIGINT) AS marked, round(reward + 1, 6) AS reward, CAST(len(turns) AS BIGINT) AS n_turns FROM tj""")
+def t01(spark, d):
+    """Records with keys that no schema names are written, read, changed, written and read once more."""
+    first, second = scratch(spark, "records"), scratch(spark, "records")
+    turns = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"), F.struct(F.concat(t["role"], F.lit(":"), F.length(F.coalesce(t["text"], F.lit(""))).cast("string")).alias("seen")).alias("own_turn_key")))
+    meta = F.struct(F.col("stop_reason").alias("stop_reason"), F.array(F.concat(F.lit("kept "), F.col("stop_reason"))).alias("own_meta_key"))
+    lines = trajectories(spark, d).select(F.to_json(F.struct(F.col("id").cast("string").alias("id"), "question", "reward", F.struct("data_source").alias("own_key"), turns.alias("turns"), meta.alias("metadata"))).alias("value"))
+    lines.write.text(first)
+    read = records.typed(records.read(spark, first)).withColumn("reward", F.col("reward") + 1)
+    marks = F.transform("turns", lambda t: F.when(t["role"] == "tool", F.lit("seen").cast("variant")))
+    records.write(records.mark_turns(records.update(read, ["reward"]), "mark", marks), second)
+    get = lambda path, kind="string": F.variant_get("record", path, kind)
+    each = F.transform(get("$.turns", "array<variant>"), lambda t: F.struct(F.try_variant_get(t, "$.own_turn_key.seen", "string").alias("key"), F.try_variant_get(t, "$.mark", "string").alias("mark")))
+    back = records.read(spark, second).withColumn("t", each)
+    return back.select(get("$.id").alias("id"), get("$.own_key.data_source").alias("own_key"), get("$.metadata.own_meta_key[0]").alias("meta_key"), F.array_join(F.transform("t", lambda t: t["key"]), " ").alias("turn_keys"), F.size(F.filter("t", lambda t: t["mark"] == "seen")).cast("long").alias("marked"), F.round(get("$.reward", "double"), 6).alias("reward"), F.size("t").cast("long").alias("n_turns"))
+
+
 @query("k05_step_files", "SELECT CAST(doc_id % 4 AS BIGINT) AS step, count(*) AS n FROM documents GROUP BY 1")
 def k05(spark, d):
     path = scratch(spark, "steps")

@@ -206,7 +206,7 @@ def a19(spark, d):
 n AS (SELECT id, i, t, lead(t) OVER (PARTITION BY id ORDER BY i) AS nx, sum((t.role = 'assistant')::INT) OVER (PARTITION BY id ORDER BY i) - 1 AS turn_index FROM e)
 SELECT id, CAST(turn_index AS BIGINT) AS turn_index, t.query AS query, CASE WHEN nx.role = 'tool' THEN nx.observation END AS observation FROM n WHERE t.role = 'assistant' AND t.query IS NOT NULL""")
 def j06(spark, d):
-    return C.search_turns(trajectories(spark, d)).select("id", F.col("turn_index").cast("long").alias("turn_index"), "query", F.col("seen_now.observation").alias("observation"))
+    return C.found_rows(trajectories(spark, d)).select("id", F.col("turn_index").cast("long").alias("turn_index"), "query", "observation")
 
 
 #: st holds the search turns with what came before them.
@@ -221,8 +221,7 @@ su AS (SELECT *, len(list_filter(asked, lambda a: a <> '')) >= 1 AND NOT list_co
 
 @query("d07_helpful_bridge", SEARCH_SQL + f"SELECT id, CAST(turn_index AS BIGINT) AS turn_index FROM su WHERE later AND len(new) >= 2 AND ({S.has_any('terms', X.FOLLOWUP_CUES)} OR len(list_filter(new, lambda t: NOT list_contains(qt, t))) > 0) AND {S.evidence('seen_before')}")
 def d07(spark, d):
-    s = C.search_turns(trajectories(spark, d))
-    return s.where(C.helpful_bridge(s)).select("id", F.col("turn_index").cast("long").alias("turn_index"))
+    return C.found_rows(trajectories(spark, d)).where("helpful").select("id", F.col("turn_index").cast("long").alias("turn_index"))
 
 
 _SUBSET = lambda a, b: f"len(list_filter({a}, lambda z: NOT list_contains({b}, z))) = 0"
@@ -241,8 +240,7 @@ sy AS (SELECT *, len(list_filter(answers, lambda a: len({S.answer_terms('a')}) >
 
 @query("d08_evidence_bridge", EVIDENCE_SQL + "SELECT id, CAST(turn_index AS BIGINT) AS turn_index FROM sy WHERE bridge AND adds AND evidence")
 def d08(spark, d):
-    s = C.search_turns(trajectories(spark, d))
-    return s.where(C.evidence_bridge(s)).select("id", F.col("turn_index").cast("long").alias("turn_index"))
+    return C.found_rows(trajectories(spark, d)).where("evidence").select("id", F.col("turn_index").cast("long").alias("turn_index"))
 
 
 _HOP = "list_filter([" + ", ".join(f"CASE WHEN {S.cue('question', C.ATTRIBUTE_CUES[a])} AND ({S.has_any('terms', t)} OR {S.has_any('own', t)}" + (f" OR regexp_matches(body, '{X.NUMBER}')" if a == "date" else "") + f") THEN '{a}' END" for a, t in C.ATTRIBUTE_TERMS.items()) + "], lambda x: x IS NOT NULL)"
@@ -250,9 +248,7 @@ _HOP = "list_filter([" + ", ".join(f"CASE WHEN {S.cue('question', C.ATTRIBUTE_CU
 
 @query("d09_final_hop", EVIDENCE_SQL + f"SELECT id, CAST(turn_index AS BIGINT) AS turn_index, array_to_string({_HOP}, '|') AS attributes FROM sy WHERE bridge AND evidence AND len({_HOP}) > 0")
 def d09(spark, d):
-    s = C.search_turns(trajectories(spark, d))
-    hit, found = C.final_hop(s)
-    return s.where(hit).select("id", F.col("turn_index").cast("long").alias("turn_index"), F.array_join(found, "|").alias("attributes"))
+    return C.found_rows(trajectories(spark, d)).where(F.size("hop") > 0).select("id", F.col("turn_index").cast("long").alias("turn_index"), F.array_join("hop", "|").alias("attributes"))
 
 
 _EARLY_TEXT = f"question || ' ' || array_to_string({_Q}, ' ') || ' ' || {S.event_text('ft')} || ' ' || coalesce(ans, '')"
@@ -306,14 +302,13 @@ cl AS (SELECT al.id, CAST(turn_index AS BIGINT) AS turn_index, label, query, CAS
 @query("d16_credit_labels", CREDIT_SQL + "SELECT * FROM cl")
 def d16(spark, d):
     t = M.group_advantages(trajectories(spark, d))
-    return C.credit_labels(t, CREDIT).join(t.select("id", "advantage"), "id").select("id", F.col("turn_index").cast("long").alias("turn_index"), "label", "query", "bonus", F.round(C.effective_advantage(F.col("advantage"), F.col("bonus")), 6).alias("effective_advantage"))
+    return C.credit_rows(t, CREDIT).select("id", F.col("turn_index").cast("long").alias("turn_index"), "label", "query", "bonus", F.round("effective_advantage", 6).alias("effective_advantage"))
 
 
 @query("d16_helpful_credit", SEARCH_SQL + f", ga AS (SELECT id, CASE WHEN min(reward) OVER g = max(reward) OVER g THEN 0 ELSE reward - avg(reward) OVER g END AS adv FROM tj WINDOW g AS (PARTITION BY question_index)) SELECT id, CAST(turn_index AS BIGINT) AS turn_index, query, round(greatest(adv, 0) + 0.1, 6) AS effective_advantage FROM su JOIN ga USING (id) WHERE valid_format AND NOT exact_match AND later AND len(new) >= 2 AND ({S.has_any('terms', X.FOLLOWUP_CUES)} OR len(list_filter(new, lambda t: NOT list_contains(qt, t))) > 0) AND {S.evidence('seen_before')}")
 def d16h(spark, d):
     t = M.group_advantages(trajectories(spark, d))
-    got = C.credit_labels(t, C.Credit("helpful_bridge", helpful_bonus=0.1)).join(t.select("id", "advantage"), "id")
-    return got.select("id", F.col("turn_index").cast("long").alias("turn_index"), "query", F.round(C.effective_advantage(F.col("advantage"), F.col("bonus")), 6).alias("effective_advantage"))
+    return C.credit_rows(t, C.Credit("helpful_bridge", helpful_bonus=0.1)).select("id", F.col("turn_index").cast("long").alias("turn_index"), "query", F.round("effective_advantage", 6).alias("effective_advantage"))
 
 
 @query("d17_final_turn_index", TRAJ_SQL + "SELECT id, CAST(coalesce(list_max(list_filter(range(len(a)), lambda i: a[i + 1].query IS NULL)), len(a) - 1) AS BIGINT) AS turn_index FROM (SELECT id, list_filter(turns, lambda t: t.role = 'assistant') AS a FROM tj)")
@@ -326,10 +321,7 @@ _SHAPED = f"later AND len(new) >= 2 AND ({S.has_any('terms', X.FOLLOWUP_CUES)} O
 
 @query("d18_credit_analysis", EVIDENCE_SQL + f"SELECT su.id, count(*) FILTER ({_SHAPED}) AS helpful_turns, coalesce(any_value(ev), 0)::BIGINT AS evidence_turns, coalesce(any_value(hop), 0)::BIGINT AS final_hop_turns FROM su LEFT JOIN (SELECT id, count(*) FILTER (bridge AND adds AND evidence) AS ev, count(*) FILTER (bridge AND evidence AND len({_HOP}) > 0) AS hop FROM sy GROUP BY id) y ON y.id = su.id GROUP BY su.id")
 def d18(spark, d):
-    t = trajectories(spark, d)
-    s = C.search_turns(t)
-    hit, _ = C.final_hop(s)
-    return s.select("id", C.helpful_bridge(s).alias("helpful"), C.evidence_bridge(s).alias("evidence"), hit.alias("hop")).groupBy("id").agg(F.count_if("helpful").alias("helpful_turns"), F.count_if("evidence").alias("evidence_turns"), F.count_if("hop").alias("final_hop_turns"))
+    return C.analyze(trajectories(spark, d)).where(F.col("found_turns") > 0).select("id", "helpful_turns", "evidence_turns", "final_hop_turns")
 
 
 @query("a10_credit_metrics", CREDIT_SQL + "SELECT label, count(*) AS turns, count(DISTINCT id) AS trajectories FROM cl GROUP BY label")

@@ -43,10 +43,10 @@ def read_examples(spark: SparkSession, path: str, limit: int = 0, default_source
     return found.orderBy("file", "line").limit(limit) if limit else found
 
 
-def normalize_records(df: DataFrame) -> DataFrame:
-    """Defaults for all fields of a trajectory."""
+def normalize_records(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Defaults for all fields of a trajectory, and the columns to keep beside them."""
     count = lambda c: F.coalesce(F.expr(f"try_cast({c} as int)"), F.lit(0)).alias(c)
-    return df.select("file", "line", F.coalesce("id", F.col("metadata.id"), F.lit("")).alias("id"), F.coalesce("question", F.lit("")).alias("question"), F.coalesce("answers", F.array().cast("array<string>")).alias("answers"), F.coalesce("data_source", F.lit("")).alias("data_source"), F.coalesce("turns", F.array().cast(TURNS)).alias("turns"), "reward", "advantage", "valid_format", "exact_match", count("search_calls"), count("tool_failures"), F.coalesce("metadata.stop_reason", F.lit("")).alias("stop_reason"), "metadata")
+    return df.select("file", "line", F.coalesce("id", F.col("metadata.id"), F.lit("")).alias("id"), F.coalesce("question", F.lit("")).alias("question"), F.coalesce("answers", F.array().cast("array<string>")).alias("answers"), F.coalesce("data_source", F.lit("")).alias("data_source"), F.coalesce("turns", F.array().cast(TURNS)).alias("turns"), "reward", "advantage", "valid_format", "exact_match", count("search_calls"), count("tool_failures"), F.coalesce("metadata.stop_reason", F.lit("")).alias("stop_reason"), "metadata", *keep)
 
 
 def read_records(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
