@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import prompts
 from ..functions import protocol as P
 from ..functions import text as X
-from ..operators import backends, credit
+from ..operators import backends, credit, fit
 from ..operators import diagnostics as D
 from ..operators import metrics as M
 from ..operators import prep, replay
@@ -112,6 +112,49 @@ def d30(spark, d):
     return replay.replay(outputs, max_search_calls=2).select("id", "stop_reason", F.col("search_calls").cast("long").alias("search_calls"))
 
 
+_SUFFIX = "chr(10) || chr(10) || '" + P.REMINDER + "'"
+
+
+@query("d29_two_budgets", f"""WITH b AS (SELECT doc_id, n_chars % 500 AS used, generate_subscripts(string_split(coalesce(text, ''), '. '), 1) AS k, strlen(unnest(string_split(coalesce(text, ''), '. '))) AS n FROM documents),
+c AS (SELECT doc_id, used, k, (sum(n) OVER (PARTITION BY doc_id ORDER BY k) + 2 * (k - 1) + strlen({_SUFFIX}) + 3)::BIGINT // 4 AS tokens FROM b),
+f AS (SELECT doc_id, any_value(used) AS used, count(*) FILTER (tokens <= 400 AND used + tokens <= 700) AS n_fit, max(tokens) FILTER (tokens <= 400 AND used + tokens <= 700) AS message_tokens FROM c GROUP BY doc_id)
+SELECT doc_id, CAST(n_fit AS INTEGER) AS n_fit, message_tokens, used + message_tokens AS next_tokens, md5(array_to_string((string_split(coalesce(text, ''), '. '))[1:n_fit], chr(10) || chr(10))) AS content FROM f JOIN documents USING (doc_id)""")
+def d29b(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\\. ").alias("blocks"), (F.col("n_chars") % 500).alias("used_tokens"))
+    got = fit.fit_observations(docs, tool_tokens=400, trajectory_tokens=700)
+    return got.select("doc_id", "n_fit", "message_tokens", "next_tokens", F.md5(F.coalesce("content", F.lit(""))).alias("content"))
+
+
+_TOKENS = "(strlen({}) + 3) // 4"
+_REPLAY = f"""WITH RECURSIVE a AS (SELECT conv_id AS id, role, text, turn, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS heard, first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) AS opening FROM conversations),
+b AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY turn) - 1 AS t, id % 8 AS k, {_TOKENS.format("text")} AS n, string_split(coalesce(heard, ''), '. ') AS blocks, {_TOKENS.format("opening")} AS start_tokens FROM a WHERE role = 'assistant'),
+o AS (SELECT id, t, n, start_tokens, CASE WHEN k IN (1, 7) AND t > 0 THEN 'answer' WHEN k = 2 AND t > 0 THEN 'invalid' ELSE 'tool' END AS kind, k <> 5 AS rebuilt, CASE WHEN k = 0 THEN 1 ELSE 3 END AS ms, CASE WHEN k = 3 THEN 2 ELSE 6 END AS mt, CASE WHEN k = 4 THEN 10 ELSE 120 END AS tool, CASE WHEN k = 6 THEN start_tokens + t WHEN k = 7 THEN 400 ELSE 4000 END AS ctx0,
+  list_transform(range(1, len(blocks) + 1), lambda m: {_TOKENS.format(f"array_to_string(blocks[1:m], chr(10) || chr(10)) || {_SUFFIX}")}) AS sizes FROM b),
+l AS (SELECT id, any_value(start_tokens) AS start_tokens, max(ctx0) AS ctx FROM o GROUP BY id),
+r AS (SELECT id, 0::BIGINT AS t, start_tokens::BIGINT AS tokens, 0 AS searches, NULL::VARCHAR AS stop, NULL::INTEGER AS halt, 0::BIGINT AS blocks FROM l
+  UNION ALL SELECT id, t + 1, CASE WHEN now IS NULL THEN tokens + n + sizes[fits] ELSE tokens END, CASE WHEN now = 'max_trajectory_tokens' OR NOT goes THEN searches ELSE searches + 1 END, now, CASE WHEN now IS NOT NULL THEN t::INTEGER END, CASE WHEN now IS NULL THEN blocks + fits ELSE blocks END
+  FROM (SELECT *, CASE WHEN tokens >= ctx THEN 'max_trajectory_tokens' WHEN goes AND NOT rebuilt THEN 'prompt_reconstruction_failed' WHEN goes AND fits = 0 THEN 'tool_observation_budget' WHEN goes THEN NULL WHEN kind = 'answer' THEN 'answer' WHEN kind = 'invalid' THEN 'invalid_format' WHEN searches >= ms THEN 'max_search_calls' ELSE 'max_assistant_turns' END AS now
+    FROM (SELECT r.id, r.t, r.tokens, r.searches, r.blocks, o.n, o.kind, o.rebuilt, o.ms, o.sizes, l.ctx, o.kind = 'tool' AND r.searches < o.ms AND r.t + 1 < o.mt AS goes,
+      len(list_filter(range(1, len(o.sizes) + 1), lambda m: len(list_filter(o.sizes[1:m], lambda z: z > o.tool OR r.tokens + o.n + z > l.ctx)) = 0)) AS fits
+      FROM r JOIN o ON o.id = r.id AND o.t = r.t JOIN l ON l.id = r.id WHERE r.stop IS NULL) x) y),
+z AS (SELECT r.*, ctx FROM r JOIN l USING (id) QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY r.t DESC) = 1)
+SELECT id, CASE WHEN stop IS NULL AND tokens >= ctx THEN 'max_trajectory_tokens' ELSE stop END AS stop_reason, halt AS stop_turn, searches AS search_calls, tokens, CAST(blocks AS BIGINT) AS blocks FROM z"""
+
+
+@query("d30_replay_budgets", _REPLAY)
+def d30b(spark, d):
+    """All seven reasons: the conversations' texts with their lengths, searches and limits by the id."""
+    from pyspark.sql import Window
+
+    w, k, t = Window.partitionBy("conv_id").orderBy("turn"), F.col("conv_id") % 8, F.col("t")
+    count = lambda c: F.floor((F.octet_length(c) + 3) / 4)
+    c = table(spark, d, "conversations").withColumns({"heard": F.lead("text").over(w), "opening": F.first("text").over(w)}).where("role = 'assistant'").withColumn("t", F.row_number().over(w) - 1)
+    said = F.when(k.isin(1, 7) & (t > 0), "Answer: x").when((k == 2) & (t > 0), "<tool_call> broken").otherwise(_CALLED)
+    ctx = F.when(k == 6, count(F.col("opening")) + t).when(k == 7, 400).otherwise(4000)
+    outputs = c.select(F.col("conv_id").alias("id"), t.alias("turn"), said.alias("text"), count(F.col("text")).alias("tokens"), fit.prefix_sizes(F.split(F.coalesce("heard", F.lit("")), "\\. "), count).alias("sizes"), (k != 5).alias("rebuilt"), count(F.col("opening")).alias("start_tokens"), F.when(k == 0, 1).otherwise(3).alias("ms"), F.when(k == 3, 2).otherwise(6).alias("mt"), F.when(k == 4, 10).otherwise(120).alias("tool"), ctx.alias("ctx"))
+    return replay.replay_budgets(outputs, "ms", "mt", "tool", "ctx").select("id", "stop_reason", "stop_turn", "search_calls", "tokens", F.col("blocks").cast("long").alias("blocks"))
+
+
 @query("p26_sequence_ratio")
 def p26(spark, d):
     a, b = F.col("text"), F.regexp_replace("text", r"^\S+\s*", "")  # all of a text, and all but its first word
