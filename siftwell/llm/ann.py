@@ -94,8 +94,10 @@ def near_cells(u: np.ndarray, turns: np.ndarray, probes: int) -> np.ndarray:
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
+    """The vectors as rows, each by a power of two brought to components below 1: cosines stay as they are, and no square over- or underflows."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    rows = flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, initial=0))[1][:, None])
 
 
 def _prober(shape: tuple, probes: int):

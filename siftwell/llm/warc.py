@@ -5,7 +5,7 @@ that another capture holds already, a revisit of it) and metadata. Request and m
 in WARC-Concurrent-To. Reading parses records by their Content-Length, and assembly groups
 them by that identifier into one nested row per capture. In archives of other writers a record may name
 several others, or one that itself names the response: records that reach no response directly go to that of
-the connected component of all identifiers.
+the connected component of all identifiers. A capture keeps all its requests and metadata records.
 
 Archives are written by Spark's text writer, so they land in any file system that
 Spark reaches, tasks that are lost leave nothing behind, and files hold at most
@@ -202,11 +202,13 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
 
 
 def _keyed(records: DataFrame, key: Column) -> DataFrame:
-    """A row for each key, with a record of each kind and the number of responses."""
+    """A row for each key: its response, all requests and all metadata records by record id, the first of each, and the number of responses."""
     part = lambda *kinds: F.when(F.col("type").isin(*kinds), F.struct("record_id", "type", "refers_to", "target_uri", "payload_digest", "payload_bytes", "digest_ok", "page_id", "payload"))
     names = F.size(F.coalesce("concurrent_to", F.array()))
     odd = F.bool_or((names > 1) | (_main() & (names > 0)))
-    return records.groupBy(key.alias("capture_id")).agg(F.any_value(part("request"), True).alias("request"), F.any_value(part("response", "revisit"), True).alias("response"), F.any_value(part("metadata"), True).alias("metadata"), F.count_if(_main()).alias("n"), odd.alias("odd"))
+    every = lambda kind: F.array_sort(F.collect_list(part(kind)))
+    met = records.groupBy(key.alias("capture_id")).agg(F.any_value(part("response", "revisit"), True).alias("response"), every("request").alias("requests"), every("metadata").alias("metadata_records"), F.count_if(_main()).alias("n"), odd.alias("odd"))
+    return met.withColumns({"request": F.get("requests", F.lit(0)), "metadata": F.get("metadata_records", F.lit(0))})
 
 
 def _homes(records: DataFrame) -> DataFrame:
@@ -223,7 +225,8 @@ def _homes(records: DataFrame) -> DataFrame:
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: request, response (or revisit) and metadata, with the page that a revisit refers to."""
+    """One nested row per capture: response (or revisit), requests and metadata_records (all that belong to it, by record id), request and
+    metadata (the first of each), and the page that a revisit refers to."""
     key = F.when(_main(), F.col("record_id")).otherwise(F.coalesce(F.get("concurrent_to", F.lit(0)), "record_id"))
     met = materialize(_keyed(records, key), "captures")
     if met.where("odd or n = 0").limit(1).count():
