@@ -118,6 +118,33 @@ def align_logprobs(model: Column, required: Column) -> Column:
     return F.coalesce(fault, F.zip_with(own, required, lambda x, r: F.when(x.isNotNull(), x).when(r, missing).otherwise(0.0)))
 
 
+def write_bucketed(df: DataFrame, key: str = "id", buckets: int = 64) -> DataFrame:
+    """df as a table in a shared folder, bucketed and sorted by key: tables of as many buckets join on it without a shuffle."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, "bucketed")
+    name = "siftwell_" + path.rpartition("-")[2]
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def attach_logprobs(datums: DataFrame, model: DataFrame, name: str, required: str, key: str = "id", strict: bool = True) -> DataFrame:
+    """Datums with `name`, a model's log-probabilities aligned to their target tokens, and name_status.
+
+    model: key and logprobs, of all tokens of a datum, the first without one. Partners are found by key and zipped by position; a token
+    needs a value where the array `required` (advantages for a reference model, the mask for a teacher) is not 0. The status is ok,
+    or says that the partner is missing, repeated or of another length, that the required array is, or that a needed value lacks; strict
+    raises on all but ok. Over two write_bucketed tables nothing is shuffled.
+    """
+    partner = model.groupBy(key).agg(F.count("*").alias("_n"), F.any_value("logprobs").alias("_own"))
+    d = datums.join(partner, key, "left")
+    own = F.slice("_own", F.lit(2), F.greatest(F.size("_own") - 1, F.lit(0)))
+    lacks = F.exists(F.arrays_zip(own.alias("x"), F.col(required).alias("r")), lambda z: z["x"].isNull() & (z["r"] != 0))
+    status = F.when(F.col("_n").isNull(), "missing").when(F.col("_n") > 1, "repeated").when(F.col(required).isNull() | (F.size(required) != F.size("target_tokens")), "required_length").when(F.coalesce(F.size("_own"), F.lit(-1)) != F.size("target_tokens") + 1, "length").when(lacks, "lacks_a_value").otherwise("ok")
+    if strict:
+        status = F.when(status == "ok", status).otherwise(F.raise_error(F.concat(F.lit(f"{name} of datum "), F.col(key).cast("string"), F.lit(": "), status)).cast("string"))
+    d = d.withColumn(f"{name}_status", status)
+    return d.withColumn(name, F.when(F.col(f"{name}_status") == "ok", F.transform(own, lambda x: F.coalesce(x, F.lit(0.0))))).drop("_n", "_own")
+
+
 def gate_mask(mask: Column, teacher: Column, least: float) -> Column:
     """The mask, 0 where the teacher's log-probability is under least."""
     return F.zip_with(mask, teacher, lambda m, t: F.when(t >= least, m).otherwise(0.0))

@@ -284,6 +284,21 @@ def d24(spark, d):
     return table(spark, d, "events").select("event_id", F.aggregate(got, F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
+@query("j08_attach_logprobs", f"""WITH n AS (SELECT doc_id AS id, {_LEN} AS len, {_N1} AS n1, doc_id % 5 - 2 AS adv FROM documents),
+l AS (SELECT doc_id AS id, count(*) AS partners, any_value(toxic) AS toxic, any_value(quality) AS quality FROM labels GROUP BY doc_id),
+s AS (SELECT n.*, l.quality, CASE WHEN partners IS NULL THEN 'missing' WHEN partners > 1 THEN 'repeated' WHEN toxic = 1 THEN 'length' WHEN quality = 0 AND n.id % 7 = 0 AND adv <> 0 THEN 'lacks_a_value' ELSE 'ok' END AS status FROM n LEFT JOIN l USING (id))
+SELECT id, status AS reference_status, CASE WHEN status = 'ok' THEN round(-(len * (len - 1) / 2) / 100.0 + CASE WHEN quality = 0 THEN 0.01 ELSE 0 END + CASE WHEN quality = 0 AND id % 7 = 0 THEN (len - 1) / 100.0 ELSE 0 END, 6) END AS total FROM s""")
+def j08(spark, d):
+    """Datums of the documents and log-probabilities for the labelled ones, joined by buckets."""
+    k = F.col("doc_id").cast("int")
+    size = 2 + k % 3 + 1 + k % 4 + 2 + 1 + k % 2
+    value = lambda i: F.when((i == 0) | ((F.col("quality") == 0) & ((i == 1) | ((k % 7 == 0) & (i == size - 1)))), F.lit(None).cast("double")).otherwise(-i / 100.0)
+    model = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.transform(F.sequence(F.lit(0), size - 1 - F.col("toxic")), value).alias("logprobs"))
+    datums = Q.build_datums(samples(spark, d)).select("id", "target_tokens", "advantages")
+    got = Q.attach_logprobs(Q.write_bucketed(datums, buckets=8), Q.write_bucketed(model, buckets=8), "reference", "advantages", strict=False)
+    return got.select("id", "reference_status", F.round(F.aggregate("reference", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
 @query("d25_gate_mask", "SELECT event_id, CAST(CASE WHEN value / 100 >= 0.3 THEN 1 ELSE 0 END AS BIGINT) AS kept FROM events")
 def d25(spark, d):
     m = Q.gate_mask(F.array(F.lit(1.0)), F.array(F.col("value") / 100), 0.3)

@@ -12,7 +12,7 @@ RECORD = f"type string, id string, question string, answers array<string>, data_
 CORPUS = "id string, title string, content string, url string, source string"
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
+def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line, value): non-blank lines with their number in the file, from 1; blank ones count.
 
     Files are read in parallel blocks: a line's number is its place in its block, after the lines of the
@@ -65,24 +65,61 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", "line", "r.*", F.map_filter("m", lambda k, _: ~k.isin(names)).alias("metadata"))
 
 
+def metric_series(spark: SparkSession, labelled: list[tuple[str, str]]) -> DataFrame:
+    """(ord, label, em_macro, format_rate) of labelled files or folders, in one scan of them all.
+
+    A file's metrics are those of its last summary row; without one, those of its records. Files and labels are few beside
+    their rows, and are broadcast. A path without any row, or a summary without one of the two, raises.
+    """
+    names = spark.createDataFrame([(k, label, _bare(_qualified(spark, path))) for k, (label, path) in enumerate(labelled)], "ord int, label string, at string")
+    rows = check(lines(spark, [path for _, path in labelled]).withColumn("r", F.from_json("value", RECORD, {"columnNameOfCorruptRecord": "_corrupt_record"})), F.col("r._corrupt_record").isNotNull(), "invalid record")
+    rows = rows.select(F.regexp_replace("file", "^([^:/]+):/+", "$1:/").alias("file"), "line", "r.*")
+    files = rows.select("file").distinct().join(F.broadcast(names), (F.col("file") == F.col("at")) | F.col("file").startswith(F.concat("at", F.lit("/")))).select("file", "ord")
+    rows = rows.join(F.broadcast(files), "file")
+    is_summary = F.coalesce(F.col("type"), F.lit("")) == "summary"
+    summed = rows.where(is_summary).groupBy("ord").agg(F.max_by(F.coalesce("metrics", F.create_map().cast("map<string,double>")), F.struct("file", "line")).alias("m"))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("double")
+    by_source = rows.where(~is_summary).groupBy("ord", F.coalesce("data_source", F.lit("unknown")).alias("source")).agg(F.avg(flag("exact_match")).alias("em"), F.sum(flag("valid_format")).alias("valid"), F.count("*").alias("n"))
+    counted = by_source.groupBy("ord").agg(F.avg("em").alias("em"), (F.sum("valid") / F.sum("n")).alias("valid"))
+    found = names.join(F.broadcast(summed), "ord", "left").join(F.broadcast(counted), "ord", "left")
+    fault = lambda what: F.raise_error(F.concat(F.lit(f"{what} in "), F.col("at"))).cast("double")
+    value = lambda key, own: F.when(F.col("m").isNotNull(), F.coalesce(F.try_element_at("m", F.lit(key)), fault("no summary metric"))).otherwise(F.coalesce(F.col(own), fault("no records")))
+    return found.select("ord", "label", value("em/macro", "em").alias("em_macro"), value("format/rate", "valid").alias("format_rate"))
+
+
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """The metrics of the last summary row; without one, those of the records."""
-    from ..operators.metrics import evaluation_metrics
+    """One row of em_macro and format_rate."""
+    return metric_series(spark, [("", path)]).select("em_macro", "format_rate")
 
-    rows = lines(spark, path).select("line", F.from_json("value", "type string, metrics map<string,double>").alias("r")).where("r.type = 'summary'")
-    last = rows.agg(F.max_by("r.metrics", "line").alias("m")).first()["m"]
-    if last:
-        return spark.createDataFrame([(last["em/macro"], last["format/rate"])], "em_macro double, format_rate double")
-    return evaluation_metrics(read_records(spark, path)).select("em_macro", "format_rate")
 
+# The result files that are looked for by default.
+DEFAULT_SPECS = [("Base", "eval_results.jsonl"), ("Step 20", "eval_results_rl_step_20.jsonl"), ("Step 50", "eval_results_rl_step_50.jsonl"), ("Step 100", "eval_results_rl_step_100.jsonl"), ("Step 150", "eval_results_rl_step_150.jsonl"), ("Step 200", "eval_results_rl_step_200.jsonl")]
 
-def metric_series(spark: SparkSession, labelled: list[tuple[str, str]]) -> DataFrame:
-    """(ord, label, em_macro, format_rate) of several files."""
-    found = None
-    for k, (label, path) in enumerate(labelled):
-        own = read_metrics(spark, path).select(F.lit(k).alias("ord"), F.lit(label).alias("label"), "em_macro", "format_rate")
-        found = own if found is None else found.union(own)
-    return found
+
+def _path(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    at, files = _path(spark, path)
+    if not files.exists(at):
+        raise FileNotFoundError(f"missing evaluation result: {path}")
+    return files.makeQualified(at).toUri().toString()
+
+
+def _bare(uri: str) -> str:
+    """A file's address with one slash behind its scheme."""
+    scheme, sign, rest = uri.partition(":/")
+    return f"{scheme}:/{rest.lstrip('/')}".rstrip("/") if sign else uri
+
+
+def existing_specs(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    """The default (label, file) pairs, or the current trajectories where none of these is there but they are."""
+    there = lambda name: _path(spark, f"{folder}/{name}")[1].exists(_path(spark, f"{folder}/{name}")[0])
+    if not any(there(name) for _, name in DEFAULT_SPECS) and there("trajectories.jsonl"):
+        return [("Current", "trajectories.jsonl")]
+    return list(DEFAULT_SPECS)
 
 
 def with_origin(df: DataFrame) -> DataFrame:
