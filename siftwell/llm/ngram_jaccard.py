@@ -331,7 +331,7 @@ def _candidates(sets: DataFrame, percent: int, block: int, depth: int) -> DataFr
     return units.groupBy("bucket").applyInArrow(_searcher(percent, depth), "a long, b long")
 
 
-def ngram_jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 1024, depth: int = 16) -> DataFrame:
+def ngram_jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 1024, depth: int = 16, group_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs.
 
     Sets of `size`-word shingles (words lower-cased A-Z, split at ASCII white space; the
@@ -339,7 +339,7 @@ def ngram_jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80,
     component_id is the smallest id reachable by links, the row's own included.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    dealt, buckets = deal(plain)
+    dealt, buckets = deal(plain, group_bytes)
     common = dealt.groupBy("_g").applyInArrow(_holders(size, buckets), _BLOCK).groupBy("_bucket").applyInArrow(_commonness, _BLOCK)
     sent = materialize(dealt.groupBy("_g").cogroup(common.groupBy("_g")).applyInArrow(lean(_sender(size, percent, buckets)), _SENT), "shingles")
 

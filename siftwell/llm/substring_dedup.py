@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import shuffle_partitions, text_bytes
+from .store import shuffle_partitions
 from .textkernel import SPACED, in_sorted, lean, mix, window_hash, words
 
 _BLOCK = "_bucket int, _g int, _keys binary, _more binary"
@@ -247,12 +247,22 @@ def exchange(total: int, group_bytes: int = 8 << 20, most: int = 16) -> tuple[in
 
 
 def deal(plain: DataFrame, group_bytes: int = 8 << 20) -> tuple[DataFrame, int]:
-    """plain, with _id and _text, dealt into groups _g of bounded size; and the number of buckets for exchanges between them."""
-    total = text_bytes(plain, "_text")
+    """plain, with _id and _text, dealt into groups _g of bounded size; and the number of buckets for exchanges between them.
+
+    Repeated rows would all hash to one group: ids whose rows have more bytes than a group are dealt row by row over as many
+    groups as they fill. There are at most as many such ids as groups, so they are broadcast.
+    """
+    by_id = plain.groupBy("_id").agg(F.sum(F.octet_length("_text")).alias("_bytes"), F.count("*").alias("_rows"))
+    total, largest = (int(x or 0) for x in by_id.agg(F.sum("_bytes"), F.max(F.when(F.col("_rows") > 1, F.col("_bytes")))).first())
     groups, buckets = exchange(total, group_bytes)
     parts = max(shuffle_partitions(plain.sparkSession), groups // 8)
-    g = F.pmod(F.xxhash64("_id", "_text"), F.lit(max(4 * parts, groups))).cast("int")
-    return plain.withColumn("_g", g).repartition(parts, "_g"), buckets
+    most, turn = max(group_bytes, total // max(1, groups)), []
+    if largest > most:
+        heavy = by_id.where((F.col("_rows") > 1) & (F.col("_bytes") > most)).select(F.col("_id").alias("_heavy"), F.ceil(F.col("_bytes") / most).alias("_times"))
+        plain = plain.join(F.broadcast(heavy), F.col("_id").eqNullSafe(F.col("_heavy")), "left")
+        turn = [F.pmod(F.monotonically_increasing_id(), F.coalesce("_times", F.lit(1)))]
+    g = F.pmod(F.xxhash64("_id", "_text", *turn), F.lit(max(4 * parts, groups))).cast("int")
+    return plain.withColumn("_g", g).drop("_heavy", "_times").repartition(parts, "_g"), buckets
 
 
 def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, group_bytes: int = 8 << 20) -> DataFrame:
