@@ -13,7 +13,7 @@ from ..operators import metrics as M
 from ..operators import prep, replay
 from ..operators import rewards as R
 from ..sources import jsonl, records
-from ..streaming import windows
+from ..streaming import steps, windows
 from . import reports
 from . import sqltext as S
 from . import trajectory_queries as Q
@@ -64,6 +64,22 @@ def k05(spark, d):
     return spark.read.schema("doc_id long, step long").json(path).groupBy("step").agg(F.count("*").alias("n"))
 
 
+@query("k05_step_stream", TRAJ_SQL + """, a AS (SELECT question_index % 5 AS step, question_index, id, exact_match, CASE WHEN min(reward) OVER g = max(reward) OVER g THEN 0 ELSE reward - avg(reward) OVER g END AS advantage FROM tj WINDOW g AS (PARTITION BY question_index)),
+m AS (SELECT step, avg(exact_match::INT) AS em FROM a GROUP BY step)
+SELECT a.step, a.id, round(advantage, 6)::DOUBLE AS advantage, a.step = (SELECT step FROM m ORDER BY em DESC, step LIMIT 1) AS best FROM a""")
+def k05s(spark, d):
+    """Trajectories arrive in three parts: first with wrong rewards for some, then the late ones, then all again."""
+    path, out, checkpoint = scratch(spark, "steps"), scratch(spark, "stated"), scratch(spark, "stream")
+    t = trajectories(spark, d).select((F.col("question_index") % 5).alias("step"), "question_index", "id", "reward", "exact_match")
+    wrong = F.when(F.col("id") % 5 == 1, F.col("reward") - 2).otherwise(F.col("reward"))
+    first = t.where("id % 3 <> 2").withColumns({"version": F.lit(1), "reward": wrong})
+    for k, part in enumerate((first, t.where("id % 3 = 2").withColumn("version", F.lit(1)), t.withColumn("version", F.lit(2)))):
+        part.coalesce(2).write.json(f"{path}/part={k}")
+        steps.follow_steps(spark, f"{path}/*", out, checkpoint, files_per_trigger=2).awaitTermination()
+    rows = steps.stated(spark, out)
+    return rows.join(steps.best_step(rows).select("step", "best"), "step").select("step", "id", F.round("advantage", 6).alias("advantage"), "best")
+
+
 @query("p04_tool_content", f"SELECT doc_id, CAST(length(lang || chr(10) || chr(10) || '{P.REMINDER}') AS BIGINT) AS n FROM documents")
 def p04(spark, d):
     return table(spark, d, "documents").select("doc_id", F.length(P.tool_content(F.col("lang"))).cast("long").alias("n"))
