@@ -82,13 +82,25 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
 
+def ratio_bound(a: Column, b: Column) -> Column:
+    """The most that sequence_ratio can be: twice the characters that both hold, however placed, by all characters."""
+    both = F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(F.length(a) - F.length(F.replace(a, c, F.lit(""))), F.length(b) - F.length(F.replace(b, c, F.lit(""))))))
+    total = F.length(a) + F.length(b)
+    by_length = F.when(total > 0, 2 * F.least(F.length(a), F.length(b)) / total).otherwise(1.0)
+    return F.when(by_length < 0.82, by_length).otherwise(F.when(total > 0, 2 * both / total).otherwise(1.0))
+
+
 def alias_matches(df: DataFrame, key: str) -> DataFrame:
-    """(key, possible_alias_match) over columns final_answer and answers; the costly ratio only where tokens don't decide."""
+    """(key, possible_alias_match) over columns final_answer and answers.
+
+    The ratio is taken only where tokens don't decide and the bound reaches its threshold; other pairs never leave the JVM.
+    """
     lettered = lambda c: c.rlike(r"\p{L}")
     pairs = df.where("final_answer is not null").select(key, X.normalize_answer(F.col("final_answer")).alias("a"), F.explode("answers").alias("r")).withColumn("r", X.normalize_answer(F.col("r")))
     pairs = pairs.where((F.col("a") != "") & (F.col("r") != "") & (F.col("a") != F.col("r")) & lettered(F.col("a")) & lettered(F.col("r")))
     plain = pairs.withColumn("hit", X.token_subset(F.col("a"), F.col("r")))
-    hard = plain.where(~F.col("hit")).select(key, (sequence_ratio("a", "r") >= 0.82).alias("hit"))
+    near = plain.where(~F.col("hit")).withColumn("near", ratio_bound(F.col("a"), F.col("r")) >= 0.82)
+    hard = near.where("near").select(key, (sequence_ratio("a", "r") >= 0.82).alias("hit")).unionByName(near.where("not near").select(key, "hit"))
     return plain.where("hit").select(key, "hit").union(hard).groupBy(key).agg(F.max("hit").alias("possible_alias_match"))
 
 

@@ -349,6 +349,49 @@ rs AS (SELECT *, z * (CASE WHEN helpful_followup_query AND valid_format AND NOT
 """
 
 
+#: rd's rows with what offline diagnostics say of them; the alias label, which needs a similarity ratio, is left out.
+_SEEN = "array_to_string(list_transform(list_filter(turns, lambda t: t.role = 'tool'), lambda t: coalesce(nullif(t.observation, ''), t.text, '')), ' ')"
+_EVERYTHING = f"concat_ws(' ', question, array_to_string({_Q}, ' '), {_SEEN}, ans)"
+OFFLINE_SQL = RESCORE_SQL + f""", oa AS (SELECT *, valid_format AND NOT exact_match AND ans IS NOT NULL AS gate, {_SEEN} AS seen, {_EVERYTHING} AS everything FROM rc),
+ob AS (SELECT *, gate AND g AS answer_granularity_miss, gate AND m AS multi_candidate_answer, gate AND search_calls = 1 AND {S.cue('question', D.RELATION_CUES)} AND seen <> '' AND len(list_distinct({S.matches('everything', X.NAMED_ENTITY)})) >= 3 AS missing_followup_query FROM oa)
+"""
+_OFFLINE = [c for c in D.OFFLINE if c != "possible_alias_match"]
+
+
+@query("f12_offline_labels", OFFLINE_SQL + f"SELECT id, ans AS final_answer, {', '.join(_OFFLINE)} FROM ob")
+def f12l(spark, d):
+    """All labels of offline diagnostics but the one that needs a similarity ratio."""
+    return D.offline(trajectories(spark, d)).select("id", "final_answer", *_OFFLINE)
+
+
+@query("a03_offline_rates", OFFLINE_SQL + "SELECT count(*) AS total, count(*) FILTER (valid_format AND NOT exact_match) AS wrong_valid, " + ", ".join(f"count(*) FILTER ({c}) AS {c}, round(count(*) FILTER ({c}) / greatest(count(*), 1), 6) AS {c}_rate" for c in _OFFLINE) + ", " + ", ".join(f"round(count(*) FILTER ({c}) / greatest(count(*) FILTER (valid_format AND NOT exact_match), 1), 6) AS {c}_wrong_valid_rate" for c in ("answer_granularity_miss", "missing_followup_query", "multi_candidate_answer")) + " FROM ob")
+def a03r(spark, d):
+    s = D.summarize_offline(D.offline(trajectories(spark, d)))
+    return rounded(s.select([c for c in s.columns if not c.startswith("possible_alias_match")]))
+
+
+_PAID = {"duplicate_query_penalty": ("duplicate_query_count > 0", "dup"), "empty_result_penalty": ("empty_observation_count > 0", "emp"), "max_search_no_answer_penalty": ("max_search_no_answer", "maxs"), "verbose_answer_penalty": ("ans IS NOT NULL AND thr > 0 AND nw > thr", "verb"), "bad_max_search_penalty": ("bad_max_search_loop", "bad"), "date_granularity_penalty": ("g", "dat"), "multi_candidate_answer_penalty": ("m", "mul"), "no_search_penalty": ("nosearch", "nos"), "helpful_followup_bonus": ("helpful_followup_query AND valid_format AND NOT bad_max_search_loop", "bon")}
+_TERMS_SQL = "round(base::DOUBLE, 6) AS base_reward, round((base + delta)::DOUBLE, 6) AS final_reward, round(delta::DOUBLE, 6) AS reward_delta, " + ", ".join(f"round((z * CASE WHEN {rule} THEN {weight} ELSE 0 END)::DOUBLE, 6) AS {c}" for c, (rule, weight) in _PAID.items())
+
+
+@query("d05_rescored_terms", RESCORE_SQL + f"SELECT config_name, id, ans AS final_answer, ok AS exact_match, {_TERMS_SQL} FROM rs")
+def d05t(spark, d):
+    """Every penalty and bonus of every trajectory under every configuration."""
+    return rounded(R.rescore(trajectories(spark, d), R.default_configs()).select("config_name", "id", "final_answer", "exact_match", "base_reward", "final_reward", "reward_delta", *_PAID))
+
+
+#: The same for trajectories whose flags are those of their last assistant text.
+ONLINE_SQL = TRAJ_SQL + f""", tx AS (SELECT *, {S.answer("coalesce(list_filter(turns, lambda t: t.role = 'assistant')[-1].text, '')")} AS ans FROM tj),
+ty AS (SELECT * REPLACE (ans IS NOT NULL AS valid_format, ans IS NOT NULL AND coalesce({_EXACT}, false) AS exact_match) FROM tx), tk AS (SELECT * EXCLUDE (ans) FROM ty)
+""" + RESCORE_SQL.removeprefix(TRAJ_SQL).replace("FROM tj)", "FROM tk)")
+
+
+@query("d06_online_terms", ONLINE_SQL + f"SELECT id, {_TERMS_SQL} FROM rs WHERE config_name = 'reward_v4_followup_bonus'")
+def d06t(spark, d):
+    got = R.score_trajectories(trajectories(spark, d), R.default_configs()["reward_v4_followup_bonus"])
+    return rounded(got.select("id", "base_reward", "final_reward", "reward_delta", *_PAID))
+
+
 @query("d02_shaped_rewards", RESCORE_SQL + "SELECT config_name, id, round(base::DOUBLE, 6) AS base_reward, round((base + delta)::DOUBLE, 6) AS final_reward FROM rs")
 def d02(spark, d):
     return rounded(R.rescore(trajectories(spark, d), R.default_configs()).select("config_name", "id", "base_reward", "final_reward"))
