@@ -3,8 +3,8 @@
 Documents are dealt into parts of about `per_part` documents of similar length. A block holds one
 term's postings in one part, so the most that a document of a part can score is the sum, over a query's
 terms, of the largest contribution in that term's block; a very common term has a block in
-every part and none of them is large. Blocks lie in range partitions sorted by term, which
-lets a search skip files and row groups; their heads (count, largest contribution) are columns of their own, so
+every part and none of them is large. Blocks are dealt by term and part, and each file is sorted by term, which
+lets a search skip row groups; their heads (count, largest contribution) are columns of their own, so
 bounds are computed without reading a posting.
 
 A search joins the queries' terms with the heads, scores each query's most promising parts first, and takes the k-th best
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..sources.shared import spread
+from ..sources.shared import spread, write_text
 
 #: As many distinct terms are looked up in a literal set while documents are read; more are joined.
 LITERAL_TERMS = 1 << 14
@@ -66,8 +66,9 @@ def write_index(corpus: DataFrame, path: str, terms: DataFrame | None = None, k1
     share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(average)))
     posts = each.groupBy("term", "part", "doc_id", "dl").agg(F.count("*").alias("tf")).withColumn("share", share)
     blocks = posts.groupBy("term", "part").agg(F.count("*").alias("n"), F.max("share").alias("peak"), F.collect_list(F.struct("doc_id", "share")).alias("postings"))
-    blocks.repartitionByRange("term", "part").sortWithinPartitions("term", "part").write.parquet(f"{path}/blocks")
-    spark.createDataFrame([(json.dumps({"n_docs": n_docs, "k1": k1, "b": b, "average": average}),)], "value string").coalesce(1).write.text(f"{path}/about")
+    # the aggregation has dealt them by term and part, so sorting shuffles nothing
+    blocks.sortWithinPartitions("term", "part").write.parquet(f"{path}/blocks")
+    write_text(spark, f"{path}/about", json.dumps({"n_docs": n_docs, "k1": k1, "b": b, "average": average}))
     return Index(spark.read.schema(blocks.schema).parquet(f"{path}/blocks"), n_docs)
 
 

@@ -9,9 +9,10 @@ from ..operators import metrics as M
 from ..operators import prep
 from ..operators import retrieval as V
 from ..operators import sequence as Q
+from ..operators import targeted
 from . import sqltext as S
 from .derive import EXAMPLES_SQL, TRAJ_SQL, examples, first_words, table, trajectories
-from .registry import query
+from .registry import query, scratch
 from .trajectory_queries import rounded
 
 _POSTS = """
@@ -96,6 +97,29 @@ def w02(spark, d):
     return prep.select_candidates(scored, 80).select("id", "data_source", F.col("score").cast("long").alias("score"))
 
 
+_BRIDGE = f"""CASE WHEN data_source NOT IN ({S.quoted(prep.MULTIHOP_SOURCES)}) THEN 0 ELSE 4 + 2 * least(len(hits), 5) + CASE WHEN contains(lower(question), ' of ') AND (contains(lower(question), ' who ') OR contains(lower(question), ' which ')) THEN 2 ELSE 0 END + CASE WHEN regexp_matches(question, '[,?]') THEN 1 ELSE 0 END + CASE WHEN len({S.words('question')}) >= 11 THEN 1 ELSE 0 END END::BIGINT"""
+
+
+@query("w02_targeted_sets", ALIAS_SQL + f""", h AS (SELECT *, list_filter([{S.quoted(prep.BRIDGE_CUES)}], lambda c: contains(lower(question), c)) AS hits FROM ex), bs AS (SELECT *, {_BRIDGE} AS bridge_score FROM h),
+b AS (SELECT 'bridge' AS target, id, data_source, bridge_score AS score, row_number() OVER (ORDER BY rk > 20, bridge_score DESC, o, data_source, id) AS place FROM (SELECT *, CASE origin WHEN 'dev' THEN 0 WHEN 'test' THEN 1 ELSE 2 END AS o, row_number() OVER (PARTITION BY data_source ORDER BY bridge_score DESC, CASE origin WHEN 'dev' THEN 0 WHEN 'test' THEN 1 ELSE 2 END, id) AS rk FROM bs WHERE bridge_score > 0) QUALIFY place <= 60),
+a AS (SELECT 'alias' AS target, id, data_source, score, row_number() OVER (ORDER BY rk > 8, score DESC, o, data_source, id) AS place FROM (SELECT *, CASE origin WHEN 'dev' THEN 0 WHEN 'test' THEN 1 ELSE 2 END AS o, row_number() OVER (PARTITION BY data_source ORDER BY score DESC, CASE origin WHEN 'dev' THEN 0 WHEN 'test' THEN 1 ELSE 2 END, id) AS rk FROM sc WHERE score > 0 AND id NOT IN (SELECT id FROM b)) QUALIFY place <= 40)
+SELECT target, id, data_source, CAST(score AS BIGINT) AS score FROM b UNION ALL SELECT target, id, data_source, CAST(score AS BIGINT) FROM a""")
+def w02t(spark, d):
+    bridge, alias = targeted.targeted_sets(examples(spark, d), 60, 40, per_source=20)
+    rows = bridge.select(F.lit("bridge").alias("target"), "id", "data_source", "score").unionByName(alias.select(F.lit("alias").alias("target"), "id", "data_source", "score"))
+    return rows.withColumn("score", F.col("score").cast("long"))
+
+
+@query("x11_prepare_dataset", EXAMPLES_SQL + """, p AS (SELECT CAST(id AS VARCHAR) AS id, trim(question) AS question, data_source, CASE WHEN id % 3 = 0 THEN 'test' ELSE 'train' END AS split FROM ex WHERE trim(question) <> '' AND id % 10 <> 9),
+v AS (SELECT 'dev' AS split, data_source FROM p WHERE split = 'test' QUALIFY row_number() OVER (PARTITION BY data_source ORDER BY md5('7:' || id), id) <= 3)
+SELECT split, data_source, count(*) AS n FROM (SELECT split, data_source FROM p UNION ALL SELECT split, data_source FROM v) GROUP BY ALL""")
+def x11d(spark, d):
+    """Raw rows, every tenth without an answer, written as three splits."""
+    none = F.array().cast("array<string>")
+    raw = examples(spark, d).select(F.col("id"), "question", F.when(F.col("id") % 10 == 9, none).when(F.col("id") % 2 == 0, F.col("answers")).otherwise(none).alias("golden_answers"), "data_source", F.struct(F.struct(F.when(F.col("id") % 10 == 9, none).otherwise(F.col("answers")).alias("target")).alias("ground_truth")).alias("reward_model"))
+    return targeted.prepare_splits(raw.where("id % 3 <> 0"), raw.where("id % 3 = 0"), scratch(spark, "splits"), dev_per_source=3, seed=7)
+
+
 @query("w03_balanced_sample", "SELECT doc_id AS id, source AS data_source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) <= 10")
 def w03(spark, d):
     return prep.balanced_sample(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("data_source")), 10, 42)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.turns import TURNS
+from .shared import write_text
 
 EXAMPLE = "id string, question string, answers string, data_source string"
 RECORD = f"type string, id string, question string, answers array<string>, data_source string, turns {TURNS}, reward double, advantage double, valid_format boolean, exact_match boolean, search_calls string, tool_failures string, metadata struct<id:string,run_type:string,stop_reason:string,question_index:int,group_index:int>, metrics map<string,double>, _corrupt_record string"
@@ -147,6 +150,11 @@ def write_records(df: DataFrame, path: str) -> int:
     return seen.get["n"]
 
 
+def write_summary(spark: SparkSession, payload: dict, path: str) -> None:
+    """A few aggregates as one indented JSON file, keys sorted."""
+    write_text(spark, path, json.dumps(payload, ensure_ascii=False, indent=2, sort_keys=True) + "\n")
+
+
 def write_steps(df: DataFrame, path: str) -> None:
     """JSON files in a folder for each step."""
     df.write.partitionBy("step").json(path)

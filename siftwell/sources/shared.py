@@ -24,3 +24,13 @@ def spread(df: DataFrame) -> DataFrame:
     """df over all cores where its scan has fewer splits than that, as a small file of one row group has; any larger scan stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file, such as a summary, from the driver to any file system that Spark reaches."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
