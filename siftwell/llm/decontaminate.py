@@ -19,7 +19,7 @@ Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-case
 Defined results: null or empty texts are clean; an item of `min_item_words` words or more but fewer than
 `window` counts where all of it occurs with at most its share of `max_substitutions` (rounded down)
 changed, and a shorter one where all of it occurs unchanged; without `short_items` the first must be
-unchanged and the second never counts; an empty benchmark leaves all clean; repeated items are
+unchanged and the second never counts; an empty benchmark leaves all clean; an empty table of documents gives an empty result; repeated items are
 reported under each of their ids; repeated rows are all reported; very long texts are searched whole; a column of docs named
 items is replaced, all others pass through unchanged, whatever their names.
 """

@@ -15,7 +15,9 @@ hash; shards are independent, so a hot source or cluster is spread over all.
 Defined results: a document of more words than the capacity is cut into full pieces, each a
 bin of its own, and a last piece that is packed; one without words (null or
 empty text) has one piece of 0 words and no bin; a null source conflicts
-with nothing; ties go by id, then by row.
+with nothing; ties go by id, then by row; repeated rows are documents of one cluster and one source, so each has a
+bin of its own, and all go to one shard; an empty table gives an empty result; columns of docs other than id, text and
+source are dropped, whatever their names.
 """
 
 from __future__ import annotations
