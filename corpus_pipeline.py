@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. Null and empty texts pass all
 stages: they are not toxic, near-duplicate or contaminated, lose nothing, and get a piece of no words and no bin.
+Very long texts are taken whole by every stage and packed in full pieces and a last one. Of near duplicates the smallest
+id stays, so there are no ties; of rows that repeat an id and its text one stays. Empty tables give empty results. Documents
+need the columns of COLUMNS; all others are dropped, whatever their names, so none can clash with a stage's own.
 """
 
 from __future__ import annotations
