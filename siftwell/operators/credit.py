@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -302,6 +302,26 @@ def summarize_analysis(analyzed: DataFrame) -> DataFrame:
     )
 
 
+#: Sections of cases, and when a row of analyze() belongs to one.
+SECTIONS = {
+    "evidence_candidates": "evidence_turns > 0",
+    "final_hop_candidates": "final_hop_turns > 0",
+    "training_evidence_credits": "credited_evidence_turns > 0",
+    "training_final_hop_credits": "credited_final_hop_turns > 0",
+    "early_answer_penalties": "early_penalty",
+    "missing_final_hop_penalties": "missing_penalty",
+    "final_answer_guard_penalties": "guard_penalty",
+}
+
+
+def first_cases(analyzed: DataFrame, most: int, key: str = "id", key_ids: tuple = ()) -> DataFrame:
+    """(section, ord, rank and analyze()'s columns) of the first cases of each section; key_cases are those of the given ids."""
+    rules = {**{name: F.expr(rule) for name, rule in SECTIONS.items()}, "key_cases": F.col(key).isin(list(key_ids)) if key_ids else F.lit(False)}
+    own = F.array_compact(F.array(*(F.when(rule, F.struct(F.lit(k).alias("ord"), F.lit(name).alias("section"))) for k, (name, rule) in enumerate(rules.items()))))
+    each = analyzed.withColumn("_c", F.explode(own)).select("_c.section", "_c.ord", *analyzed.columns)
+    return each.withColumn("rank", F.row_number().over(Window.partitionBy("section").orderBy(key))).where(F.col("rank") <= most)
+
+
 def outcome_buckets(analyzed: DataFrame) -> DataFrame:
     """Trajectories by source, outcome and number of searches."""
     flag = lambda c: F.when(F.col(c), "True").otherwise("False")

@@ -216,12 +216,21 @@ def stream(spark, d):
     return windows.latest(spark, path).withColumn("total", F.round("total", 4))
 
 
-_A14 = f""", ax AS (SELECT id, CASE WHEN valid_format AND NOT exact_match THEN 1 ELSE 0 END AS w, early, len(missing) > 0 AS mis, NOT exact_match AND search_calls > 0 AND NOT valid_format AND stop_reason IN ('max_search_calls', 'answer', 'invalid_format') AS guard FROM fz),
+_AY = f""", ax AS (SELECT id, CASE WHEN valid_format AND NOT exact_match THEN 1 ELSE 0 END AS w, early, len(missing) > 0 AS mis, NOT exact_match AND search_calls > 0 AND NOT valid_format AND stop_reason IN ('max_search_calls', 'answer', 'invalid_format') AS guard FROM fz),
 ay AS (SELECT ax.*, coalesce(h, 0) AS h, coalesce(e, 0) AS e, coalesce(f, 0) AS f FROM ax LEFT JOIN (SELECT id, count(*) FILTER ({Q._SHAPED}) AS h FROM su GROUP BY id) USING (id) LEFT JOIN (SELECT id, count(*) FILTER (bridge AND adds AND evidence) AS e, count(*) FILTER (bridge AND evidence AND len({Q._HOP}) > 0) AS f FROM sy GROUP BY id) USING (id))
-SELECT count(*) AS total, sum(w)::BIGINT AS wrong_valid, sum(h)::BIGINT AS helpful_turns, sum(h * w)::BIGINT AS credited_helpful_turns, sum(e)::BIGINT AS evidence_turns, sum(e * w)::BIGINT AS credited_evidence_turns, sum(f)::BIGINT AS final_hop_turns, sum(f * w)::BIGINT AS credited_final_hop_turns,
+"""
+_A14 = _AY + """SELECT count(*) AS total, sum(w)::BIGINT AS wrong_valid, sum(h)::BIGINT AS helpful_turns, sum(h * w)::BIGINT AS credited_helpful_turns, sum(e)::BIGINT AS evidence_turns, sum(e * w)::BIGINT AS credited_evidence_turns, sum(f)::BIGINT AS final_hop_turns, sum(f * w)::BIGINT AS credited_final_hop_turns,
  count(*) FILTER (e > 0) AS evidence_records, count(*) FILTER (f > 0) AS final_hop_records, count(*) FILTER (w = 1 AND (e > 0 OR f > 0)) AS credited_records, count(*) FILTER (w = 1 AND early) AS early_penalty_records, count(*) FILTER (w = 1 AND mis) AS missing_penalty_records, count(*) FILTER (guard) AS guard_penalty_records FROM ay"""
 
 
+_SECTIONS = {"evidence_candidates": "e > 0", "final_hop_candidates": "f > 0", "training_evidence_credits": "e * w > 0", "training_final_hop_credits": "f * w > 0", "early_answer_penalties": "w = 1 AND early", "missing_final_hop_penalties": "w = 1 AND mis", "final_answer_guard_penalties": "guard", "key_cases": "id IN (1, 7, 40)"}
+
+
+@query("w09_credit_cases", Q.EVIDENCE_SQL + Q.FINAL_SQL + _AY + "SELECT section, id, CAST(row_number() OVER (PARTITION BY section ORDER BY id) AS INTEGER) AS rank FROM (SELECT id, unnest(list_filter([" + ", ".join(f"CASE WHEN {rule} THEN '{name}' END" for name, rule in _SECTIONS.items()) + "], lambda x: x IS NOT NULL)) AS section FROM ay) QUALIFY rank <= 12")
+def w09c(spark, d):
+    return credit.first_cases(credit.analyze(trajectories(spark, d)), 12, key_ids=(1, 7, 40)).select("section", "id", "rank")
+
+
 @query("a14_credit_summary", Q.EVIDENCE_SQL + Q.FINAL_SQL + _A14)
 def a14s(spark, d):
     return credit.summarize_analysis(credit.analyze(trajectories(spark, d)))
