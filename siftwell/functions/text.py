@@ -19,8 +19,12 @@ TOOL_CALL = r"(?s)<tool_call>\s*<function=search>\s*<parameter=query>\s*(.*?)\s*
 
 def strings(values) -> Column:
     """A constant array of strings."""
-    quoted = ("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
-    return F.expr(f"array({', '.join(quoted)})") if values else F.array().cast("array<string>")
+    return F.expr(f"array({quoted(values)})") if values else F.array().cast("array<string>")
+
+
+def quoted(values) -> str:
+    """SQL string literals, which are made in one step where columns would take one for each value."""
+    return ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
 
 
 def squeeze(c: Column) -> Column:

@@ -15,9 +15,9 @@ of the others alone are read.
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -43,33 +43,68 @@ class Index:
         return self.blocks.select("term", "n").groupBy("term").agg(F.sum("n").alias("df"))
 
 
-def write_index(corpus: DataFrame, path: str, terms: DataFrame | None = None, k1: float = 1.5, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text", per_part: int = 128) -> Index:
-    """Write the index (of the given terms only, if any are) under path; texts are tokenised once."""
+@dataclass(frozen=True)
+class Tokens:
+    """A corpus, tokenised and written once.
+
+    words: doc_id, dl (all tokens), size (a class of lengths) and tokens; terms: what tokens still have to be joined with, if
+    anything; classes: documents by class of lengths.
+    """
+
+    words: DataFrame
+    terms: DataFrame | None
+    n_docs: int
+    average: float
+    classes: dict[int, int]
+
+    def postings(self, *extra: str) -> DataFrame:
+        """(term, doc_id, dl, tf) and the extra columns of words."""
+        each = self.words.select("doc_id", "dl", *extra, F.explode("tokens").alias("term"))
+        if self.terms is not None:
+            each = each.join(self.terms.select("term").distinct(), "term", "left_semi")
+        return each.groupBy("term", *extra, "doc_id", "dl").agg(F.count("*").alias("tf"))
+
+    @property
+    def document_frequency(self) -> DataFrame:
+        """(term, df): a document counts a term once, before anything is shuffled."""
+        each = self.words.select(F.explode(F.array_distinct("tokens")).alias("term"))
+        if self.terms is not None:
+            each = each.join(self.terms.select("term").distinct(), "term", "left_semi")
+        return each.groupBy("term").agg(F.count("*").alias("df"))
+
+    def share(self, k1: float, b: float) -> Column:
+        """What a posting adds per unit of idf."""
+        return F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(self.average)))
+
+
+def write_tokens(corpus: DataFrame, path: str, terms: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> Tokens:
+    """Tokenise a corpus once, for the given terms only, if any are, and write the tokens under path."""
     spark = corpus.sparkSession
     words = spread(corpus.select(id_col, text_col)).select(F.col(id_col).alias("doc_id"), X.tokenize(F.coalesce(text_col, F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens"))
     if terms is not None:
         few = [r[0] for r in terms.select("term").distinct().limit(LITERAL_TERMS + 1).collect()]
         if len(few) <= LITERAL_TERMS:
-            words, terms = words.withColumn("tokens", F.filter("tokens", lambda t: t.isin(few))), None
-    words.withColumn("size", F.floor(F.log2(F.col("dl") + 1)).cast("int")).write.parquet(f"{path}/tokens")
-    words = spark.read.parquet(f"{path}/tokens")
+            words, terms = words.withColumn("tokens", F.expr(f"filter(tokens, t -> t IN ({X.quoted(few)}))") if few else F.array().cast("array<string>")), None
+    words.withColumn("size", F.floor(F.log2(F.col("dl") + 1)).cast("int")).write.parquet(path)
+    words = spark.read.parquet(path)
     # lengths fall into a few dozen classes, however many documents there are
     classes = words.groupBy("size").agg(F.count("*").alias("n"), F.sum("dl").alias("total")).collect()
     n_docs, total = sum(r["n"] for r in classes), sum(r["total"] for r in classes)
-    average = total / n_docs if total else 1.0
+    return Tokens(words, terms, n_docs, total / n_docs if total else 1.0, {r["size"]: r["n"] for r in classes})
 
-    many = F.create_map(*(F.lit(x) for r in classes for x in (r["size"], max(1, -(-r["n"] // per_part))))) if classes else F.lit(None).cast("map<int,int>")
+
+def write_index(corpus: DataFrame, path: str, terms: DataFrame | None = None, k1: float = 1.5, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text", per_part: int = 128) -> Index:
+    """Write the index (of the given terms only, if any are) under path; texts are tokenised once."""
+    spark, known = corpus.sparkSession, write_tokens(corpus, f"{path}/tokens", terms, id_col, text_col)
+    many = F.create_map(*(F.lit(x) for size, n in known.classes.items() for x in (size, -(-n // per_part)))) if known.classes else F.lit(None).cast("map<int,int>")
     part = F.col("size").cast("long") * (1 << 40) + F.pmod(F.xxhash64("doc_id"), many[F.col("size")])
-    each = words.select("doc_id", "dl", part.alias("part"), F.explode("tokens").alias("term"))
-    if terms is not None:
-        each = each.join(terms.select("term").distinct(), "term", "left_semi")
-    share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(average)))
-    posts = each.groupBy("term", "part", "doc_id", "dl").agg(F.count("*").alias("tf")).withColumn("share", share)
+    parted = replace(known, words=known.words.withColumn("part", part))
+    posts = parted.postings("part").withColumn("share", known.share(k1, b))
     blocks = posts.groupBy("term", "part").agg(F.count("*").alias("n"), F.max("share").alias("peak"), F.collect_list(F.struct("doc_id", "share")).alias("postings"))
     # the aggregation has dealt them by term and part, so sorting shuffles nothing
     blocks.sortWithinPartitions("term", "part").write.parquet(f"{path}/blocks")
-    write_text(spark, f"{path}/about", json.dumps({"n_docs": n_docs, "k1": k1, "b": b, "average": average}))
-    return Index(spark.read.schema(blocks.schema).parquet(f"{path}/blocks"), n_docs)
+    write_text(spark, f"{path}/about", json.dumps({"n_docs": known.n_docs, "k1": k1, "b": b, "average": known.average}))
+    return Index(spark.read.schema(blocks.schema).parquet(f"{path}/blocks"), known.n_docs)
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
@@ -83,10 +118,10 @@ def ask(queries: DataFrame, query_id: str = "item_id", query_text: str = "text")
     return queries.select(F.col(query_id).alias("query_id"), F.explode(X.tokenize(F.coalesce(query_text, F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def weigh(index: Index, asked: DataFrame) -> DataFrame:
-    """(query_id, term, weight): repeats times idf, for terms that the index holds."""
-    idf = F.log(1 + (F.lit(index.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return asked.join(index.document_frequency, "term").select("query_id", "term", (F.col("qtf") * idf).alias("weight"))
+def weigh(asked: DataFrame, df: DataFrame, n_docs: int) -> DataFrame:
+    """(query_id, term, weight): repeats times idf, for terms that some document holds."""
+    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return asked.join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("weight"))
 
 
 def part_bounds(index: Index, weighted: DataFrame) -> DataFrame:
@@ -109,7 +144,7 @@ def best(scored: DataFrame, k: int) -> DataFrame:
 
 def plan_search(index: Index, asked: DataFrame, k: int, first: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(weighted terms, pairs scored first, other pairs whose bound reaches the floor)."""
-    weighted = weigh(index, asked)
+    weighted = weigh(asked, index.document_frequency, index.n_docs)
     bounds = part_bounds(index, weighted)
     w = Window.partitionBy("query_id").orderBy(F.desc("bound"), "part")
     early = bounds.withColumn("place", F.row_number().over(w)).where(F.col("place") <= first).select("query_id", "part")
@@ -123,3 +158,10 @@ def search(index: Index, asked: DataFrame, k: int = 3, first: int = 4) -> DataFr
     weighted, early, late = plan_search(index, asked, k, first)
     scored = score_parts(index, weighted, early).unionByName(score_parts(index, weighted, late))
     return best(scored, k).select("query_id", "rank", "doc_id", "score")
+
+
+def search_once(known: Tokens, asked: DataFrame, k: int = 3, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """search without an index: all postings of the asked terms are scored, which is less work where a corpus is searched once."""
+    weighted = weigh(asked, known.document_frequency, known.n_docs)
+    scored = known.postings().withColumn("share", known.share(k1, b)).join(weighted, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("share")).alias("score"))
+    return best(scored, k).select("query_id", "rank", "doc_id", "score")

@@ -31,12 +31,12 @@ def document_frequency(posts: DataFrame) -> DataFrame:
 def bm25(corpus: DataFrame, queries: DataFrame, top_k: int = 3, k1: float = 1.5, b: float = 0.75, query_id: str = "item_id", query_text: str = "text", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(query_id, rank, doc_id, score) of the best documents of each query; repeated query words count again.
 
-    Postings of the words that some query has are indexed in blocks, and blocks that cannot change the result are
-    passed over. For many searches over one corpus, write the index once (`bm25_index.write_index`).
+    The corpus is tokenised once, and only words that some query has are kept. Many searches over one corpus are better done over an
+    index written once (`bm25_index.write_index` and `search`).
     """
     asked = bm25_index.ask(queries, query_id, query_text)
-    index = bm25_index.write_index(corpus, scratch(corpus.sparkSession, "bm25"), asked.select("term"), k1, b, id_col, text_col)
-    return bm25_index.search(index, asked, top_k)
+    known = bm25_index.write_tokens(corpus, scratch(corpus.sparkSession, "bm25"), asked.select("term"), id_col, text_col)
+    return bm25_index.search_once(known, asked, top_k, k1, b)
 
 
 def search_status(queries: DataFrame, hits: DataFrame, query_id: str = "item_id", query_text: str = "text") -> DataFrame:

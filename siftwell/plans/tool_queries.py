@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import bm25_index
 from ..operators import metrics as M
 from ..operators import prep
 from ..operators import retrieval as V
@@ -33,6 +34,15 @@ def l01(spark, d):
     return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 4).alias("score"))
 
 
+@query("l01_block_index", BM25_SQL)
+def l01b(spark, d):
+    """The same search over a written index of all terms."""
+    path = scratch(spark, "index")
+    bm25_index.write_index(table(spark, d, "documents"), path)
+    hits = bm25_index.search(bm25_index.open_index(spark, path), bm25_index.ask(table(spark, d, "benchmark")))
+    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 4).alias("score"))
+
+
 @query("l01_search_status", "SELECT item_id AS query_id, item_id % 5 <> 0 AS ok, CASE WHEN item_id % 5 = 0 THEN 'empty_query' END AS error_type, CAST(CASE WHEN item_id % 5 = 0 THEN 0 ELSE 3 END AS BIGINT) AS n_items FROM benchmark")
 def l01s(spark, d):
     b = table(spark, d, "benchmark").withColumn("text", F.when(F.col("item_id") % 5 == 0, "???").otherwise(F.col("text")))
