@@ -9,13 +9,15 @@ So the encoding of a prefix is that of a shorter prefix and one last piece:
     count(k) = count(k - |t|) + 1 for the one piece t that ends at k and fits the last piece of prefix k - |t|
 
 which takes one forward pass over the chunk, whatever its length; whether two pieces fit is found by
-merging the two alone, once for each pair. A character that no piece covers counts its bytes. Over chunks
+merging the two alone, once for each pair. Which pieces end at k is read off the longest end of the prefix
+that begins a piece, which the next character extends or cuts. A character that no piece covers counts its bytes. Over chunks
 
     count(prefix to the end of chunk k) = count(prefix to the end of chunk k - 1) + last count of chunk k
 
 The same holds for the runs within a chunk between whose characters no piece reaches. A worker runs
-the program once for each distinct run and keeps the counts at all prefixes of runs and chunks. The
-stored counts answer how many tokens a prefix has and which prefix fits a budget
+the program once for each distinct run, in sorted order, so that a prefix shared with the run before is not
+run again, and keeps the counts at all prefixes of runs and at the ends of chunks. The stored counts
+answer how many tokens a prefix has and which prefix fits a budget
 without encoding anything again. The library's own encoding of each distinct chunk is compared with
 the last count, so a model without that property is noticed. Counting is one map, without a shuffle.
 
@@ -40,6 +42,11 @@ _CHUNK = re.compile(r" +[^ ]*")
 _MARK = "▁"
 
 
+def _slot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Where the table of neighbours within pieces holds two letters; others that meet there only make a run longer."""
+    return (left * np.uint32(2654435761) + right) & np.uint32((1 << 22) - 1)
+
+
 class PrefixCounter:
     """Token counts of prefixes under a SentencePiece model given as bytes."""
 
@@ -52,8 +59,11 @@ class PrefixCounter:
             raise ValueError("pieces of this model cross spaces; prefix counts would not be exact")
         normal = [k for k in range(self.model.get_piece_size()) if not (self.model.is_control(k) or self.model.is_unknown(k) or self.model.is_byte(k) or self.model.is_unused(k))]
         self.score = {self.model.id_to_piece(k): self.model.get_score(k) for k in normal}
-        self.longest, self.fits, self.kept, self.runs, self.size = max(map(len, self.score)), {}, {}, {}, 0
-        self.joined = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
+        self.begins = {p[:k] for p in self.score for k in range(1, len(p) + 1)}
+        self.steps, self.pieces, self.fitted, self.kept, self.runs, self.size = {}, {}, 0, {}, {}, 0
+        joined = np.array([[ord(x), ord(y)] for x, y in {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}], dtype=np.uint32).reshape(-1, 2)
+        self.joined = np.zeros(1 << 22, dtype=bool)
+        self.joined[_slot(joined[:, 0], joined[:, 1])] = True
 
     def _merged(self, text: str) -> list[str]:
         """Byte-pair merging: the best pair first, of equal ones the leftmost."""
@@ -69,52 +79,75 @@ class PrefixCounter:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def _fit(self, before: str, piece: str) -> bool:
-        known = self.fits.get((before, piece))
-        if known is None:
-            known = self.fits[before, piece] = self._merged(before + piece) == ([before, piece] if before else [piece])
+        """Whether the two neighbours encode to themselves; kept for each two."""
+        self.fitted += 1
+        known = self.pieces[piece][3][before] = self._merged(before + piece) == ([before, piece] if before else [piece])
+        return known
+
+    def _step(self, s: str) -> tuple[str, list]:
+        """The longest end of s that begins a piece, and all that may end there, longest first: length, piece, tokens, what it fits behind."""
+        end = s
+        while len(end) > 1 and end not in self.begins:
+            end = end[1:]
+        last = [end[k:] for k in range(len(end)) if k == len(end) - 1 or end[k:] in self.score]
+        known = self.steps[s] = end, [self.pieces.setdefault(t, (len(t), t, 1 if t in self.score else len(t.encode()), {})) for t in last]
         return known
 
-    def _forward(self, s: str) -> list[int]:
-        """The program over a run: tokens of its first 1, 2, ... characters."""
-        last, count, score = [""] * (len(s) + 1), [0] * (len(s) + 1), self.score
-        for k in range(1, len(s) + 1):
-            for n in range(min(k, self.longest), 0, -1):
-                t = s[k - n : k]
-                if (n == 1 or t in score) and self._fit(last[k - n], t):
-                    last[k], count[k] = t, count[k - n] + (1 if t in score else len(t.encode()))
+    def _forward(self, runs: list[str]) -> None:
+        """The program over new runs: tokens of their first 1, 2, ... characters. Runs go in order, so a prefix that many begin with is run once."""
+        before, ends, last, count, steps = "", [""], [""], [0], self.steps
+        for run in sorted(runs):
+            k = 0
+            for x, y in zip(before, run):
+                if x != y:
                     break
-            else:
-                raise ValueError("the model's merges are not those of byte pairs")
-        return count[1:]
-
-    def of_run(self, chunk: str) -> np.ndarray:
-        """Tokens of the first 1, 2, ... characters of a chunk that begins with its space."""
-        s, out, at, base = chunk.replace(" ", _MARK), [], 0, 0
-        for k in range(1, len(s) + 1):
-            # no piece holds these two neighbours, so none reaches across
-            if k == len(s) or s[k - 1 : k + 1] not in self.joined:
-                run = s[at:k]
-                known = self.runs.get(run)
-                if known is None:
-                    known = self.runs[run] = self._forward(run)
-                    self.size += k - at
-                out += [base + x for x in known]
-                base, at = out[-1], k
-        return np.array(out, dtype=np.int32)
-
-    def of_chunks(self, chunks: list[str]) -> list[np.ndarray]:
-        """of_run of each chunk, kept for the worker's next batches."""
-        new = [c for c in dict.fromkeys(chunks) if c not in self.kept]
+                k += 1
+            del ends[k + 1 :], last[k + 1 :], count[k + 1 :]
+            end = ends[k]
+            for c in run[k:]:
+                k += 1
+                end, found = steps.get(end + c) or self._step(end + c)
+                for n, t, tokens, fits in found:
+                    fit = fits.get(last[k - n])
+                    if fit or fit is None and self._fit(last[k - n], t):
+                        last.append(t)
+                        count.append(count[k - n] + tokens)
+                        break
+                else:
+                    raise ValueError("the model's merges are not those of byte pairs")
+                ends.append(end)
+            self.runs[run], before = count[1:], run
+            self.size += len(run)
+
+    def _runs(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """The runs of all words' chunks, counted, and which of them begin a chunk. No piece holds the two neighbours where runs meet, so none reaches across."""
+        s = (" " + " ".join(words)).replace(" ", _MARK)
+        letters = np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32)
+        begins = np.concatenate([[True], ~self.joined[_slot(letters[:-1], letters[1:])]])
+        chunks = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])])[:-1]
+        begins[chunks] = True
+        at = np.flatnonzero(begins)
+        to = at.tolist() + [len(s)]
+        runs = [s[i:j] for i, j in zip(to, to[1:])]
+        self._forward([r for r in set(runs) if r not in self.runs])
+        return runs, np.searchsorted(at, chunks)
+
+    def totals(self, words: list[str]) -> np.ndarray:
+        """Tokens of the chunks of a space and each word, kept for the worker's next batches."""
         if self.size > 1 << 24:
-            self.kept, self.runs, self.size, new = {}, {}, 0, list(dict.fromkeys(chunks))
-        if len(self.fits) > 1 << 20:
-            self.fits = {}
-        for c, pieces in zip(new, self.model.encode([c[1:] for c in new], num_threads=1)):
-            self.kept[c] = self.of_run(c)
-            self.size += len(c)
-            if self.kept[c][-1] != (len(pieces) or 1):  # the library has no token for a lone space that begins a text
-                raise ValueError(f"prefix counts differ from the library's: {c[:100]!r}")
-        return [self.kept[c] for c in chunks]
+            self.kept, self.runs, self.size = {}, {}, 0
+        if self.fitted > 1 << 20 or len(self.steps) > 1 << 20:
+            self.steps, self.pieces, self.fitted = {}, {}, 0
+        new = [w for w in dict.fromkeys(words) if w not in self.kept]
+        if new:
+            runs, first = self._runs(new)
+            counts = np.add.reduceat(np.array([self.runs[r][-1] for r in runs], dtype=np.int64), first).tolist()
+            for w, n, pieces in zip(new, counts, self.model.encode(new, num_threads=1)):
+                if n != (len(pieces) or 1):  # the library has no token for a lone space that begins a text
+                    raise ValueError(f"prefix counts differ from the library's: {w[:100]!r}")
+                self.size += len(w) + 1
+            self.kept.update(zip(new, counts))
+        return np.array([self.kept[w] for w in words], dtype=np.int64)
 
     def chunk_ends(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, counts): counts[offsets[k]:offsets[k + 1]] are the tokens of text k up to the end of each of its chunks."""
@@ -129,10 +162,10 @@ class PrefixCounter:
             use[offsets[k] - offsets[0] : offsets[k + 1] - offsets[0]] = False
         wanted = np.unique(coded.indices.to_numpy()[use])
         count = np.zeros(len(coded.dictionary), dtype=np.int64)
-        count[wanted] = [c[-1] for c in self.of_chunks([" " + c for c in coded.dictionary.take(pa.array(wanted)).to_pylist()])]
+        count[wanted] = self.totals(coded.dictionary.take(pa.array(wanted)).to_pylist())
         each = np.split(count[coded.indices.to_numpy()], offsets[1:-1] - offsets[0])
         for k in np.flatnonzero(odd):
-            each[k] = np.array([c[-1] for c in self.of_chunks(_CHUNK.findall(" " + texts[int(k)].as_py()))], dtype=np.int64)
+            each[k] = self.totals([c[1:] for c in _CHUNK.findall(" " + texts[int(k)].as_py())])
         for k in np.flatnonzero(pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)):
             each[k] = np.zeros(1, dtype=np.int64)
         ends = np.concatenate([[0], np.cumsum([len(x) for x in each])])
@@ -141,12 +174,18 @@ class PrefixCounter:
 
     def prefixes(self, text: str | None) -> np.ndarray:
         """Tokens of the first k characters, for every k from 0 to the text's length."""
-        text, base, parts = (text or "").replace(_MARK, " "), 0, [np.zeros(1, dtype=np.int64)]
-        chunks = _CHUNK.findall(" " + text) if text else []
-        for k, ends in enumerate(self.of_chunks(chunks)):
-            parts.append(base + (ends if k else ends[1:]))  # the first space is the tokenizer's own
-            base += int(ends[-1])
-        return np.concatenate(parts)
+        text = (text or "").replace(_MARK, " ")
+        if not text:
+            return np.zeros(1, dtype=np.int64)
+        words = [c[1:] for c in _CHUNK.findall(" " + text)]
+        self.totals(words)
+        runs, base, parts = self._runs(words)[0], 0, []
+        for run in runs:
+            parts.append(base + np.array(self.runs[run], dtype=np.int64))
+            base = parts[-1][-1]
+        counts = np.concatenate(parts)
+        counts[0] = 0  # the first space is the tokenizer's own
+        return counts
 
 
 def longest_within(counts: np.ndarray, budget: int) -> int:
